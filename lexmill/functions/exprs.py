@@ -40,6 +40,15 @@ def one_of(value: Column, choices: Iterable[str]) -> Column:
     return value.isin(*choices)
 
 
+def opened(items: Column) -> Column:
+    """Array as input for an explode.
+
+    For a bare column the optimizer adds a filter on its size and pushes that below the projection
+    that computes it, which would lex every text twice.  An expression keeps it in one place.
+    """
+    return F.coalesce(items, F.array())
+
+
 def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
     """States of a left fold after every item.
 

@@ -40,7 +40,7 @@ _JAVA = "(?sd)" + "|".join(
 )
 
 _DIRECTIVE_WORD = r"#[ \t]*+[A-Za-z][A-Za-z0-9_]*+"
-_INCLUDE_LINE = rf'(?sd){_DIRECTIVE_WORD}|<[^>\n]*+>|"[^"\n]*+"|[A-Za-z_][A-Za-z0-9_]*+|\n'
+_INCLUDE_LINE = rf'(?sd){_DIRECTIVE_WORD}|<[^>\n]++>|"[^"\n]*+"|[A-Za-z_][A-Za-z0-9_]*+|\n'
 _CONDITION_LINE = rf"(?sd){_DIRECTIVE_WORD}|\n|{_CPP_BODY}"
 _DEFINE_LINE = r"(?sd)^(#[ \t]*+define)[ \t]*+([A-Za-z_][A-Za-z0-9_]*+)?(\([^)\n]*+\))?[ \t]*+(.*?)[ \t]*+(\n?)\z"
 _OTHER_LINE = rf"(?sd)^({_DIRECTIVE_WORD})[ \t]*+(.*?)[ \t]*+(\n?)\z"
@@ -77,83 +77,88 @@ def _tag(token: Column, before: Column, keywords: tuple[str, ...], char_tag: str
     )
 
 
-def _directive_tag(word: Column) -> Column:
-    plain = F.regexp_replace(word, r"[ \t]+", "")
-    return F.when(plain.isin(*_KNOWN_DIRECTIVES), plain).otherwise(F.lit("preproc_directive"))
+def _is_directive(match: Column) -> Column:
+    return (match.startswith("#") | match.startswith(" ") | match.startswith("\t")) & match.rlike(
+        r"^[ \t]*+#[ \t]*+[A-Za-z]"
+    )
 
 
 def _directive_pairs(line: Column) -> Column:
-    """Pairs of one directive line that has no blanks in front."""
+    """Pairs of one directive line without blanks in front; a NULL tag is left to the main rules."""
+    word = F.regexp_extract(line, rf"^{_DIRECTIVE_WORD}", 0)
+    plain_word = F.regexp_replace(word, r"[ \t]+", "")
+    open_tag = F.lit(None).cast("string")
 
-    def tagged(tokens: Column) -> Column:
+    def lexed(pattern: str) -> Column:
         return F.transform(
-            tokens,
-            lambda t, i: _pair(
-                t,
-                F.when((i == 0) & t.startswith("#"), _directive_tag(t))
-                .when((t != "<") & t.rlike("^<.*>$"), F.lit("system_lib_string"))
-                .otherwise(_tag(t, F.get(tokens, i - 1), fixed.CPP_KEYWORDS, "char_literal")),
-            ),
+            F.regexp_extract_all(line, F.lit(pattern), F.lit(0)),
+            lambda t: _pair(t, F.when(t.rlike("^<.+>$"), F.lit("system_lib_string"))),
         )
 
-    def group(pattern: str, k: int) -> Column:
-        return F.regexp_extract(line, pattern, k)
-
-    def whole(part: Column, tag: str) -> Column:
-        return _pair(part, F.lit(tag))
+    def argument(pattern: str, at: int) -> Column:
+        return F.array(
+            _pair(F.regexp_extract(line, pattern, at), F.lit("preproc_arg")),
+            _pair(F.regexp_extract(line, pattern, at + 1), F.lit("\n")),
+        )
 
-    include = let(F.regexp_extract_all(line, F.lit(_INCLUDE_LINE), F.lit(0)), tagged)
-    condition = let(F.regexp_extract_all(line, F.lit(_CONDITION_LINE), F.lit(0)), tagged)
     define = F.concat(
-        F.array(
-            whole(group(_DEFINE_LINE, 1), "#define"),
-            whole(group(_DEFINE_LINE, 2), "identifier"),
-        ),
-        let(F.regexp_extract_all(group(_DEFINE_LINE, 3), F.lit(_PARAMETER), F.lit(0)), tagged),
-        F.array(
-            whole(group(_DEFINE_LINE, 4), "preproc_arg"),
-            whole(group(_DEFINE_LINE, 5), "\n"),
+        F.array(_pair(F.regexp_extract(line, _DEFINE_LINE, 2), open_tag)),
+        F.transform(
+            F.regexp_extract_all(
+                F.regexp_extract(line, _DEFINE_LINE, 3), F.lit(_PARAMETER), F.lit(0)
+            ),
+            lambda t: _pair(t, open_tag),
         ),
+        argument(_DEFINE_LINE, 4),
     )
-    other = F.array(
-        let(group(_OTHER_LINE, 1), lambda w: _pair(w, _directive_tag(w))),
-        whole(group(_OTHER_LINE, 2), "preproc_arg"),
-        whole(group(_OTHER_LINE, 3), "\n"),
-    )
-    kind = F.regexp_extract(line, r"^#[ \t]*([A-Za-z0-9_]+)", 1)
-    pairs = (
-        F.when(kind == "include", include)
-        .when(kind == "define", define)
-        .when(kind.isin("if", "elif"), condition)
+    condition = lexed(_CONDITION_LINE)
+    rest = (
+        F.when(plain_word == "#include", lexed(_INCLUDE_LINE))
+        .when(plain_word == "#define", define)
+        .when(plain_word.isin("#if", "#elif"), condition)
         .when(
-            kind.isin("ifdef", "ifndef", "else", "endif"),
+            plain_word.isin("#ifdef", "#ifndef", "#else", "#endif"),
             F.filter(condition, lambda p: p["token"] != "\n"),
         )
-        .otherwise(other)
+        .otherwise(argument(_OTHER_LINE, 2))
+    )
+    word_tag = F.when(plain_word.isin(*_KNOWN_DIRECTIVES), plain_word).otherwise(
+        F.lit("preproc_directive")
+    )
+    # The lexed lines repeat the directive word; it is written once, with its own tag.
+    return F.concat(
+        F.array(_pair(word, word_tag)),
+        F.filter(rest, lambda p: (p["token"] != "") & ~p["token"].rlike(f"^{_DIRECTIVE_WORD}$")),
     )
-    return F.filter(pairs, lambda p: p["token"] != "")
 
 
 def lex_cpp(code: Column) -> Column:
     """C or C++ text -> array of (token, tag), in text order."""
 
-    def pairs(matches: Column) -> Column:
-        plain = F.transform(
+    def raw(matches: Column) -> Column:
+        plain = F.transform(matches, lambda m: _pair(m, F.lit(None).cast("string")))
+        mixed = F.transform(
             matches,
-            lambda m, i: F.when(
-                (m.startswith("#") | m.startswith(" ") | m.startswith("\t"))
-                & m.rlike(r"^[ \t]*+#[ \t]*+[A-Za-z]"),
-                _directive_pairs(F.regexp_replace(m, r"^[ \t]++", "")),
-            ).otherwise(
-                F.array(
-                    _pair(m, _tag(m, F.get(matches, i - 1), fixed.CPP_KEYWORDS, "char_literal"))
-                )
+            lambda m: F.when(
+                _is_directive(m), _directive_pairs(F.regexp_replace(m, r"^[ \t]++", ""))
+            ).otherwise(F.array(_pair(m, F.lit(None).cast("string")))),
+        )
+        return F.when(F.exists(matches, _is_directive), F.flatten(mixed)).otherwise(plain)
+
+    def tagged(raw: Column) -> Column:
+        return F.transform(
+            raw,
+            lambda p, i: _pair(
+                p["token"],
+                F.coalesce(
+                    p["tag"],
+                    _tag(p["token"], F.get(raw, i - 1)["token"], fixed.CPP_KEYWORDS, "char_literal"),
+                ),
             ),
         )
-        return F.flatten(plain)
 
     text = F.replace(code, F.lit("\r"), F.lit(""))
-    return let(F.regexp_extract_all(text, F.lit(_CPP), F.lit(0)), pairs)
+    return let(let(F.regexp_extract_all(text, F.lit(_CPP), F.lit(0)), raw), tagged)
 
 
 def lex_java(code: Column) -> Column:

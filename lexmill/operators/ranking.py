@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+    """Write ``df`` as a table to the shared checkpoint folder and go on from there.
 
     The folder is the one the session names; only where none is set (tests, a laptop) a fresh
-    temporary one is taken.  Pinned rows keep their partition and order when a task is retried.
+    temporary one is taken.  What is read back no longer depends on how rows were placed, so lost
+    executors cannot change it, and later filters and column choices reach the files.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
-    return df.checkpoint(eager=True)
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
+        folder = context.getCheckpointDir()
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

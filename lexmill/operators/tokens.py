@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.exprs import opened
 from lexmill.operators.languages import language, lex_by_language
 
 
@@ -30,8 +31,8 @@ def _with_arrays(df: DataFrame, pairs: Column) -> DataFrame:
     # Two projections: the pairs are computed once and read twice.
     return (
         df.withColumn("_pairs", pairs)
-        .withColumn("tokens", F.transform("_pairs", lambda p: p["token"]))
-        .withColumn("tags", F.transform("_pairs", lambda p: p["tag"]))
+        .withColumn("tokens", F.col("_pairs.token"))
+        .withColumn("tags", F.col("_pairs.tag"))
         .drop("_pairs")
     )
 
@@ -72,8 +73,8 @@ def to_wide(df: DataFrame, *key: str) -> DataFrame:
         .agg(ordered.alias("_rows"))
         .select(
             *key,
-            F.transform("_rows", lambda r: r["token"]).alias("tokens"),
-            F.transform("_rows", lambda r: r["tag"]).alias("tags"),
+            F.col("_rows.token").alias("tokens"),
+            F.col("_rows.tag").alias("tags"),
         )
     )
 
@@ -81,7 +82,7 @@ def to_wide(df: DataFrame, *key: str) -> DataFrame:
 def tag_counts(df: DataFrame, *by: str) -> DataFrame:
     """Tokens per tag; counted per task before the shuffle, so common tags stay cheap."""
     return (
-        df.select(*by, F.explode("tags").alias("tag"))
+        df.select(*by, F.explode(opened(F.col("tags"))).alias("tag"))
         .groupBy(*by, "tag")
         .agg(F.count("*").alias("n"))
     )

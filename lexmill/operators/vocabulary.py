@@ -28,20 +28,29 @@ def build_vocabulary(
 ) -> DataFrame:
     """``(namespace, term, n, term_id)``: ids by falling count, then by term.
 
-    All namespaces are counted in one pass.  Terms are counted per task before the shuffle, so a
-    term that makes up a third of the corpus is one row per task.
+    ``namespaces`` maps a namespace to an array column; the arrays of a row are aligned.  Each
+    position is opened once for all of them and counted per task before the shuffle, so a term that
+    makes up a third of the corpus is one row per task, and the second count sees distinct
+    combinations only.
     """
     columns = namespaces or {"tokens": "tokens", "tags": "tags"}
-    entries = [_entries(space, F.col(column)) for space, column in columns.items()]
+    zipped = F.arrays_zip(*(F.col(c).alias(space) for space, c in columns.items()))
+    cells = (
+        df.select(F.explode(zipped).alias("c"))
+        .groupBy(*(F.col(f"c.{space}").alias(space) for space in columns))
+        .agg(F.count("*").alias("n"))
+    )
+    terms = F.array(
+        *(F.struct(F.lit(s).alias("namespace"), F.col(s).alias("term"), "n") for s in columns)
+    )
+    entries = cells.select(F.inline(terms))
     if label is not None:
-        entries.append(
-            F.when(F.col(label).isNotNull(), _entries("labels", F.array(F.col(label).cast("string"))))
-            .otherwise(F.array().cast("array<struct<namespace:string,term:string>>"))
-        )
+        labels = df.groupBy(F.col(label).cast("string").alias("term")).agg(F.count("*").alias("n"))
+        entries = entries.unionByName(labels.withColumn("namespace", F.lit("labels")))
     counted = (
-        df.select(F.explode(F.concat(*entries)).alias("e"))
-        .groupBy(F.col("e.namespace").alias("namespace"), F.col("e.term").alias("term"))
-        .agg(F.count("*").alias("n"))
+        entries.where(F.col("term").isNotNull())
+        .groupBy("namespace", "term")
+        .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= min_count)
     )
     ranked = with_rank(counted, [F.col("namespace"), F.col("n").desc(), F.col("term")], "_rank")
@@ -58,13 +67,6 @@ def build_vocabulary(
     )
 
 
-def _entries(space: str, terms: Column) -> Column:
-    return F.transform(
-        F.filter(terms, lambda t: t.isNotNull()),
-        lambda t: F.struct(F.lit(space).alias("namespace"), t.alias("term")),
-    )
-
-
 def _term_key(term: Column) -> Column:
     """Short stand-in for a term: long literals and comments travel as a digest."""
     digest = F.concat(F.lit("\x00"), F.md5(term.cast("binary")))

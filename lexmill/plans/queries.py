@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed, literals, normalize, signatures, spans
-from lexmill.functions.exprs import let, words
+from lexmill.functions.exprs import let, opened, words
 from lexmill.functions.lexing import lex_cpp
 from lexmill.functions.rendering import indent_lines, join_macro_parameters
 from lexmill.operators import columns, functions_table, splitting, tokens, training, vocabulary
@@ -179,7 +179,7 @@ def _long(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def _texts(df: DataFrame, column: str = "tokens") -> DataFrame:
-    return df.select("id", F.posexplode(column).alias("pos", "token"))
+    return df.select("id", F.posexplode(opened(F.col(column))).alias("pos", "token"))
 
 
 @query("l1_lex_cpp")

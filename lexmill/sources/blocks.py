@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed
-from lexmill.functions.exprs import strip
-
-BLOCK = "struct<code:string,label:int,label_text:string>"
-
+from lexmill.functions.exprs import let, strip
 
 def block_lines(block: Column) -> Column:
     """Stripped, non-blank lines of one block, without the rest of the delimiter before it."""
@@ -20,14 +17,23 @@ def block_lines(block: Column) -> Column:
     return F.filter(F.transform(F.split(body, "\n"), lambda t: strip(t)), lambda t: t != "")
 
 
-def parse_lines(lines: Column) -> Column:
-    """Code and label of the lines of a block; the label is NULL when it is not an integer."""
-    label = F.try_element_at(lines, F.lit(-1))
-    return F.struct(
-        F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0))), "\n").alias("code"),
-        label.try_cast("int").alias("label"),
-        label.alias("label_text"),
-    )
+def parse_block(block: Column) -> Column:
+    """Code and label of a block as an array of at most one row.
+
+    A block of fewer than three lines gives none; the label is NULL when it is not an integer.
+    """
+
+    def row(lines: Column) -> Column:
+        label = F.element_at(lines, -1)
+        return F.array(
+            F.struct(
+                F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n").alias("code"),
+                label.try_cast("int").alias("label"),
+                label.alias("label_text"),
+            )
+        )
+
+    return let(block_lines(block), lambda lines: F.when(F.size(lines) >= 3, row(lines)))
 
 
 def split_blocks(text: Column) -> Column:
@@ -37,12 +43,7 @@ def split_blocks(text: Column) -> Column:
 
 def parse_blocks(df: DataFrame, block: str, *keep: str) -> DataFrame:
     """One row per block of at least three lines; shorter blocks are dropped on their own."""
-    return (
-        df.select(*keep, block_lines(F.col(block)).alias("_lines"))
-        .where(F.size("_lines") >= 3)
-        .select(*keep, parse_lines(F.col("_lines")).alias("_block"))
-        .select(*keep, "_block.*")
-    )
+    return df.select(*keep, F.inline(parse_block(F.col(block))))
 
 
 def accepted_blocks(blocks: DataFrame) -> DataFrame:
