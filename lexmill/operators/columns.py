@@ -60,7 +60,8 @@ def typed_label(label: Column, mode: str = "string") -> Column:
 def spread(df: DataFrame) -> DataFrame:
     """Give heavy per-row work at least one partition per core when the input files are few.
 
-    Inputs that already come in many splits are left alone, so there is no shuffle at scale.
+    For scans: a frame with joins would have to run them to know its partitions.  Inputs that
+    already come in many splits are left alone, so there is no shuffle at scale.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

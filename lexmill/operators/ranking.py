@@ -9,22 +9,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table to the shared checkpoint folder and go on from there.
+def scratch_path(spark: SparkSession) -> str:
+    """Fresh path in the shared folder that the session names for checkpoints.
 
-    The folder is the one the session names; only where none is set (tests, a laptop) a fresh
-    temporary one is taken.  What is read back no longer depends on how rows were placed, so lost
-    executors cannot change it, and later filters and column choices reach the files.
+    Only where none is named (tests, a laptop) a temporary folder is made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
         folder = context.getCheckpointDir()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    return f"{folder}/table-{uuid.uuid4().hex}"
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table to the shared folder and go on from there.
+
+    What is read back no longer depends on how rows were placed, so lost executors cannot change
+    it, and later filters and column choices reach the files.
+    """
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed
+from lexmill.operators.ranking import pin
 
 _STEP = 4  # hex digits resolved per pass: at most 65,536 counters come back
 
@@ -71,7 +72,8 @@ def exact_split(df: DataFrame, key: str = "id", seed: str = "") -> DataFrame:
     Keys should be unique; copies of one key stay together, and then the sizes are exact up to the
     group of copies at each cut.
     """
-    digests = df.select(_digest(F.col(key), seed).alias("digest"))
+    # Written once: the passes below read 32 characters per row, not the corpus again.
+    digests = pin(df.select(_digest(F.col(key), seed).alias("digest")))
     train, validation, _ = split_sizes(digests.count())
     first = _cut_digest(digests, train) if train else ""
     second = _cut_digest(digests, train + validation) if train + validation else ""

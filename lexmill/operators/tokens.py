@@ -53,29 +53,37 @@ def accepted_and_rejected(df: DataFrame, column: str = "tokens") -> tuple[DataFr
     return df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull()).drop(column)
 
 
-def to_long(df: DataFrame, *keep: str, tokens: str = "tokens", tags: str = "tags") -> DataFrame:
-    """One row per (token, tag) pair with its position; the longer array is cut."""
+def to_long(
+    df: DataFrame, *keep: str, tokens: str = "tokens", tags: str = "tags", number: str | None = None
+) -> DataFrame:
+    """One row per (token, tag) pair with its position; the longer array is cut.
+
+    ``number`` names a column that tells texts apart whose ids are equal: copies of one text stay
+    texts of their own when the rows are put together again.
+    """
+    if number:
+        df = df.withColumn(number, F.monotonically_increasing_id())
+        keep = (*keep, number)
     shared = F.least(F.size(tokens), F.size(tags))
     pairs = F.arrays_zip(
         F.slice(tokens, F.lit(1), shared).alias("token"), F.slice(tags, F.lit(1), shared).alias("tag")
     )
-    return (
-        df.select(*keep, F.posexplode(pairs).alias("pos", "_pair"))
-        .select(*keep, "pos", "_pair.token", "_pair.tag")
+    return df.select(*keep, F.posexplode(pairs).alias("pos", "_pair")).select(
+        *keep, "pos", "_pair.token", "_pair.tag"
     )
 
 
 def to_wide(df: DataFrame, *key: str) -> DataFrame:
-    """Arrays back from token rows, ordered by position.  ``key`` must identify one text."""
+    """Arrays back from token rows, ordered by position.
+
+    ``key`` must identify one text, so that a group is never larger than a text; where ids repeat,
+    the number from :func:`to_long` belongs into it.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("pos", "token", "tag")))
     return (
         df.groupBy(*key)
         .agg(ordered.alias("_rows"))
-        .select(
-            *key,
-            F.col("_rows.token").alias("tokens"),
-            F.col("_rows.tag").alias("tags"),
-        )
+        .select(*key, F.col("_rows.token").alias("tokens"), F.col("_rows.tag").alias("tags"))
     )
 
 

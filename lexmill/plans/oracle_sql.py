@@ -346,6 +346,12 @@ parsed as (select id, block_no, array_to_string(l[2:-2], {NL}) as code, try_cast
     sql["p6_drop_blank_lines"] = with_(block_rows, select=f"select id, block_no, array_to_string(l, {NL}) as lines from lined")
     sql["p7_minimum_block_size"] = with_(block_rows, select="select id, count(*) as n_blocks from parsed group by id")
     sql["p8_rejected_labels"] = with_(block_rows, select="select id, block_no, code, label_text from parsed where label is null")
+    sql["s2_block_files"] = with_(
+        block_rows, select="select label, code, count(*) as n from parsed where label is not null group by label, code"
+    )
+    sql["s1_labelled_json"] = (
+        "select p_size % 2 as label, p_name as code, count(*) as n, cast(sum(p_size) as bigint) as size from part group by 1, 2"
+    )
     sql["s7_source_origin"] = (
         "select 'documents' as vul_type, doc_id as id, text as code from documents "
         "union all select 'pages', page_id, html from pages"
@@ -573,6 +579,13 @@ parsed as (select id, block_no, array_to_string(l[2:-2], {NL}) as code, try_cast
     # data set assembly
     bucket = f"(('0x' || substr(md5('{SPLIT_SEED}' || cast(id as varchar)), 1, 8))::bigint % 100)"
     split = f"case when {bucket} < 80 then 'train' when {bucket} < 90 then 'validation' else 'test' end"
+    split_docs = f"(select id, text, {split} as split from (select doc_id as id, text from documents))"
+    sql["s3_presplit_table"] = f"select id, text, split from {split_docs}"
+    sql["s4_read_saved_split"] = f"select id, text, split from {split_docs} where split = 'validation'"
+    sql["s5_save_splits"] = (
+        f"select split, count(*) as n, cast(sum(length(text)) as bigint) as chars from {split_docs} group by split"
+    )
+    sql["s6_build_once"] = f"select id, split from {split_docs}"
     sql["d1_hash_split"] = f"select id, {split} as split from (select doc_id as id from documents)"
     sql["d2_exact_split"] = f"""with r as (select doc_id as id,
     row_number() over (order by md5('{SPLIT_SEED}' || cast(doc_id as varchar))) as k, count(*) over () as n from documents),

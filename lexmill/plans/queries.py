@@ -13,8 +13,9 @@ from lexmill.functions.lexing import lex_cpp
 from lexmill.functions.rendering import indent_lines, join_macro_parameters
 from lexmill.operators import columns, functions_table, splitting, tokens, training, vocabulary
 from lexmill.operators.languages import Language, language, register
+from lexmill.operators.ranking import scratch_path
 from lexmill.plans.code_tables import code_table
-from lexmill.sources import blocks
+from lexmill.sources import blocks, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,10 +40,11 @@ def heavy(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return columns.spread(table(spark, sf, name))
 
 
-def labelled_documents(spark: SparkSession, sf: str) -> DataFrame:
+def labelled_documents(spark: SparkSession, sf: str, lexed: bool = False) -> DataFrame:
     """Documents with their quality as label; documents without one keep a NULL."""
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     docs = table(spark, sf, "documents").select(F.col("doc_id"), "text", "source")
+    docs = columns.spread(docs) if lexed else docs
     return docs.join(labels, "doc_id", "left").withColumnRenamed("doc_id", "id")
 
 
@@ -59,6 +61,64 @@ def _(spark, sf):
     return blocks.accepted_blocks(blocks.parse_blocks(_blocks(spark, sf), "block", "id", "block_no"))
 
 
+@query("s2_block_files")
+def _(spark, sf):
+    """Blocks written as text files and read back with the delimiter as line separator."""
+    path = scratch_path(spark)
+    end = F.lit("\n" + fixed.BLOCK_DELIMITER)
+    code_table(spark, sf, "block_file").select(F.concat("code", end)).write.text(path)
+    found = blocks.accepted_blocks(blocks.read_blocks(spark, path))
+    return found.groupBy("label", "code").agg(F.count("*").alias("n"))
+
+
+@query("s1_labelled_json")
+def _(spark, sf):
+    path = scratch_path(spark)
+    parts = table(spark, sf, "part").select(F.col("p_name").alias("code"), F.col("p_size").alias("size"))
+    parts.where("size % 2 = 1").write.json(f"{path}/vulnerables")
+    parts.where("size % 2 = 0").write.json(f"{path}/non-vulnerables")
+    both = tables.read_labelled_json(
+        spark, {1: f"{path}/vulnerables", 0: f"{path}/non-vulnerables"}, lines=True
+    )
+    return both.groupBy("label", "code").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+
+
+@query("s3_presplit_table")
+def _(spark, sf):
+    path = scratch_path(spark)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    split = splitting.hash_split(docs, "id", SPLIT_SEED)
+    for name in (fixed.TRAIN, fixed.VALIDATION, fixed.TEST):
+        split.where(F.col("split") == name).drop("split").write.parquet(f"{path}/{name}")
+    return tables.read_presplit(spark, path)
+
+
+def _saved(spark, sf) -> str:
+    path = scratch_path(spark)
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    tables.build_once(spark, path, lambda: splitting.hash_split(docs, "id", SPLIT_SEED))
+    return path
+
+
+@query("s4_read_saved_split")
+def _(spark, sf):
+    return tables.load_split(spark, _saved(spark, sf), fixed.VALIDATION)
+
+
+@query("s5_save_splits")
+def _(spark, sf):
+    saved = tables.load_split(spark, _saved(spark, sf))
+    return saved.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("s6_build_once")
+def _(spark, sf):
+    """The second build is not run: what the first one saved comes back."""
+    path = _saved(spark, sf)
+    again = tables.build_once(spark, path, lambda: spark.range(0).withColumn("split", F.lit("none")))
+    return again.select("id", "split")
+
+
 @query("s7_source_origin")
 def _(spark, sf):
     def read(name, key, text):
@@ -260,7 +320,7 @@ def _(spark, sf):
 @query("l7_long_and_wide")
 def _(spark, sf):
     lexed = tokens.tokenize(code_table(spark, sf, "code_cpp"), "code")
-    wide = tokens.to_wide(_long(lexed, "id"), "id")
+    wide = tokens.to_wide(tokens.to_long(lexed, "id", number="text_no"), "id", "text_no")
     return wide.select(
         "id", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags")
     )
@@ -489,8 +549,7 @@ def _(spark, sf):
 
 
 def _document_tokens(spark, sf) -> DataFrame:
-    docs = columns.spread(labelled_documents(spark, sf))
-    return tokens.tokenize(docs, "text").drop("text")
+    return tokens.tokenize(labelled_documents(spark, sf, lexed=True), "text").drop("text")
 
 
 @query("d1_hash_split")
@@ -562,8 +621,8 @@ def _(spark, sf):
 
 @query("d9_training_rows")
 def _(spark, sf):
-    docs = splitting.hash_split(labelled_documents(spark, sf), "id", SPLIT_SEED)
-    chosen = columns.spread(docs.where(F.col("split") == fixed.TRAIN))
+    docs = splitting.hash_split(labelled_documents(spark, sf, lexed=True), "id", SPLIT_SEED)
+    chosen = docs.where(F.col("split") == fixed.TRAIN)
     rows = training.training_rows(tokens.tokenize(chosen, "text"), SEQUENCE_LIMIT, "string")
     return rows.select(
         "id", "label", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags")
