@@ -10,7 +10,10 @@ from lexmill.functions.lexing import lex_cpp, lex_java
 from lexmill.functions.normalize import _SEGMENT
 from lexmill.functions.spans import cpp_spans, java_spans, python_spans
 
-CPP_WORDS = ["{", "}", "(", ")", ";", "f", "int", "if", "class", "::", "static", "throw", ",", "\n"]
+CPP_WORDS = [
+    "f (", ") {", "}", "int", ";", "f ( ) { x", "if ( x ) {", ") throw ( ) { y", "{ }", "(", ")", "{", "class A {",
+    "::", "static", "throw", ",", "\n",
+]
 JAVA_WORDS = ["{", "}", "(", ")", ";", "f", "throws", "E", "NEW_LINE", "/*", "*/", "//", "ENDCOM", "static"]
 PYTHON_WORDS = ["def", "INDENT", "DEDENT", "x", "NEW_LINE"]
 PAIRS = "array<struct<token:string,tag:string>>"
@@ -19,16 +22,10 @@ PAIRS = "array<struct<token:string,tag:string>>"
 def streams(words, seed, count=400, longest=60):
     source = random.Random(seed)
     weights = [3] * 4 + [1] * (len(words) - 4)
-    return [source.choices(words, weights, k=source.randint(0, longest)) for _ in range(count)]
+    drawn = [source.choices(words, weights, k=source.randint(0, longest)) for _ in range(count)]
+    return [[t for piece in row for t in piece.split(" ")] for row in drawn]
 
 
-def outermost(found):
-    """Spans that no earlier accepted span covers, in text order."""
-    kept = []
-    for start, end in sorted(found):
-        if not kept or start > kept[-1][1]:
-            kept.append((start, end))
-    return kept
 
 
 def closing(tokens, body):
@@ -105,7 +102,9 @@ def spans_of(spark, step, rows, schema):
 def test_cpp_spans(spark):
     rows = streams(CPP_WORDS, 1)
     tagged = [[(t, "identifier" if t in ("f", "E") else t) for t in row] for row in rows]
-    assert spans_of(spark, cpp_spans, tagged, f"id int, t {PAIRS}") == [cpp_by_search(r) for r in rows]
+    wanted = [cpp_by_search(r) for r in rows]
+    assert sum(map(len, wanted)) > 300
+    assert spans_of(spark, cpp_spans, tagged, f"id int, t {PAIRS}") == wanted
 
 
 def test_java_spans(spark):
