@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,25 +35,36 @@ def pin(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+def with_rank(
+    df: DataFrame, order: list[Column], name: str = "rank", group: str | None = None
+) -> DataFrame:
     """Add the zero-based position of each row in a total order.
 
     The range sort spreads over the cluster.  Only one count per sorted partition is brought
-    together to turn local positions into global ones.
+    together, and comes back as a constant array, so the result is a scan with a projection.
+    With ``group``, which must be the first sort column and have few values, positions start over
+    in each group.
     """
-    spark: SparkSession = df.sparkSession
     placed = pin(df.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", 33).cast("int")
-    sizes = sorted(placed.groupBy(part.alias("part")).count().collect())
-    offsets, total = [], 0
-    for part_id, rows in sizes:
-        offsets.append((part_id, total))
-        total += rows
-    table = spark.createDataFrame(offsets, "_part int, _offset bigint")
-    local = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(table), "_part")
-        .withColumn(name, F.col("_offset") + local)
-        .drop("_part", "_offset", "_place")
-    )
+    groups = [group] if group else []
+    sizes = placed.groupBy(part.alias("part"), *groups).count().collect()
+    rows_of_part = Counter()
+    rows_of_group = Counter()
+    for row in sizes:
+        rows_of_part[row["part"]] += row["count"]
+        rows_of_group[row[group] if group else None] += row["count"]
+    parts = range(max(rows_of_part, default=0) + 1)
+    before_part = accumulate((rows_of_part[p] for p in parts), initial=0)
+    offset = F.get(_constants(list(before_part)[:-1]), part)
+    rank = offset + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    if group:
+        names = sorted(rows_of_group, key=lambda g: str(g).encode())
+        starts = accumulate((rows_of_group[g] for g in names), initial=0)
+        for value, start in zip(names, starts):
+            rank = F.when(F.col(group) == value, rank - start).otherwise(rank) if start else rank
+    return placed.withColumn(name, rank).drop("_place")
+
+
+def _constants(numbers: list[int]) -> Column:
+    return F.expr(f"array({', '.join(f'{n}L' for n in numbers)})")

@@ -53,17 +53,12 @@ def build_vocabulary(
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= min_count)
     )
-    ranked = with_rank(counted, [F.col("namespace"), F.col("n").desc(), F.col("term")], "_rank")
-    starts = ranked.groupBy("namespace").agg(F.min("_rank").alias("_start"))
-    # One row per namespace: broadcast is bounded by the number of indexed columns.
+    order = [F.col("namespace"), F.col("n").desc(), F.col("term")]
     first = F.coalesce(
         *(F.when(F.col("namespace") == s, F.lit(i)) for s, i in FIRST_ID.items()), F.lit(2)
     )
-    return ranked.join(F.broadcast(starts), "namespace").select(
-        "namespace",
-        "term",
-        "n",
-        (F.col("_rank") - F.col("_start") + first).cast("int").alias("term_id"),
+    return with_rank(counted, order, "_rank", group="namespace").select(
+        "namespace", "term", "n", (F.col("_rank") + first).cast("int").alias("term_id")
     )
 
 

@@ -165,3 +165,9 @@ def test_user_functions(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "c")], "id int, code string")
     rows = tokens.map_rows(df, lambda r: {"id": r["id"], "n": len(r["code"].split())}, "id int, n int")
     assert sorted(tuple(r) for r in rows.collect()) == [(1, 2), (2, 1)]
+
+
+def test_rank_within_groups(spark):
+    df = spark.range(1000).select(F.concat(F.lit("g"), F.col("id") % 3).alias("g"), F.col("id").alias("k"))
+    ranked = with_rank(df.repartition(5), [F.col("g"), F.col("k")], "r", group="g")
+    assert ranked.where("r <> k div 3").count() == 0 and ranked.count() == 1000
