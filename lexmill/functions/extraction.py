@@ -38,9 +38,12 @@ def _before(tokens: Column, mark: str) -> Column:
     )
 
 
-def _row(span: Column, kind: Column, text: Column, name: Callable[[Column], Column], arguments: bool) -> Column:
+def _row(
+    span: Column, kind: Column, text: Column, name: Callable[[Column], Column], arguments: bool
+) -> Column:
     def fields(text: Column) -> Column:
-        args = extract_arguments(text) if arguments else F.lit(None).cast("array<struct<type:string,name:string>>")
+        none = F.lit(None).cast("array<struct<type:string,name:string>>")
+        args = extract_arguments(text) if arguments else none
         return let(
             args,
             lambda a: F.struct(
@@ -71,8 +74,8 @@ def cpp_kind(pairs: Column, in_class: Column) -> Column:
     return let(tokens, decide)
 
 
-def cpp_functions(code: Column) -> Column:
-    """Functions of C or C++ text, raw or space-joined tokens."""
+def cpp_functions(code: Column, arguments: bool = True) -> Column:
+    """Functions of C or C++ text, raw or space-joined tokens; NULL arguments when not asked for."""
 
     def text_of(own: Column) -> Column:
         joined = F.array_join(
@@ -90,7 +93,7 @@ def cpp_functions(code: Column) -> Column:
             lambda s: let(
                 _cut(pairs, s),
                 lambda own: _row(
-                    s, cpp_kind(own, s["in_class"]), text_of(own), cfamily_function_name, True
+                    s, cpp_kind(own, s["in_class"]), text_of(own), cfamily_function_name, arguments
                 ),
             ),
         )
@@ -99,8 +102,8 @@ def cpp_functions(code: Column) -> Column:
     return F.filter(found, lambda f: ~f["text"].startswith("#"))
 
 
-def java_functions(tokens: Column) -> Column:
-    """Functions of tokenised Java text."""
+def java_functions(tokens: Column, arguments: bool = True) -> Column:
+    """Functions of tokenised Java text; NULL arguments when not asked for."""
 
     def rows(tokens: Column) -> Column:
         return F.transform(
@@ -114,7 +117,7 @@ def java_functions(tokens: Column) -> Column:
                     ),
                     remove_annotation(F.array_join(own, " ")),
                     cfamily_function_name,
-                    True,
+                    arguments,
                 ),
             ),
         )
@@ -145,8 +148,10 @@ def python_functions(tokens: Column) -> Column:
     return F.filter(let(tokens, rows), lambda f: ~is_python2(f["text"]))
 
 
-def functions_of(lang: str, tokens: Column) -> Column:
+def functions_of(lang: str, tokens: Column, arguments: bool = True) -> Column:
     """Functions of a tokenised file by language key."""
     if lang == "cpp":
-        return cpp_functions(F.array_join(tokens, " "))
-    return {"java": java_functions, "python": python_functions}[lang](tokens)
+        return cpp_functions(F.array_join(tokens, " "), arguments)
+    if lang == "java":
+        return java_functions(tokens, arguments)
+    return python_functions(tokens)

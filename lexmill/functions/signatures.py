@@ -82,20 +82,22 @@ def _first_parenthesis(tokens: Column) -> Column:
     """Tokens inside the first balanced pair, NULL without one."""
 
     def inside(tail: Column) -> Column:
-        depth_and_end = F.aggregate(
-            tail,
-            F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")),
-            lambda s, t: let(
-                s["depth"] + (t == "(").cast("int") - (t == ")").cast("int"),
-                lambda d: F.struct(
-                    d.alias("depth"),
-                    (s["at"] + 1).alias("at"),
-                    F.when((s["end"] == 0) & (d == 0), s["at"] + 1).otherwise(s["end"]).alias("end"),
-                ),
+        # Positions of the parentheses only, closing ones negative.
+        marks = F.filter(
+            F.transform(tail, lambda t, i: F.when(t == "(", i + 1).when(t == ")", -i - 1)),
+            lambda m: m.isNotNull(),
+        )
+        state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("end"))
+        folded = F.aggregate(
+            marks,
+            state,
+            lambda s, m: F.struct(
+                (s["depth"] + F.signum(m).cast("int")).alias("depth"),
+                F.when((s["end"] == 0) & (m < 0) & (s["depth"] == 1), -m).otherwise(s["end"]).alias("end"),
             ),
+            lambda s: F.when(s["end"] > 0, s["end"]).otherwise(F.size(tail)),
         )
-        length = let(depth_and_end, lambda s: F.when(s["end"] > 0, s["end"]).otherwise(s["at"]))
-        return F.slice(tail, F.lit(2), F.greatest(length - 2, F.lit(0)))
+        return F.slice(tail, F.lit(2), F.greatest(folded - 2, F.lit(0)))
 
     return let(
         F.array_position(tokens, F.lit("(")).cast("int"),

@@ -15,11 +15,15 @@ def _table(df: DataFrame, found: Column, keep: tuple[str, ...]) -> DataFrame:
     return df.select(*keep, F.inline(found))
 
 
-def function_table(df: DataFrame, *keep: str, tokens: str = "tokens", lang: str = "cpp") -> DataFrame:
-    """Functions of tokenised files: span, kind, text, name and arguments."""
-    return _table(df, language(lang).functions(F.col(tokens)), keep)
+def function_table(
+    df: DataFrame, *keep: str, tokens: str = "tokens", lang: str = "cpp", arguments: bool = True
+) -> DataFrame:
+    """Functions of tokenised files: span, kind, text, name and, if asked for, arguments."""
+    return _table(df, language(lang).functions(F.col(tokens), arguments), keep)
 
 
-def cpp_function_table(df: DataFrame, *keep: str, code: str = "code") -> DataFrame:
+def cpp_function_table(
+    df: DataFrame, *keep: str, code: str = "code", arguments: bool = True
+) -> DataFrame:
     """Functions of C or C++ files given as text."""
-    return _table(df, cpp_functions(F.col(code)), keep)
+    return _table(df, cpp_functions(F.col(code), arguments), keep)

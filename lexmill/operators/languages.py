@@ -23,7 +23,7 @@ class Language:
     lex: Callable[[Column], Column] | None = None  # code -> pairs
     tokenize: Callable[..., Column] | None = None  # code, keep_comments, process_strings -> tokens
     detokenize: Callable[[Column], Column] | None = None  # tokens -> code
-    functions: Callable[[Column], Column] | None = None  # tokens -> functions
+    functions: Callable[..., Column] | None = None  # tokens, arguments -> functions
     function_name: Callable[[Column], Column] | None = None  # tokens -> name
     arguments: Callable[[Column], Column] | None = None  # text -> (type, name) pairs
 
@@ -75,7 +75,7 @@ register(
         lex=lexing.lex_cpp,
         tokenize=_cfamily_tokenize("cpp", lexing.lex_cpp),
         detokenize=lambda tokens: rendering.render_cfamily(tokens, "cpp"),
-        functions=lambda tokens: extraction.functions_of("cpp", tokens),
+        functions=lambda tokens, arguments=True: extraction.functions_of("cpp", tokens, arguments),
         function_name=signatures.cfamily_function_name,
         arguments=signatures.extract_arguments,
     ),
@@ -86,7 +86,9 @@ register(
         lex=lexing.lex_java,
         tokenize=_cfamily_tokenize("java", lexing.lex_java),
         detokenize=lambda tokens: rendering.render_cfamily(tokens, "java"),
-        functions=lambda tokens: extraction.functions_of("java", words(F.array_join(tokens, " "))),
+        functions=lambda tokens, arguments=True: extraction.functions_of(
+            "java", words(F.array_join(tokens, " ")), arguments
+        ),
         function_name=signatures.cfamily_function_name,
         arguments=signatures.extract_arguments,
     ),
@@ -97,7 +99,7 @@ register(
         lex=_python_lex,
         tokenize=python_lexing.lex_python,
         detokenize=rendering.render_python,
-        functions=lambda tokens: extraction.functions_of("python", tokens),
+        functions=lambda tokens, arguments=True: extraction.functions_of("python", tokens, arguments),
         function_name=signatures.python_function_name,
     ),
 )

@@ -76,30 +76,32 @@ def encode(
 ) -> DataFrame:
     """Add an id array per sequence column; a term outside the vocabulary gets the unknown id.
 
-    ``columns`` maps a namespace to its input and output column.
+    ``columns`` maps a namespace to its input and output column.  Frequent terms of all columns are
+    looked up in one pass inside the tasks; a column with more terms than ``head_terms`` then takes
+    its rare ones from a shuffle join.
     """
-    for space, (source, target) in (columns or {
-        "tokens": ("tokens", "token_ids"), "tags": ("tags", "tag_ids"),
-    }).items():
-        terms = vocabulary.where(F.col("namespace") == space)
-        df = _encode_column(df, terms, FIRST_ID.get(space, 2), source, target, head_terms)
-    return df
-
-
-def _encode_column(
-    df: DataFrame, terms: DataFrame, first: int, source: str, target: str, head_terms: int
-) -> DataFrame:
-    keyed = terms.select(_term_key(F.col("term")).alias("key"), "term_id")
-    head = keyed.where(F.col("term_id") < first + head_terms).orderBy("term_id").toArrow()
-    lookup = _head_lookup(df, head["key"], head["term_id"])
-    # The arrays are cut from the plan once: the lookup sees keys only.
-    looked = df.withColumn(target, lookup(F.transform(source, _term_key)))
-    if head.num_rows < head_terms:
-        return looked.withColumn(
-            target, F.transform(target, lambda i: F.coalesce(i, F.lit(UNKNOWN)))
+    chosen = columns or {"tokens": ("tokens", "token_ids"), "tags": ("tags", "tag_ids")}
+    lookups, tails = {}, {}
+    for space, (source, target) in chosen.items():
+        keyed = vocabulary.where(F.col("namespace") == space).select(
+            _term_key(F.col("term")).alias("key"), "term_id"
         )
-    tail = keyed.where(F.col("term_id") >= first + head_terms)
-    return _encode_tail(looked, tail, source, target)
+        limit = FIRST_ID.get(space, 2) + head_terms
+        head = keyed.where(F.col("term_id") < limit).toArrow()
+        lookup = _head_lookup(df, head["key"], head["term_id"])
+        # Only the keys are sent to the lookup.
+        lookups[target] = lookup(F.transform(source, _term_key))
+        if head.num_rows == head_terms:
+            tails[target] = (source, keyed.where(F.col("term_id") >= limit))
+    looked = df.withColumns(lookups)
+    for target, (source, tail) in tails.items():
+        looked = _encode_tail(looked, tail, source, target)
+    closed = {
+        target: F.transform(target, lambda i: F.coalesce(i, F.lit(UNKNOWN)))
+        for target in lookups
+        if target not in tails
+    }
+    return looked.withColumns(closed) if closed else looked
 
 
 def _head_lookup(df: DataFrame, keys: pa.ChunkedArray, ids: pa.ChunkedArray):

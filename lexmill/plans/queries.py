@@ -400,13 +400,14 @@ def _(spark, sf):
 # --- functions -----------------------------------------------------------------------------
 
 
-def _cpp_functions(spark, sf) -> DataFrame:
-    return functions_table.cpp_function_table(code_table(spark, sf, "cpp_file"), "id")
+def _cpp_functions(spark, sf, arguments: bool = False) -> DataFrame:
+    files = code_table(spark, sf, "cpp_file")
+    return functions_table.cpp_function_table(files, "id", arguments=arguments)
 
 
 def _java_functions(spark, sf) -> DataFrame:
     files = code_table(spark, sf, "java_tokens").withColumn("tokens", words(F.col("code")))
-    return functions_table.function_table(files, "id", lang="java")
+    return functions_table.function_table(files, "id", lang="java", arguments=False)
 
 
 def _python_functions(spark, sf) -> DataFrame:
@@ -482,7 +483,8 @@ def _(spark, sf):
     flat = code_table(spark, sf, "cpp_file").withColumn(
         "code", F.regexp_replace("code", r"^[^\n]*\n[^\n]*\n", "#endif ")
     )
-    return functions_table.cpp_function_table(flat, "id").select("id", "start_pos", "name")
+    found = functions_table.cpp_function_table(flat, "id", arguments=False)
+    return found.select("id", "start_pos", "name")
 
 
 @query("f12_remove_annotation")
@@ -507,7 +509,7 @@ def _(spark, sf):
 
 @query("f15_arguments")
 def _(spark, sf):
-    found = _cpp_functions(spark, sf)
+    found = _cpp_functions(spark, sf, arguments=True)
     pairs = F.arrays_zip("arg_types", "arg_names")
     return found.select("id", "start_pos", F.posexplode(pairs).alias("arg_no", "arg")).select(
         "id", "start_pos", "arg_no", F.col("arg.arg_types").alias("arg_type"), F.col("arg.arg_names").alias("arg_name")
