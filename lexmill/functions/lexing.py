@@ -86,7 +86,10 @@ def _is_directive(match: Column) -> Column:
 def _directive_pairs(line: Column) -> Column:
     """Pairs of one directive line without blanks in front; a NULL tag is left to the main rules."""
     word = F.regexp_extract(line, rf"^{_DIRECTIVE_WORD}", 0)
-    plain_word = F.regexp_replace(word, r"[ \t]+", "")
+    return let(F.regexp_replace(word, r"[ \t]+", ""), lambda plain: _by_directive(line, word, plain))
+
+
+def _by_directive(line: Column, word: Column, plain_word: Column) -> Column:
     open_tag = F.lit(None).cast("string")
 
     def lexed(pattern: str) -> Column:
@@ -140,7 +143,7 @@ def lex_cpp(code: Column) -> Column:
         mixed = F.transform(
             matches,
             lambda m: F.when(
-                _is_directive(m), _directive_pairs(F.regexp_replace(m, r"^[ \t]++", ""))
+                _is_directive(m), let(F.regexp_replace(m, r"^[ \t]++", ""), _directive_pairs)
             ).otherwise(F.array(_pair(m, F.lit(None).cast("string")))),
         )
         return F.when(F.exists(matches, _is_directive), F.flatten(mixed)).otherwise(plain)
