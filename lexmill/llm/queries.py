@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, pii, sharding, simhash, topk, warc
+from lexmill.llm import bpe, decontaminate, lines, pii, sharding, simhash, topk, warc
 
 QUERIES = {
+    "op1_lines": lines.op1_lines,
     "op2_bpe": bpe.op2_bpe,
     "op3_simhash": simhash.op3_simhash,
     "op4_topk": topk.op4_topk,
     "op5_kd_shards": sharding.op5_kd_shards,
     "op7_warc": warc.op7_warc,
     "op8_pii": pii.op8_pii,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {
     "op4_topk": topk.OP4_SQL,
