@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, decontaminate, lines, pii, sharding, simhash, topk, warc
+from lexmill.llm import bpe, decontaminate, licenses, lines, pii, sharding, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -10,11 +10,14 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_topk": topk.op4_topk,
     "op5_kd_shards": sharding.op5_kd_shards,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_warc": warc.op7_warc,
     "op8_pii": pii.op8_pii,
+    "op9_licenses": licenses.op9_licenses,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 SQL = {
     "op4_topk": topk.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
+    "op9_licenses": licenses.OP9_SQL,
 }
