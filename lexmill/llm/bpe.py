@@ -312,6 +312,25 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     return map_rows(rows, step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_checked(
+    docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, decoded_sha256); fails if ids do not decode to the text they come from."""
+    with open(ranks_path, "rb") as file:
+        content = docs.sparkSession.sparkContext.broadcast(file.read())
+
+    def step(ids, texts):
+        own = codec(content.value, pattern)
+        encoded = own.encode(texts)
+        for doc_id, raw, text, source in zip(ids, encoded, own.decode(encoded), texts):
+            if text != source.encode():
+                raise ValueError(f"the ids of document {doc_id} decode to another text")
+            yield doc_id, len(raw) // 4, np.frombuffer(raw, dtype="<i4"), hashlib.sha256(text).hexdigest()
+
+    rows = docs.select(F.col(id_col).cast("long"), as_text(text_col))
+    return map_rows(rows, step, "doc_id long, n_tokens long, token_ids array<int>, decoded_sha256 string")
+
+
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, as digests."""
     import public_tokenizers

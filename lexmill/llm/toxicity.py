@@ -202,10 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if any(not sizes.get((part, label)) for part in (1, 2) for label in (0.0, 1.0)):
         return Model(lexicon, None, None, share)
     boosted = GBTClassifier(
-        featuresCol="_vector", rawPredictionCol="_raw", probabilityCol="_chance", predictionCol="_class", labelCol="label",
-        maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED,
+        featuresCol="_vector", predictionCol="_class", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED
     )
     trees = boosted.fit(_vector(shown.where("part = 1").select("label", "_features")))
+    trees.setRawPredictionCol("_raw").setProbabilityCol("_chance")
     margins = _margin(trees, shown.where("part = 2").select("label", "_features"))
     isotonic = IsotonicRegression(featuresCol="_margin", labelCol="label")
     return Model(lexicon, trees, isotonic.fit(margins.select("label", "_margin")), share)
