@@ -2,12 +2,13 @@
 
 A text is described by densities of insult words (a fixed list, and words and word beginnings learned from labelled
 texts), how near they stand to second-person words, rates of capitals, exclamation and question marks, obfuscated
-spellings and stretched letters.  Trees are fitted by Spark's ``GBTClassifier`` and their margin is calibrated by
-``IsotonicRegression`` on labelled rows that the trees did not see.
+spellings and stretched letters.  For each of ``FOLDS`` parts of the labelled rows, trees are fitted on the other parts by
+Spark's ``GBTClassifier`` and their margin is calibrated on this part by ``IsotonicRegression``; a score is the mean over
+the parts.
 
 Labels are learned from training rows only (crc32 of the id, modulo 3, is not 1).  At most ``SAMPLE_ROWS`` labelled rows
-are used, the first by a hash of their id; of these, by the same hash, a third each teaches the lexicon, the trees
-and the calibration.  Labels, language, source and id are no inputs of a score.
+are used, the first by a hash of their id, which also deals them into parts.  Labels, language, source and id are no
+inputs of a score.
 
 Defined cases: a NULL or empty text has features zero and gets a score; a document labelled twice differently counts by
 its larger label; labels that are NULL are left out; without both classes among the training rows every score is the share of
@@ -37,7 +38,8 @@ from lexmill.llm.common import as_text, pin, read, slices
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE_ROWS = 24_000
 REJECT = 0.7
-TREES, DEPTH, SEED = 20, 3, 7
+FOLDS = 3
+TREES, DEPTH, LEAST_ROWS, SEED = 20, 3, 5, 7
 #: Terms of the learned lexicon at most, the texts that must hold one, and how surely it must be toxic.
 LEXICON_TERMS, LEXICON_TEXTS, LEXICON_Z = 4096, 4, 4.0
 #: Lengths of word beginnings that the lexicon may hold besides words.
@@ -162,8 +164,8 @@ def with_features(docs: DataFrame, text_col: str, lexicon: Lexicon) -> DataFrame
 @dataclass
 class Model:
     lexicon: Lexicon
-    trees: object
-    calibration: object
+    #: Trees and calibration of each part.
+    parts: list[tuple]
     share: float
 
 
@@ -175,8 +177,8 @@ def _vector(df: DataFrame) -> DataFrame:
 
 
 def _margin(trees, df: DataFrame) -> DataFrame:
-    scored = trees.transform(_vector(df))
-    return scored.withColumn("_margin", vector_to_array("_raw").getItem(1)).drop("_vector", "_raw", "_chance", "_class")
+    scored = trees.transform(df)
+    return scored.withColumn("_margin", vector_to_array("_raw").getItem(1)).drop("_raw", "_chance", "_class")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -192,33 +194,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = pin(known.withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(sample_rows))
     # At most sample_rows rows of three numbers: bounded, whatever the corpus.
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(text_col).alias("text"))
-    rows = pin(texts.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.col("order"), F.lit(3))))
-    classes = {r["label"] > 0: r["count"] for r in rows.groupBy("label").count().collect()}
-    share = classes.get(True, 0) / max(1, sum(classes.values()))
-    lexicon = learn_lexicon(rows.where("part = 0"))
-    shown = with_features(rows.where("part <> 0").select("text", "label", "part"), "text", lexicon)
-    shown = pin(shown.select(F.col("label").cast("double").alias("label"), "part", "_features").coalesce(4))
+    rows = pin(texts.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.col("order"), F.lit(FOLDS))))
+    lexicon = learn_lexicon(rows)
+    shown = with_features(rows.select("text", "label", "part"), "text", lexicon)
+    shown = _vector(shown.select(F.col("label").cast("double").alias("label"), "part", "_features").coalesce(4))
+    shown = pin(shown.drop("_features"))
     sizes = {(r["part"], r["label"]): r["count"] for r in shown.groupBy("part", "label").count().collect()}
-    if any(not sizes.get((part, label)) for part in (1, 2) for label in (0.0, 1.0)):
-        return Model(lexicon, None, None, share)
+    share = sum(n for (_, label), n in sizes.items() if label) / max(1, sum(sizes.values()))
+    if any(not sizes.get((part, label)) for part in range(FOLDS) for label in (0.0, 1.0)):
+        return Model(lexicon, [], share)
     boosted = GBTClassifier(
-        featuresCol="_vector", predictionCol="_class", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED
+        featuresCol="_vector", predictionCol="_class", labelCol="label", maxIter=TREES, maxDepth=DEPTH,
+        minInstancesPerNode=LEAST_ROWS, stepSize=0.3, seed=SEED,
     )
-    trees = boosted.fit(_vector(shown.where("part = 1").select("label", "_features")))
-    trees.setRawPredictionCol("_raw").setProbabilityCol("_chance")
-    margins = _margin(trees, shown.where("part = 2").select("label", "_features"))
-    isotonic = IsotonicRegression(featuresCol="_margin", labelCol="label")
-    return Model(lexicon, trees, isotonic.fit(margins.select("label", "_margin")), share)
+    parts = []
+    for part in range(FOLDS):
+        trees = boosted.fit(shown.where(F.col("part") != part))
+        trees.setRawPredictionCol("_raw").setProbabilityCol("_chance")
+        margins = _margin(trees, shown.where(F.col("part") == part))
+        calibration = IsotonicRegression(featuresCol="_margin", labelCol="label", predictionCol="_part").fit(margins)
+        parts.append((trees, calibration))
+    return Model(lexicon, parts, share)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``_score`` from 0 to 1."""
-    if model.trees is None:
+    if not model.parts:
         return docs.withColumn("_score", F.lit(float(model.share)))
-    scored = _margin(model.trees, with_features(docs, text_col, model.lexicon))
-    calibrated = model.calibration.setPredictionCol("_score").transform(scored)
-    bounded = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_score")))
-    return calibrated.withColumn("_score", bounded).drop("_features", "_margin")
+    scored = _vector(with_features(docs, text_col, model.lexicon))
+    for at, (trees, calibration) in enumerate(model.parts):
+        scored = calibration.transform(_margin(trees, scored)).withColumnRenamed("_part", f"_part{at}").drop("_margin")
+    mean = sum((F.col(f"_part{at}") for at in range(len(model.parts))), F.lit(0.0)) / len(model.parts)
+    bounded = F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean))
+    return scored.withColumn("_score", bounded).select(*docs.columns, "_score")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
