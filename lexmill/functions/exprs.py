@@ -21,6 +21,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: A noncharacter that texts do not hold; it keeps an opener that nothing closes from looking like one.
+OPEN_MARK = "\ufdd0"
+
+
+def mark_open_comments(text: Column) -> Column:
+    """Put OPEN_MARK inside each ``/*`` that no ``*/`` follows.
+
+    A pattern for block comments would read to the end of the text at each of them; marked, they are no
+    match at once, and lexing stays linear.
+    """
+    tail = F.substring_index(text, "*/", -1)
+    head = F.left(text, F.length(text) - F.length(tail))
+    marked = F.concat(head, F.replace(tail, F.lit("/*"), F.lit(f"/{OPEN_MARK}*")))
+    return F.when(tail.contains("/*") & ~text.contains(OPEN_MARK), marked).otherwise(text)
+
+
+def unmark(parts: Column) -> Column:
+    """Matches of a marked text as they stand in the text itself."""
+    plain = F.transform(parts, lambda p: F.replace(p, F.lit(OPEN_MARK), F.lit("")))
+    return F.filter(plain, lambda p: p != "")
+
+
 def strip(text: Column) -> Column:
     """Drop white space from both ends.  The look-behind keeps long inner blanks linear."""
     return F.regexp_replace(text, rf"^{WS}+|(?<!{WS}){WS}+\z", "")

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed
-from lexmill.functions.exprs import NOT_WS, let
+from lexmill.functions.exprs import NOT_WS, OPEN_MARK, let, mark_open_comments, unmark
 
 _COMMENT = r"//[^\n\\]*+(?:\\.[^\n\\]*+)*+|/\*.*?\*/"
 _CHAR = r"(?:u8|[LuU])?'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
@@ -29,7 +29,7 @@ _CPP_OPERATORS = (
 _JAVA_OPERATORS = r"->|\+\+|--|>>>=|<<=|>>=|>>>|\.\.\.|<<|>>|::|[-+*/%&|^=!<>]=|&&|\|\|"
 
 # A directive line runs to its line end, over escaped line ends, and stops before a comment.
-_DIRECTIVE = r"(?:^[ \t]*+#[ \t]*+[A-Za-z](?:[^\n\\/]|\\.|/(?![/*]))*+\n?+)"
+_DIRECTIVE = rf"(?:^[ \t]*+#[ \t]*+[A-Za-z](?:[^\n\\/]|\\.|/(?![/*{OPEN_MARK}]))*+\n?+)"
 
 _CPP_BODY = "|".join(
     (_COMMENT, _CHAR, _RAW_STRING, _STRING, _WORD, _NUMBER, _CPP_OPERATORS, NOT_WS)
@@ -135,6 +135,18 @@ def _by_directive(line: Column, word: Column, plain_word: Column) -> Column:
     )
 
 
+def _matches(code: Column, pattern: str) -> Column:
+    """Matches of a lexer's pattern, in time linear in the text also where comments stay open."""
+
+    def found(text: Column) -> Column:
+        marked = text.contains(OPEN_MARK) & ~code.contains(OPEN_MARK)
+        parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return let(parts, lambda parts: F.when(marked, unmark(parts)).otherwise(parts))
+
+    text = F.replace(code, F.lit("\r"), F.lit(""))
+    return let(let(text, mark_open_comments), found)
+
+
 def lex_cpp(code: Column) -> Column:
     """C or C++ text -> array of (token, tag), in text order."""
 
@@ -160,8 +172,7 @@ def lex_cpp(code: Column) -> Column:
             ),
         )
 
-    text = F.replace(code, F.lit("\r"), F.lit(""))
-    return let(let(F.regexp_extract_all(text, F.lit(_CPP), F.lit(0)), raw), tagged)
+    return let(let(_matches(code, _CPP), raw), tagged)
 
 
 def lex_java(code: Column) -> Column:
@@ -175,5 +186,4 @@ def lex_java(code: Column) -> Column:
             ),
         )
 
-    text = F.replace(code, F.lit("\r"), F.lit(""))
-    return let(F.regexp_extract_all(text, F.lit(_JAVA), F.lit(0)), pairs)
+    return let(_matches(code, _JAVA), pairs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexmill.functions.exprs import WS
+from lexmill.functions.exprs import OPEN_MARK, WS, let, mark_open_comments
 
 # One match per comment, literal, or stretch without either.  Every loop around a group is
 # possessive: a plain loop recurses per character in Java and overflows on long literals.
@@ -19,13 +19,15 @@ _SEGMENT = (
 
 def remove_comments(code: Column) -> Column:
     """Turn each comment into one space; literals that hold comment marks stay."""
-    return F.array_join(
+    cleaned = F.array_join(
         F.transform(
-            F.regexp_extract_all(code, F.lit(_SEGMENT), F.lit(0)),
+            F.regexp_extract_all(mark_open_comments(code), F.lit(_SEGMENT), F.lit(0)),
             lambda s: F.when(s.startswith("//") | s.startswith("/*"), " ").otherwise(s),
         ),
         "",
     )
+    unmarked = lambda c: F.when(code.contains(OPEN_MARK), c).otherwise(F.replace(c, F.lit(OPEN_MARK), F.lit("")))
+    return let(cleaned, unmarked)
 
 
 def remove_trailing_space(code: Column) -> Column:

@@ -14,14 +14,27 @@ from pyspark.sql import functions as F
 def scratch_path(spark: SparkSession) -> str:
     """Fresh path in the shared folder that the session names for checkpoints.
 
-    Only where none is named (tests, a laptop) a temporary folder is made.
+    Only on a local master, where one machine does all work, a temporary folder stands in for it.
+    Everything lies in one folder per application, which :func:`drop_scratch` deletes.
     """
+    return f"{_scratch_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all tables that this application pinned; call it when their results have been used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _scratch_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if folder is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
         folder = context.getCheckpointDir()
-    return f"{folder}/table-{uuid.uuid4().hex}"
+    return f"{folder}/lexmill-{context.applicationId}"
 
 
 def pin(df: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Seeded train / validation / test splits.
 
 Both splits hash the row key, so a row keeps its split when files are re-read, re-ordered or
-extended, and rows with equal keys always stay together (no leak between the splits).
+extended, and rows with equal keys always stay together (no leak between the splits).  Rows with a NULL
+key are one such group.
 """
 
 from __future__ import annotations
@@ -18,8 +19,13 @@ from lexmill.operators.ranking import pin
 _STEP = 4  # hex digits resolved per pass: at most 65,536 counters come back
 
 
+# Rows without a key are one group, like rows of any other key.
+_NO_KEY = "\x00"
+
+
 def _digest(key: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(seed), key.cast("string")).cast("binary"))
+    named = F.coalesce(key.cast("string"), F.lit(_NO_KEY))
+    return F.md5(F.concat(F.lit(seed), named).cast("binary"))
 
 
 def split_bucket(key: Column, seed: str = "") -> Column:

@@ -59,7 +59,8 @@ def to_long(
     """One row per (token, tag) pair with its position; the longer array is cut.
 
     ``number`` names a column that tells texts apart whose ids are equal: copies of one text stay
-    texts of their own when the rows are put together again.
+    texts of their own when the rows are put together again.  Then a text without tokens has one row
+    with a NULL position, so that no text is lost on the way back.
     """
     if number:
         df = df.withColumn(number, F.monotonically_increasing_id())
@@ -68,7 +69,8 @@ def to_long(
     pairs = F.arrays_zip(
         F.slice(tokens, F.lit(1), shared).alias("token"), F.slice(tags, F.lit(1), shared).alias("tag")
     )
-    return df.select(*keep, F.posexplode(pairs).alias("pos", "_pair")).select(
+    opener = F.posexplode_outer if number else F.posexplode
+    return df.select(*keep, opener(pairs).alias("pos", "_pair")).select(
         *keep, "pos", "_pair.token", "_pair.tag"
     )
 
@@ -79,7 +81,8 @@ def to_wide(df: DataFrame, *key: str) -> DataFrame:
     ``key`` must identify one text, so that a group is never larger than a text; where ids repeat,
     the number from :func:`to_long` belongs into it.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token", "tag")))
+    cells = F.when(F.col("pos").isNotNull(), F.struct("pos", "token", "tag"))  # a text without tokens has none
+    ordered = F.array_sort(F.collect_list(cells))
     return (
         df.groupBy(*key)
         .agg(ordered.alias("_rows"))

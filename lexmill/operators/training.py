@@ -51,9 +51,13 @@ def class_counts(df: DataFrame, *by: str, label: str = "label") -> DataFrame:
 
 
 def class_counts_by_split(df: DataFrame, origin: str = "vul_type", label: str = "label") -> DataFrame:
-    """Class counts per origin and per split from one pass over the rows."""
+    """Class counts per origin and per split from one pass over the rows.
+
+    ``by_split`` tells the two kinds of rows apart, also where an origin or a split is NULL.
+    """
     sets = [[F.col(origin)], [F.col("split")]]
     return df.groupingSets(sets, F.col(origin), F.col("split")).agg(
+        (F.grouping(F.col(origin)) == 1).alias("by_split"),
         F.count_if(F.col(label) != 0).alias("vulnerable"),
         F.count_if(F.col(label) == 0).alias("clean"),
     )

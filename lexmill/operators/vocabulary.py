@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -77,9 +79,9 @@ def encode(
 ) -> DataFrame:
     """Add an id array per sequence column; a term outside the vocabulary gets the unknown id.
 
-    ``columns`` maps a namespace to its input and output column.  Frequent terms of all columns are
-    looked up in one pass inside the tasks; a column with more terms than ``head_terms`` then takes
-    its rare ones from a shuffle join.
+    ``columns`` maps a namespace to its input and output column.  The ``head_terms`` lowest ids of each
+    namespace are looked up inside the tasks.  Where a namespace has further terms, whatever ids it lacks,
+    all of them are taken from one shuffle join.  A NULL term is unknown without any lookup.
     """
     chosen = columns or {"tokens": ("tokens", "token_ids"), "tags": ("tags", "tag_ids")}
     lookups, tails = {}, {}
@@ -87,25 +89,20 @@ def encode(
         keyed = vocabulary.where(F.col("namespace") == space).select(
             _term_key(F.col("term")).alias("key"), "term_id"
         )
-        limit = FIRST_ID.get(space, 2) + head_terms
-        head = keyed.where(F.col("term_id") < limit).toArrow()
-        lookup = _head_lookup(df, head["key"], head["term_id"])
+        head = keyed.orderBy("term_id").limit(head_terms).toArrow()
+        last = pc.max(head["term_id"]).as_py()
+        tail = keyed.where(F.col("term_id") > last) if last is not None else keyed.limit(0)
+        if head.num_rows == head_terms and not tail.isEmpty():
+            tails[target] = (source, tail)
         # Only the keys are sent to the lookup.
+        lookup = _head_lookup(df, head["key"], head["term_id"], open_rest=target in tails)
         lookups[target] = lookup(F.transform(source, _term_key))
-        if head.num_rows == head_terms:
-            tails[target] = (source, keyed.where(F.col("term_id") >= limit))
     looked = df.withColumns(lookups)
-    for target, (source, tail) in tails.items():
-        looked = _encode_tail(looked, tail, source, target)
-    closed = {
-        target: F.transform(target, lambda i: F.coalesce(i, F.lit(UNKNOWN)))
-        for target in lookups
-        if target not in tails
-    }
-    return looked.withColumns(closed) if closed else looked
+    return _encode_tails(looked, tails) if tails else looked
 
 
-def _head_lookup(df: DataFrame, keys: pa.ChunkedArray, ids: pa.ChunkedArray):
+def _head_lookup(df: DataFrame, keys: pa.ChunkedArray, ids: pa.ChunkedArray, open_rest: bool):
+    """Ids of known keys; others are unknown, or NULL where a tail may still hold them."""
     table = df.sparkSession.sparkContext.broadcast(
         (keys.combine_chunks().cast(pa.string()), ids.combine_chunks().cast(pa.int32()))
     )
@@ -115,42 +112,52 @@ def _head_lookup(df: DataFrame, keys: pa.ChunkedArray, ids: pa.ChunkedArray):
         known, known_ids = table.value
         lengths = pc.fill_null(pc.list_value_length(sequences), 0).to_numpy(zero_copy_only=False)
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-        found = pc.take(known_ids, pc.index_in(sequences.flatten().cast(pa.string()), known))
-        return pa.ListArray.from_arrays(pa.array(offsets), found, mask=pc.is_null(sequences))
+        # The hash table of the head is built once per batch, so each batch asks for distinct keys only.
+        asked = sequences.flatten().cast(pa.string()).dictionary_encode()
+        found = pc.take(known_ids, pc.index_in(asked.dictionary, known))
+        settled = found if open_rest else pc.fill_null(found, UNKNOWN)
+        cells = pc.take(settled, asked.indices)
+        if asked.null_count:
+            cells = pc.if_else(pc.is_null(asked.indices), pa.scalar(UNKNOWN, pa.int32()), cells)
+        return pa.ListArray.from_arrays(pa.array(offsets), cells, mask=pc.is_null(sequences))
 
     return lookup
 
 
-def _encode_tail(looked: DataFrame, tail: DataFrame, source: str, target: str) -> DataFrame:
-    """Look up the rare terms that are not in the head by a shuffle join.
+def _encode_tails(looked: DataFrame, tails: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """Fill the ids that the heads left open, for all namespaces by one join.
 
-    The head holds every frequent term, so no join key is hot here.  Rows are pinned with a number
-    of their own; copies of one text are separate groups.
+    Only open (row, key) pairs are shuffled, each key once per row, and the ids come back as one map per
+    row that fills the gaps in place.  Terms that no tail holds never meet the rows: the distinct open
+    keys are matched with the tails first, counted per task before the shuffle, so an unknown
+    term that makes up a third of the corpus is one key.
     """
     rows = pin(looked.withColumn("_row", F.monotonically_increasing_id()))
-    open_rows = F.exists(target, lambda i: i.isNull())
-    cells = (
-        rows.where(open_rows)
-        .select("_row", F.posexplode(F.arrays_zip(F.transform(source, _term_key), target)).alias("pos", "_c"))
-        .select("_row", "pos", F.col("_c")["0"].alias("key"), F.col("_c")[target].alias("id"))
-    )
-    rare = (
-        cells.where(F.col("id").isNull())
-        .join(tail, "key", "left")
-        .select("_row", "pos", F.coalesce("term_id", F.lit(UNKNOWN)).alias("id"))
-    )
-    known = cells.where(F.col("id").isNotNull()).select("_row", "pos", "id")
-    sequences = (
-        known.unionByName(rare)
-        .groupBy("_row")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_ids"))
-        .select("_row", F.transform("_ids", lambda c: c["id"]).alias("_ids"))
-    )
-    closed = rows.where(~F.coalesce(open_rows, F.lit(False))).drop("_row")
-    filled = (
-        rows.where(open_rows)
-        .join(sequences, "_row")
-        .withColumn(target, F.col("_ids"))
-        .drop("_row", "_ids")
+
+    def keys(target: str) -> Column:
+        pairs = F.arrays_zip(F.transform(tails[target][0], _term_key).alias("key"), F.col(target).alias("id"))
+        gaps = F.filter(pairs, lambda c: c["id"].isNull())
+        named = F.transform(gaps, lambda c: F.concat(F.lit(f"{target}\x01"), c["key"]))
+        return F.coalesce(F.array_distinct(named), F.array().cast("array<string>"))
+
+    asked = rows.select("_row", F.explode(F.concat(*map(keys, tails))).alias("key"))
+    terms = [
+        tail.select(F.concat(F.lit(f"{target}\x01"), "key").alias("key"), "term_id")
+        for target, (_, tail) in tails.items()
+    ]
+    terms = reduce(DataFrame.unionByName, terms)
+    answered = pin(terms.join(asked.select("key").distinct(), "key", "left_semi"))
+    ids = asked.join(answered, "key").groupBy("_row").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "term_id"))).alias("_ids")
     )
-    return closed.unionByName(filled)
+
+    def filled(target: str) -> Column:
+        pairs = F.arrays_zip(F.transform(tails[target][0], _term_key).alias("key"), F.col(target).alias("id"))
+        name = F.lit(f"{target}\x01")
+        return F.transform(
+            pairs,
+            lambda c: F.coalesce(c["id"], F.element_at("_ids", F.concat(name, c["key"])), F.lit(UNKNOWN)),
+        )
+
+    joined = rows.join(ids, "_row", "left")
+    return joined.withColumns({target: filled(target) for target in tails}).drop("_row", "_ids")

@@ -421,6 +421,17 @@ parsed as (select id, block_no, array_to_string(l[2:-2], {NL}) as code, try_cast
         "union all select id, 'python', pos, token from pytok",
     )
     sql["l7_long_and_wide"] = with_(code_cpp, lex("code_cpp"), select=f"select id, {joined} from tok group by id")
+    blanked = "blank_some as (select id, case when id % 7 = 0 then chr(10) else code end as code from code_cpp)"
+    sql["l7_texts_without_tokens"] = with_(
+        code_cpp, blanked, lex("blank_some"), f"wide as (select id, {joined} from tok group by id)",
+        select="select id, coalesce(tokens, '') as tokens, coalesce(tags, '') as tags from blank_some left join wide using (id)",
+    )
+    bad = "rtrim(code, ' ') || chr(10) || 'if x:' || chr(10) || '        y = 1' || chr(10) || '    z = 2' || chr(10)"
+    sql["l4_rejected_sources"] = with_(
+        cte("code_py"),
+        select=f"select id, cast(length(case when id % 5 = 0 then {bad} else code end) as int) as chars, "
+        "case when id % 5 = 0 then 'rejected' else 'accepted' end as kind from code_py",
+    )
     c_marked, py_marked = t2("code"), t2("code", fixed.PYTHON_SPECIALS)
     sql["l8_special_tokens"] = with_(
         cte("cpp_file"),
@@ -591,6 +602,17 @@ parsed as (select id, block_no, array_to_string(l[2:-2], {NL}) as code, try_cast
     row_number() over (order by md5('{SPLIT_SEED}' || cast(doc_id as varchar))) as k, count(*) over () as n from documents),
 c as (select *, cast(ceil(n / 5.0) as bigint) as held from r)
 select id, case when k <= n - held then 'train' when k <= n - cast(ceil(held / 2.0) as bigint) then 'validation' else 'test' end as split from c"""
+    named = "coalesce(cast(case when id % 9 <> 0 then id end as varchar), chr(0))"
+    gaps = f"(select id, md5('{SPLIT_SEED}' || {named}) as digest from (select doc_id as id from documents))"
+    gap_bucket = "(('0x' || substr(digest, 1, 8))::bigint % 100)"
+    sql["d1_hash_split_null_keys"] = (
+        f"select id, case when {gap_bucket} < 80 then 'train' when {gap_bucket} < 90 then 'validation' else 'test' end as split from {gaps}"
+    )
+    sql["d2_exact_split_null_keys"] = f"""with r as (select id, digest, row_number() over (order by digest) as k, count(*) over () as n from {gaps}),
+c as (select *, cast(ceil(n / 5.0) as bigint) as held from r),
+e as (select max(digest) filter (where k <= n - held) as train_end,
+    max(digest) filter (where k <= n - cast(ceil(held / 2.0) as bigint)) as validation_end from c)
+select id, case when digest <= train_end then 'train' when digest <= validation_end then 'validation' else 'test' end as split from c, e"""
     labelled = (
         "labelled as (select d.doc_id as id, d.text as code, d.source, l.quality as label "
         "from documents d left join labels l on l.doc_id = d.doc_id)"
@@ -630,12 +652,21 @@ select id, case when k <= n - held then 'train' when k <= n - cast(ceil(held / 2
     )
     sql["d7_encode"] = encoded
     sql["d7_encode_rare_terms"] = encoded
+    sql["d7_encode_filtered_vocabulary"] = with_(
+        *doc_tok,
+        "entries as (select 'tokens' as namespace, token as term from tok join labelled using (id) where source = 'src0' "
+        "union all select 'tags', tag from tok join labelled using (id) where source = 'src0')",
+        vocabulary(1), "kept as (select * from vocab where term_id % 3 <> 0)",
+        select="select id, pos, coalesce(a.term_id, 1) as token_id, coalesce(b.term_id, 1) as tag_id from tok "
+        "left join kept a on a.namespace = 'tokens' and a.term = token left join kept b on b.namespace = 'tags' and b.term = tag",
+    )
     counts = (
         "count(*) filter (where label <> 0) as vulnerable, count(*) filter (where label = 0) as clean"
     )
     sql["d8_class_counts"] = with_(
         labelled, f"rows_ as (select *, {split} as split from labelled)",
-        select=f"select source as vul_type, split, {counts} from rows_ group by grouping sets ((source), (split))",
+        select=f"select vul_type, split, grouping(vul_type) = 1 as by_split, {counts} "
+        "from (select *, nullif(source, 'src3') as vul_type from rows_) group by grouping sets ((vul_type), (split))",
     )
     sql["d9_training_rows"] = with_(
         labelled, f"chosen as (select * from labelled where {split} = 'train')", lex("chosen"),
@@ -643,6 +674,30 @@ select id, case when k <= n - held then 'train' when k <= n - cast(ceil(held / 2
         select="select c.id, cast(label as varchar) as label, coalesce(tokens, '') as tokens, coalesce(tags, '') as tags "
         "from chosen c left join short s on s.id = c.id",
     )
+    corpus = (
+        code_cpp,
+        f"nr as (select id, label, code as raw, {n1('code')} as code from code_cpp)",
+        f"ns as (select id, label, raw, {n2('code')} as code from nr)",
+        f"clean as (select id, label, raw, {n3('code')} as code from ns)",
+        lex("clean"),
+        f"wide as (select id, {joined} from tok group by id)",
+        f"built as (select c.id as no, c.code, md5(raw) as id, coalesce(tokens, '') as tokens, coalesce(tags, '') as tags from clean c left join wide w on w.id = c.id)",
+    )
+    sql["corpus_reveal"] = with_(*corpus, select=f"select code, cast(no % 2 as int) as label, {split} as split, tokens, tags from built")
+    sql["corpus_codexglue"] = with_(
+        *corpus,
+        select="select code as func, cast(no % 2 as int) as label, "
+        "case no % 3 when 0 then 'train' when 1 then 'validation' else 'test' end as split, tokens, tags from built",
+    )
+    short_tok = f"string_agg(token, ' ' order by pos) filter (where pos < {SEQUENCE_LIMIT}) as tokens, string_agg(tag, ' ' order by pos) filter (where pos < {SEQUENCE_LIMIT}) as tags"
+    cut_corpus = (*corpus, f"cut as (select id as no, {short_tok} from tok group by id)")
+    sql["d9_read_saved_split"] = with_(
+        *cut_corpus,
+        select=f"select cast(no % 2 as int) as label, coalesce(c.tokens, '') as tokens, coalesce(c.tags, '') as tags from built left join cut c using (no) where {split} = 'train'",
+    )
+    sql["d9_read_saved_split_text_labels"] = with_(
+        *corpus, select=f"select cast(no % 2 as varchar) as label, tokens, tags from built where {split} = 'validation'"
+    )
     sql["udf1_map_batches"] = f"select doc_id as id, cast(length(text) - length(replace(text, {NL}, '')) + 1 as bigint) as n_lines from documents"
     sql["udf2_plugged_language"] = with_(
         DOCUMENTS,

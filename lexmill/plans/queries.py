@@ -14,6 +14,7 @@ from lexmill.functions.rendering import indent_lines, join_macro_parameters
 from lexmill.operators import columns, functions_table, splitting, tokens, training, vocabulary
 from lexmill.operators.languages import Language, language, register
 from lexmill.operators.ranking import scratch_path
+from lexmill.plans import corpora
 from lexmill.plans.code_tables import code_table
 from lexmill.sources import blocks, tables
 
@@ -298,6 +299,17 @@ def _(spark, sf):
     return _texts(tokens.text_tokens_table(code_table(spark, sf, "py_file"), "code", "python"))
 
 
+@query("l4_rejected_sources")
+def _(spark, sf):
+    """Python text whose layout is broken in every fifth row: input is accepted plus rejected."""
+    bad = F.concat(F.rtrim("code"), F.lit("\nif x:\n        y = 1\n    z = 2\n"))
+    code = F.when(F.col("id") % 5 == 0, bad).otherwise(F.col("code"))
+    rows = code_table(spark, sf, "code_py").withColumn("code", code)
+    read, rejected = tokens.accepted_and_rejected(tokens.text_tokens_table(rows, lang="python"))
+    told = [part.select("id", F.length("code").alias("chars"), F.lit(name).alias("kind")) for part, name in ((read, "accepted"), (rejected, "rejected"))]
+    return columns.union_all(*told)
+
+
 @query("l5_tokenized_corpus")
 def _(spark, sf):
     lexed = tokens.tokenize(code_table(spark, sf, "code_cpp"), "code")
@@ -326,6 +338,17 @@ def _(spark, sf):
     )
 
 
+@query("l7_texts_without_tokens")
+def _(spark, sf):
+    """As l7_long_and_wide, where every seventh text has no token."""
+    code = F.when(F.col("id") % 7 == 0, F.lit(" \n")).otherwise(F.col("code"))
+    lexed = tokens.tokenize(code_table(spark, sf, "code_cpp").withColumn("code", code), "code")
+    wide = tokens.to_wide(tokens.to_long(lexed, "id", number="text_no"), "id", "text_no")
+    return wide.select(
+        "id", F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags")
+    )
+
+
 @query("l8_special_tokens")
 def _(spark, sf):
     def both(specials):
@@ -566,6 +589,21 @@ def _(spark, sf):
     return splitting.exact_split(docs, "id", SPLIT_SEED)
 
 
+def _keys_with_gaps(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    return docs.withColumn("key", F.when(F.col("id") % 9 != 0, F.col("id")))
+
+
+@query("d1_hash_split_null_keys")
+def _(spark, sf):
+    return splitting.hash_split(_keys_with_gaps(spark, sf), "key", SPLIT_SEED).select("id", "split")
+
+
+@query("d2_exact_split_null_keys")
+def _(spark, sf):
+    return splitting.exact_split(_keys_with_gaps(spark, sf), "key", SPLIT_SEED).select("id", "split")
+
+
 @query("d3_truncate")
 def _(spark, sf):
     rows = training.training_rows(_document_tokens(spark, sf), SEQUENCE_LIMIT)
@@ -615,9 +653,21 @@ def _(spark, sf):
     return _encoded(spark, sf, head_terms=50)
 
 
+@query("d7_encode_filtered_vocabulary")
+def _(spark, sf):
+    """All documents with the vocabulary of one source, without each third of its terms and with a small head."""
+    docs = _document_tokens(spark, sf)
+    terms = vocabulary.build_vocabulary(docs.where(F.col("source") == "src0")).where(F.col("term_id") % 3 != 0)
+    ids = vocabulary.encode(docs, terms, head_terms=50)
+    return ids.select("id", F.posexplode(F.arrays_zip("token_ids", "tag_ids")).alias("pos", "c")).select(
+        "id", "pos", F.col("c.token_ids").alias("token_id"), F.col("c.tag_ids").alias("tag_id")
+    )
+
+
 @query("d8_class_counts")
 def _(spark, sf):
-    docs = labelled_documents(spark, sf).select("id", "label", F.col("source").alias("vul_type"))
+    origin = F.when(F.col("source") != "src3", F.col("source"))  # one origin is unknown
+    docs = labelled_documents(spark, sf).select("id", "label", origin.alias("vul_type"))
     return training.class_counts_by_split(splitting.hash_split(docs, "id", SPLIT_SEED))
 
 
@@ -631,6 +681,60 @@ def _(spark, sf):
     )
 
 
+# --- corpus builds ---
+
+
+def _corpus_rows(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*names, F.array_join("tokens", " ").alias("tokens"), F.array_join("tags", " ").alias("tags"))
+
+
+@query("corpus_reveal")
+def _(spark, sf):
+    """JSON files that each hold one array, through the whole build."""
+    path = scratch_path(spark)
+    parts = code_table(spark, sf, "code_cpp").select("code", F.col("id").alias("size"))
+    for name, rest in (("vulnerables", 1), ("non-vulnerables", 0)):
+        rows = parts.where(F.col("size") % 2 == rest)
+        # Each file holds one array of at most a thousand records.
+        chunk = F.floor(F.col("size") / 1000).alias("chunk")
+        files = rows.groupBy(chunk).agg(F.to_json(F.collect_list(F.struct("code", "size"))).alias("value"))
+        files.write.partitionBy("chunk").text(f"{path}/reveal/raw_data/{name}.json")
+    return _corpus_rows(corpora.reveal(spark, path, SPLIT_SEED), "code", "label", "split")
+
+
+@query("corpus_codexglue")
+def _(spark, sf):
+    """An exported table that comes with its splits, through the whole build."""
+    path = scratch_path(spark)
+    rows = code_table(spark, sf, "code_cpp").select(
+        "id", F.col("code").alias("func"), (F.col("id") % 2 == 1).alias("target"), F.lit("p").alias("project"), F.lit("c").alias("commit_id")
+    )
+    for at, name in enumerate((fixed.TRAIN, fixed.VALIDATION, fixed.TEST)):
+        rows.where(F.col("id") % 3 == at).write.parquet(f"{path}/code_x_glue_cc_defect_detection/raw_data/{name}")
+    return _corpus_rows(corpora.codexglue(spark, path), "func", "label", "split")
+
+
+def _saved_reveal(spark, sf) -> str:
+    path = scratch_path(spark)
+    parts = code_table(spark, sf, "code_cpp").select("code", F.col("id").alias("size"))
+    for name, rest in (("vulnerables", 1), ("non-vulnerables", 0)):
+        parts.where(F.col("size") % 2 == rest).write.json(f"{path}/reveal/raw_data/{name}.json")
+    corpora.reveal(spark, path, SPLIT_SEED, lines=True)
+    return f"{path}/reveal/tokenized"
+
+
+@query("d9_read_saved_split")
+def _(spark, sf):
+    rows = corpora.read_for_training(spark, _saved_reveal(spark, sf), fixed.TRAIN, SEQUENCE_LIMIT, "strict")
+    return _corpus_rows(rows, "label")
+
+
+@query("d9_read_saved_split_text_labels")
+def _(spark, sf):
+    rows = corpora.read_for_training(spark, _saved_reveal(spark, sf), fixed.VALIDATION, None, "string")
+    return _corpus_rows(rows, "label")
+
+
 # --- user functions ------------------------------------------------------------------------
 
 
@@ -644,11 +748,14 @@ def _(spark, sf):
     return tokens.map_batches(docs, measure, "id bigint, n_lines bigint")
 
 
+# Registered once, before any plan is built.
+register(
+    "words",
+    Language(lex=lambda c: F.transform(words(c), lambda w: F.struct(w.alias("token"), F.lit("word").alias("tag")))),
+)
+
+
 @query("udf2_plugged_language")
 def _(spark, sf):
-    register(
-        "words",
-        Language(lex=lambda c: F.transform(words(c), lambda w: F.struct(w.alias("token"), F.lit("word").alias("tag")))),
-    )
     docs = heavy(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return _long(tokens.tokenize(docs, "text", "words"), "id")
