@@ -58,10 +58,6 @@ def replace_in_order(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
-def one_of(value: Column, choices: Iterable[str]) -> Column:
-    return value.isin(*choices)
-
-
 def opened(items: Column) -> Column:
     """Array as input for an explode.
 
@@ -88,7 +84,7 @@ def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column])
         states = F.aggregate(
             chunk,
             F.array(last),
-            lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))),
+            lambda acc, x: F.concat(acc, F.array(let(F.element_at(acc, -1), lambda state: step(state, x)))),
         )
         return F.when(F.size(chunk) == 0, done).otherwise(
             F.concat(done, F.array(let(states, lambda s: F.slice(s, F.lit(2), F.size(s)))))

@@ -1,29 +1,51 @@
 """Function spans in token arrays, one left fold per row.
 
 A file is one row, so its functions are found where the row is: nothing is exploded, shuffled
-or grouped, and neither a huge file count nor many copies of one file can make a hot task.
+or grouped, and neither a huge file count nor many copies of one file can make a hot task.  The
+state of the fold has a fixed size: a state carries the span that ends there, if any, and the
+spans are picked from the states, so the time is linear in the tokens however many functions a
+file has.
 Positions count tokens from zero; both ends belong to the span.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed
-from lexmill.functions.exprs import let
+from lexmill.functions.exprs import let, scan
 
-_SPAN = "array<struct<start:int,end:int,in_class:boolean>>"
+_SPAN = "struct<start:int,end:int,in_class:boolean>"
 
 
-def _no_spans() -> Column:
-    return F.array().cast(_SPAN)
+def _no_span() -> Column:
+    return F.lit(None).cast(_SPAN)
 
 
 def _span(start: Column, end: Column, in_class: Column) -> Column:
-    return F.array(
-        F.struct(start.alias("start"), end.cast("int").alias("end"), in_class.alias("in_class"))
-    )
+    return F.struct(start.alias("start"), end.cast("int").alias("end"), in_class.alias("in_class"))
+
+
+def _spans(
+    events: Column,
+    start: Column,
+    step: Callable[[Column, Column], Column],
+    unclosed: Callable[[Column], Column] | None = None,
+) -> Column:
+    """Spans of all states of the fold, and of a function that is still open at the end."""
+
+    def picked(states: Column) -> Column:
+        found = F.filter(F.transform(states, lambda s: s["span"]), lambda p: p.isNotNull())
+        if unclosed is None:
+            return found
+        last = F.get(states, F.size(states) - 1)
+        is_open = F.coalesce(last["depth"] > 0, F.lit(False))
+        return F.when(is_open, F.concat(found, F.array(unclosed(last)))).otherwise(found)
+
+    return let(let(events, lambda bound: scan(bound, start, step)), picked)
 
 
 def cpp_spans(pairs: Column) -> Column:
@@ -72,7 +94,7 @@ def cpp_spans(pairs: Column) -> Column:
         F.lit("").alias("scopes"),  # open braces outside functions, "1" for a class body
         F.lit(0).alias("depth"),  # braces open inside the current function
         F.lit(-1).alias("start"),
-        _no_spans().alias("found"),
+        _no_span().alias("span"),
     )
 
     def step(s: Column, e: Column) -> Column:
@@ -105,16 +127,12 @@ def cpp_spans(pairs: Column) -> Column:
             .otherwise(s["depth"])
             .alias("depth"),
             F.when(accepted, s["bound"] + 1).otherwise(s["start"]).alias("start"),
-            F.when(ended, F.concat(s["found"], _span(s["start"], e["i"], in_class)))
-            .otherwise(s["found"])
-            .alias("found"),
+            F.when(ended, _span(s["start"], e["i"], in_class)).alias("span"),
         )
 
-    def finish(s: Column) -> Column:
-        unclosed = _span(s["start"], F.size(pairs) - 1, s["scopes"].endswith("1"))
-        return F.when(s["depth"] > 0, F.concat(s["found"], unclosed)).otherwise(s["found"])
-
-    return F.aggregate(events, start, step, finish)
+    return _spans(
+        events, start, step, lambda s: _span(s["start"], F.size(pairs) - 1, s["scopes"].endswith("1"))
+    )
 
 
 def java_spans(tokens: Column) -> Column:
@@ -163,7 +181,7 @@ def java_spans(tokens: Column) -> Column:
         F.lit(False).alias("header"),
         F.lit(0).alias("depth"),
         F.lit(-1).alias("start"),
-        _no_spans().alias("found"),
+        _no_span().alias("span"),
     )
 
     def step(s: Column, e: Column) -> Column:
@@ -194,16 +212,12 @@ def java_spans(tokens: Column) -> Column:
             .otherwise(s["depth"])
             .alias("depth"),
             F.when(accepted, s["begin"]).otherwise(s["start"]).alias("start"),
-            F.when(ended, F.concat(s["found"], _span(s["start"], e["i"], F.lit(True))))
-            .otherwise(s["found"])
-            .alias("found"),
+            F.when(ended, _span(s["start"], e["i"], F.lit(True))).alias("span"),
         )
 
-    def finish(s: Column) -> Column:
-        unclosed = _span(s["start"], F.size(tokens) - 1, F.lit(True))
-        return F.when(s["depth"] > 0, F.concat(s["found"], unclosed)).otherwise(s["found"])
-
-    return F.aggregate(let(solid, events), start, step, finish)
+    return _spans(
+        let(solid, events), start, step, lambda s: _span(s["start"], F.size(tokens) - 1, F.lit(True))
+    )
 
 
 def python_spans(tokens: Column) -> Column:
@@ -220,7 +234,7 @@ def python_spans(tokens: Column) -> Column:
         F.lit(False).alias("inside"),
         F.lit(0).alias("depth"),
         F.lit(-1).alias("start"),
-        _no_spans().alias("found"),
+        _no_span().alias("span"),
     )
 
     def step(s: Column, e: Column) -> Column:
@@ -232,9 +246,7 @@ def python_spans(tokens: Column) -> Column:
             ((s["inside"] & ~ended) | begins).alias("inside"),
             depth.alias("depth"),
             F.when(begins, e["i"]).otherwise(s["start"]).alias("start"),
-            F.when(ended, F.concat(s["found"], _span(s["start"], e["i"], F.lit(True))))
-            .otherwise(s["found"])
-            .alias("found"),
+            F.when(ended, _span(s["start"], e["i"], F.lit(True))).alias("span"),
         )
 
-    return F.aggregate(events, start, step, lambda s: s["found"])
+    return _spans(events, start, step)
