@@ -253,9 +253,9 @@ class Codec:
             "select text, string_agg(bytes, '' order by pos) as bytes, count(*) as n from given join vocabulary using (id) group by text"
         ).to_arrow_table()
         self.db.unregister("given")
-        for text, raw, n in zip(*(c.to_pylist() for c in found.columns)):
-            if n != sizes[text]:
-                raise ValueError("an id is not in the vocabulary")
+        if sum(found.column("n").to_pylist()) != len(ids):
+            raise ValueError("an id is not in the vocabulary")
+        for text, raw in zip(found.column("text").to_pylist(), found.column("bytes").to_pylist()):
             out[text] = raw.encode("latin-1")
         return out
 
