@@ -7,8 +7,9 @@ With ``blocks`` parts of the 64 bits, lines whose fingerprints differ in at most
 are verified by edit similarity on the normalised lines, links are connected, and the first occurrence (doc, line number) of each group stays.
 
 Not all pairs of a bucket are made.  First every line is compared with the bucket's smallest line only, which
-is linear; then only lines that are not connected yet are compared with each other.  So a large group of like lines
-costs as many comparisons as it has lines and not their square, and no link between groups is lost.
+is linear; then only lines that are not connected yet are compared with each other, and once more where a
+verification failed.  So a large group of like lines costs as many comparisons as it has lines and not their square, and no
+link between groups is lost.
 
 Lines travel as digests, counters as packed longs: texts are shuffled once, and only of documents with a line in a shared bucket.
 
@@ -19,11 +20,13 @@ very long lines are compared whole; other columns are ignored by ``duplicate_lin
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.exprs import let
 from lexmill.llm.common import pin, read, signed
 from lexmill.llm.components import components
 
@@ -31,63 +34,89 @@ SEED = 42
 BITS = 64
 RADIUS, BLOCKS = 2, 4
 SIMILARITY = 0.8
+#: Bits of a packed counter, and the words of a line that it can count.
+FIELD = 16
+MANY_WORDS = 32767
+#: Edit distances are looked for in bands of these widths before the whole table is filled.
+BANDS = (16, 64, 256, 1024, 4096)
 
 
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def _majority(hashes: Column, n: Column, field: int) -> Column:
-    """Bits that over half of ``n`` hashes have, counted in packed fields of ``field`` bits.
+def _ones(field: int) -> int:
+    """The lowest bit of each field but the top one, which is handled apart because longs have a sign."""
+    return sum(1 << at for at in range(0, BITS - field, field))
 
-    Accumulator j holds the counts of bits j, j + field, ... side by side.  Adding the same number to every
-    field lifts exactly the counts over n / 2 into the field's highest bit.  The top field is lifted apart,
-    because longs have a sign.
+
+def _lifted(count: Column, n: Column, field: int) -> Column:
+    """One bit per field of ``count``: whether the field is over n / 2.
+
+    Adding the same number to every field lifts exactly those counts into the field's highest bit.
     """
     top = BITS - field
-    ones = sum(1 << at for at in range(0, BITS, field))
     lift = F.lit((1 << (field - 1)) - 1).cast("long") - F.shiftright(n, 1).cast("long")
-    lifts = lift * F.lit(ones - (1 << top)).cast("long")
-    out = F.lit(0).cast("long")
+    low = F.shiftright(count.bitwiseAND(F.lit((1 << top) - 1)) + lift * F.lit(_ones(field)), field - 1).bitwiseAND(F.lit(_ones(field)))
+    return low.bitwiseOR(F.shiftleft(F.shiftright(F.shiftright(count, top) + lift, field - 1), top))
 
-    def counted(place: int) -> Column:
-        return F.aggregate(
-            hashes, F.lit(0).cast("long"), lambda total, h: total + F.shiftright(h, place).bitwiseAND(F.lit(ones))
-        )
 
-    for place in range(field):
-        count = counted(place)
-        low = F.shiftright(count.bitwiseAND(F.lit((1 << top) - 1)) + lifts, field - 1).bitwiseAND(F.lit(ones - (1 << top)))
-        high = F.shiftleft(F.shiftright(F.shiftright(count, top) + lift, field - 1), top)
-        over = low.bitwiseOR(high)
-        out = out.bitwiseOR(F.shiftleft(over, place))
-    return out
-
-
-def simhash(words: Column) -> Column:
-    """SimHash of an array of words as a long; the fields are as wide as the number of words asks for."""
-    def of(part: Column) -> Column:
-        n = F.size(part)
-        return (
-            F.when(n < 128, _majority(part, n, 8)).when(n < 32768, _majority(part, n, 16)).otherwise(_majority(part, n, 32))
-        )
+def _place(h: Column, at: int, field: int) -> Column:
+    """Bits at, at + field, ... of a hash, each at the foot of its field."""
+    return F.shiftright(h, at).bitwiseAND(F.lit(_ones(field) | 1 << (BITS - field)))
+
+
+def majority(counts: list[Column], n: Column, field: int) -> Column:
+    """The fingerprint from packed counts of ``n`` hashes."""
+    bits = (F.shiftleft(_lifted(count, n, field), at) for at, count in enumerate(counts))
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def _long_line(words: Column) -> Column:
+    """The fingerprint of a line of very many words, counted in fields of 32 bits within the row."""
+
+    def counted(hashes: Column, at: int) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda total, h: total + _place(h, at, 32))
+
+    def of(hashes: Column) -> Column:
+        return majority([counted(hashes, at) for at in range(32)], F.size(hashes), 32)
 
-    # One lambda binds the hashes, so that every counter reads the same array.
-    hashes = F.transform(words, lambda word: F.xxhash64(word))
-    return F.element_at(F.transform(F.array(hashes), of), 1)
+    return let(F.transform(words, lambda word: F.xxhash64(word)), of)
+
+
+def with_simhash(marked: DataFrame) -> DataFrame:
+    """(doc_id, line_no, k1, k2, fp) of rows (row, doc_id, line_no, norm, k1, k2).
+
+    Words are opened and their hashes' bits are counted per line, four counters of ``FIELD`` bits packed in a long; a task
+    counts whole lines, so one small row per line is shuffled.
+    """
+    words = marked.select("row", "doc_id", "line_no", "k1", "k2", F.split("norm", " ").alias("words"))
+    few = F.size("words") <= MANY_WORDS
+    words = words.select(
+        "row", "doc_id", "line_no", "k1", "k2", F.size("words").alias("n"),
+        F.when(~few, _long_line(F.col("words"))).alias("long_fp"),
+        F.when(few, F.col("words")).otherwise(F.array(F.lit(""))).alias("words"),
+    )
+    opened = words.withColumn("word", F.explode("words")).withColumn("h", F.xxhash64("word"))
+    told = [F.min(name).alias(name) for name in ("doc_id", "k1", "k2", "n", "long_fp")]
+    counts = [F.sum(_place(F.col("h"), at, FIELD)).alias(f"count{at}") for at in range(FIELD)]
+    counted = opened.groupBy("row", "line_no").agg(*told, *counts)
+    fp = F.coalesce("long_fp", majority([F.col(f"count{at}") for at in range(FIELD)], F.col("n"), FIELD))
+    return counted.select("doc_id", "line_no", "k1", "k2", fp.alias("fp"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, norm) of every line with letters or digits."""
+    """(row, doc_id, line_no, norm) of every line with letters or digits."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    lines = rows.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", normalised(F.col("line")).alias("norm")).where("norm <> ''")
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).where("doc_id is not null")
+    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("row", "doc_id", "line_no", normalised(F.col("line")).alias("norm")).where("norm <> ''")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, k1, k2) of every line: its place and the digest of its normalised form."""
+    """The lines with the digest (k1, k2) of their normalised form."""
     return _lines(docs, id_col, text_col).select(
-        "doc_id", "line_no", "norm", F.xxhash64("norm").alias("k1"), F.xxhash64("norm", F.lit(SEED)).alias("k2")
+        "row", "doc_id", "line_no", "norm", F.xxhash64("norm").alias("k1"), F.xxhash64("norm", F.lit(SEED)).alias("k2")
     )
 
 
@@ -95,8 +124,7 @@ def _buckets(fp: Column, radius: int, blocks: int) -> tuple[Column, list[int]]:
     bounds = [BITS * at // blocks for at in range(blocks + 1)]
     masks = [((1 << high) - 1) & ~((1 << low) - 1) for low, high in zip(bounds, bounds[1:])]
     chosen = [signed(sum(parts)) for parts in combinations(masks, blocks - radius)]
-    keys = (F.struct(F.lit(at).alias("parts"), fp.bitwiseAND(F.lit(mask)).alias("key")) for at, mask in enumerate(chosen))
-    return F.array(*keys), chosen
+    return F.array(*(F.xxhash64(F.lit(at), fp.bitwiseAND(F.lit(mask))) for at, mask in enumerate(chosen))), chosen
 
 
 def _alike(left: Column, right: Column, similarity: float) -> Column:
@@ -106,50 +134,64 @@ def _alike(left: Column, right: Column, similarity: float) -> Column:
     near = F.abs(F.length(left) - F.length(right)) <= allowed
     # The function's limit is a constant: few edits, the usual case, are told by a narrow band.
     alike = F.levenshtein(left, right) <= allowed
-    for limit in (256, 16):
-        alike = F.levenshtein(left, right, limit).between(F.lit(0), allowed) | ((allowed > limit) & alike)
+    for limit in reversed(BANDS):
+        wider = F.when(allowed > limit, alike).otherwise(F.lit(False))
+        alike = let(F.levenshtein(left, right, limit), _told(allowed, wider))
     return near & alike
 
 
+def _told(allowed: Column, wider: Column):
+    """What a distance says that is -1 beyond its band."""
+    return lambda distance: F.when(distance >= 0, distance <= allowed).otherwise(wider)
+
+
 def duplicate_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY
 ) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no) of every line that repeats an earlier one, exactly or nearly."""
     marked = _marked(docs, id_col, text_col)
-    places = marked.select("k1", "k2", "doc_id", "line_no", simhash(F.split("norm", " ")).alias("fp"))
-    places = pin(places)
+    places = pin(with_simhash(marked))
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     distinct = pin(
         places.groupBy("k1", "k2").agg(first, F.min("fp").alias("fp")).withColumn("line", F.monotonically_increasing_id())
     )
     keys, masks = _buckets(F.col("fp"), radius, blocks)
-    dealt = distinct.select("line", "fp", F.explode(keys).alias("bucket")).select("line", "fp", "bucket.*")
-    leaders = dealt.groupBy("parts", "key").agg(
+    dealt = distinct.select("line", "fp", F.explode(keys).alias("key"))
+    leaders = dealt.groupBy("key").agg(
         F.min("line").alias("leader"), F.min_by("fp", "line").alias("leader_fp"), F.count(F.lit(1)).alias("n")
     )
     leaders = pin(leaders.where("n > 1").drop("n"))
-    members = pin(dealt.join(leaders, ["parts", "key"]))
+    members = pin(dealt.join(leaders, "key"))
     within = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
+    def across(links: DataFrame) -> DataFrame:
+        """Pairs within the radius, in buckets that still hold several groups, whose groups differ."""
+        rooted = components(links).withColumnRenamed("node", "line")
+        known = members.select("key", "line", "fp").join(rooted, "line", "left").withColumn("root", F.coalesce("root", "line"))
+        known = pin(known)
+        several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        left = pin(known.join(pin(several.select("key")), "key"))
+        right = left.select("key", F.col("line").alias("line2"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
+        differ = F.col("fp").bitwiseXOR(F.col("fp2"))
+        # A pair may meet in several buckets and counts in the first: no distinct is needed.
+        first = F.coalesce(
+            *(F.when(differ.bitwiseAND(F.lit(mask)) == 0, F.xxhash64(F.lit(at), F.col("fp").bitwiseAND(F.lit(mask)))) for at, mask in enumerate(masks))
+        )
+        pairs = left.join(right, "key").where((F.col("line") < F.col("line2")) & (F.col("root") != F.col("root2")))
+        pairs = pairs.where(within("fp", "fp2")).where(F.col("key") == first)
+        return pin(pairs.select(F.col("line2").alias("a"), F.col("line").alias("b")))
+
     to_leader = members.where("line <> leader").where(within("fp", "leader_fp"))
-    starts = pin(to_leader.select(F.col("line").alias("a"), F.col("leader").alias("b")).distinct())
-    texts = _texts(docs, id_col, text_col, distinct, members.select("line").distinct())
-    links = pin(_verified(starts, texts, similarity))
-    # What the leaders have not connected is compared pair by pair, in buckets that still hold several groups.
-    rooted = components(links).withColumnRenamed("node", "line")
-    known = pin(members.select("parts", "key", "line", "fp").join(rooted, "line", "left").withColumn("root", F.coalesce("root", "line")))
-    several = known.groupBy("parts", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    several = pin(several.select("parts", "key"))
-    left = pin(known.join(several, ["parts", "key"]))
-    right = left.select("parts", "key", F.col("line").alias("line2"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    differ = F.col("fp").bitwiseXOR(F.col("fp2"))
-    earliest = F.lit(len(masks) - 1)
-    for at, mask in reversed(list(enumerate(masks))):
-        earliest = F.when(differ.bitwiseAND(F.lit(mask)) == 0, F.lit(at)).otherwise(earliest)
-    apart = left.join(right, ["parts", "key"]).where((F.col("line") < F.col("line2")) & (F.col("root") != F.col("root2")))
-    apart = apart.where(within("fp", "fp2") & (F.col("parts") == earliest))  # a pair counts in its first bucket
-    rest = pin(apart.select(F.col("line2").alias("a"), F.col("line").alias("b")))
-    links = links.unionByName(_verified(rest, texts, similarity))
+    to_leader = to_leader.select(F.col("line").alias("a"), F.col("leader").alias("b")).distinct()
+    # Candidates: every line with its leaders, and pairs that these do not connect.
+    starts = pin(to_leader)
+    candidates = pin(starts.unionByName(across(starts)))
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+    texts = _texts(docs, id_col, text_col, distinct, ends)
+    links = pin(_verified(candidates, texts, similarity))
+    # Where a candidate failed, lines that it held together are compared with each other as well; all
+    # of them have their text here already.
+    links = links.unionByName(_verified(across(links).join(candidates, ["a", "b"], "left_anti"), texts, similarity))
     groups = pin(components(links).withColumnRenamed("node", "line"))
 
     grouped = pin(distinct.join(groups, "line", "left").withColumn("root", F.coalesce("root", "line")))
@@ -167,10 +209,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, distinct: DataFrame, wan
     places = distinct.join(wanted, "line").select("line", "first.doc_id", "first.line_no")
     per_doc = pin(places.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("places")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.join(per_doc, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("places").alias("place"))
-    text = normalised(F.get("lines", F.col("place.line_no")))
+    picked = let(
+        F.split("text", "\n"),
+        lambda lines: F.transform("places", lambda at: F.struct(at["line"].alias("line"), F.get(lines, at["line_no"]).alias("text"))),
+    )
+    found = rows.join(per_doc, "doc_id").select(F.explode(picked).alias("place"))
     # Rows that share an id may hold other lines at this place; the digest names the right one.
-    checked = found.select("place.line", text.alias("norm")).where("norm <> ''")
+    checked = found.select("place.line", normalised(F.col("place.text")).alias("norm")).where("norm <> ''")
     own = distinct.select("line", "k1", "k2")
     checked = checked.withColumn("k1", F.xxhash64("norm")).withColumn("k2", F.xxhash64("norm", F.lit(SEED)))
     return pin(checked.join(own, ["line", "k1", "k2"]).dropDuplicates(["line"]).select("line", "norm"))
