@@ -11,7 +11,8 @@ is linear; then only lines that are not connected yet are compared with each oth
 verification failed.  So a large group of like lines costs as many comparisons as it has lines and not their square, and no
 link between groups is lost.
 
-Lines travel as digests, counters as packed longs: texts are shuffled once, and only of documents with a line in a shared bucket.
+Lines travel as digests, counters as packed longs: texts are shuffled once, to fetch the candidates' lines.  Joins that
+meet all lines are shuffled at every size, because no side has a bound.
 
 Defined cases: a NULL or empty text has no lines; lines without letters or digits are left alone; rows with a NULL id
 are left alone and make no line a repetition; rows with one id are one document, so their equal lines share a decision;
@@ -132,12 +133,44 @@ def _alike(left: Column, right: Column, similarity: float) -> Column:
     longer = F.greatest(F.length(left), F.length(right))
     allowed = F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
     near = F.abs(F.length(left) - F.length(right)) <= allowed
-    # The function's limit is a constant: few edits, the usual case, are told by a narrow band.
-    alike = F.levenshtein(left, right) <= allowed
-    for limit in reversed(BANDS):
-        wider = F.when(allowed > limit, alike).otherwise(F.lit(False))
-        alike = let(F.levenshtein(left, right, limit), _told(allowed, wider))
-    return near & alike
+
+    def within(middles: Column) -> Column:
+        a, b = middles["a"], middles["b"]
+        # The function's limit is a constant: few edits, the usual case, are told by a narrow band.
+        alike = F.levenshtein(a, b) <= allowed
+        for limit in reversed(BANDS):
+            wider = F.when(allowed > limit, alike).otherwise(F.lit(False))
+            alike = let(F.levenshtein(a, b, limit), _told(allowed, wider))
+        return alike
+
+    return near & let(_middles(F.split(left, " "), F.split(right, " ")), within)
+
+
+def _middles(left: Column, right: Column) -> Column:
+    """What is left of two lines without the words that both begin or end with.
+
+    The edit distance of the lines is that of the rest, for these words can stay as they are.  Each side keeps
+    a word at least, so that no blank between words is lost.
+    """
+
+    def ahead(both: Column) -> Column:
+        shorter = F.least(F.size(both["a"]), F.size(both["b"]))
+        differ = F.zip_with(F.slice(both["a"], F.lit(1), shorter), F.slice(both["b"], F.lit(1), shorter), lambda x, y: x != y)
+        first = F.array_position(differ, True).cast("int")
+        same = F.when(first == 0, shorter - 1).otherwise(F.least(first - 1, shorter - 1))
+        return let(same, lambda n: F.struct(_from(both["a"], n).alias("a"), _from(both["b"], n).alias("b")))
+
+    def behind(both: Column) -> Column:
+        return let(F.struct(F.reverse(both["a"]).alias("a"), F.reverse(both["b"]).alias("b")), ahead)
+
+    def joined(both: Column) -> Column:
+        return F.struct(*(F.array_join(F.reverse(both[side]), " ").alias(side) for side in "ab"))
+
+    return let(let(let(F.struct(left.alias("a"), right.alias("b")), ahead), behind), joined)
+
+
+def _from(items: Column, n: Column) -> Column:
+    return F.slice(items, n + 1, F.size(items))
 
 
 def _told(allowed: Column, wider: Column):
@@ -161,7 +194,7 @@ def duplicate_lines(
         F.min("line").alias("leader"), F.min_by("fp", "line").alias("leader_fp"), F.count(F.lit(1)).alias("n")
     )
     leaders = pin(leaders.where("n > 1").drop("n"))
-    members = pin(dealt.join(leaders, "key"))
+    members = pin(dealt.join(leaders.hint("merge"), "key"))
     within = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
     def across(links: DataFrame) -> DataFrame:
@@ -194,10 +227,10 @@ def duplicate_lines(
     links = links.unionByName(_verified(across(links).join(candidates, ["a", "b"], "left_anti"), texts, similarity))
     groups = pin(components(links).withColumnRenamed("node", "line"))
 
-    grouped = pin(distinct.join(groups, "line", "left").withColumn("root", F.coalesce("root", "line")))
+    grouped = pin(distinct.join(groups.hint("merge"), "line", "left").withColumn("root", F.coalesce("root", "line")))
     kept = pin(grouped.groupBy("root").agg(F.min("first").alias("kept")))
     of_line = pin(grouped.join(kept, "root").select("k1", "k2", "kept"))
-    told = places.select("k1", "k2", "doc_id", "line_no").join(of_line, ["k1", "k2"])
+    told = places.select("k1", "k2", "doc_id", "line_no").join(of_line.hint("merge"), ["k1", "k2"])
     repeats = told.where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line_no") != F.col("kept.line_no")))
     return repeats.select(
         "doc_id", "line_no", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no")
@@ -206,14 +239,14 @@ def duplicate_lines(
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, distinct: DataFrame, wanted: DataFrame) -> DataFrame:
     """(line, norm) of the wanted lines, read again from their first document."""
-    places = distinct.join(wanted, "line").select("line", "first.doc_id", "first.line_no")
+    places = distinct.join(wanted.hint("merge"), "line").select("line", "first.doc_id", "first.line_no")
     per_doc = pin(places.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("places")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     picked = let(
         F.split("text", "\n"),
         lambda lines: F.transform("places", lambda at: F.struct(at["line"].alias("line"), F.get(lines, at["line_no"]).alias("text"))),
     )
-    found = rows.join(per_doc, "doc_id").select(F.explode(picked).alias("place"))
+    found = rows.join(per_doc.hint("merge"), "doc_id").select(F.explode(picked).alias("place"))
     # Rows that share an id may hold other lines at this place; the digest names the right one.
     checked = found.select("place.line", normalised(F.col("place.text")).alias("norm")).where("norm <> ''")
     own = distinct.select("line", "k1", "k2")
