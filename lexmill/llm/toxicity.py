@@ -22,7 +22,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log, sqrt
+from functools import lru_cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,7 @@ DISGUISES = {"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _MIXED = re.compile(r"(?<!\S)(?=\S*[@$!0-57*])(?=\S*[A-Za-z])[A-Za-z@$!0-57*]{3,24}(?!\S)")
 _STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
+_SIGN = re.compile(r"[@$!0-57*]")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?!\w)")
 #: Words on either side of an insult in which a second-person word is near.
 REACH = 5
@@ -71,43 +73,83 @@ FEATURES = (
 )
 
 
+#: Words whose flags a Python worker remembers; it forgets all of them at this number.
+REMEMBERED = 300_000
+# Flags of a word; the number of lexicon beginnings and of capitals stand above them.
+_INSULT, _LEARNED, _SECOND, _SHOUTED, _LETTER = 1, 2, 4, 8, 16
+_BEGUN, _CAPITALS = 8, 16
+
+
 @dataclass(frozen=True)
 class Lexicon:
     words: frozenset[str]
     beginnings: frozenset[str]
 
 
+class Words(dict):
+    """What a word counts for, as one number per word; most words count for nothing."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> int:
+        low = word.lower()
+        begun = sum(len(low) > size and low[:size] in self.lexicon.beginnings for size in BEGINNINGS)
+        told = (
+            _INSULT * (low in INSULTS) | _LEARNED * (low in self.lexicon.words) | _SECOND * (low in SECOND_PERSON)
+            | _SHOUTED * (len(word) > 2 and word.isupper()) | _LETTER * (len(word) == 1)
+            | begun << _BEGUN | sum(map(str.isupper, word)) << _CAPITALS
+        )
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(word) <= 40:
+            self[word] = told
+        return told
+
+
+@lru_cache(maxsize=2)
+def known_words(lexicon: Lexicon) -> Words:
+    return Words(lexicon)
+
+
+def _has_run(text: str) -> bool:
+    """Whether any character stands four times in a row."""
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    same = codes[1:] == codes[:-1]
+    return bool((same[:-2] & same[1:-1] & same[2:]).any())
+
+
 def features(text: str, lexicon: Lexicon) -> list[float]:
     """The numbers of FEATURES for one text."""
     words = _WORD.findall(text)
-    low = [w.lower() for w in words]
-    n = max(1, len(words))
-    insulting = [w in INSULTS for w in low]
-    learned = sum(map(lexicon.words.__contains__, low))
-    begun = sum(sum(map(lexicon.beginnings.__contains__, (w[:size] for w in low if len(w) > size))) for size in BEGINNINGS)
-    second = [at for at, w in enumerate(low) if w in SECOND_PERSON]
-    bad = [at for at, flag in enumerate(insulting) if flag or low[at] in lexicon.words]
+    n, size = max(1, len(words)), max(1, len(text))
+    told = [(at, flags) for at, flags in enumerate(map(known_words(lexicon).__getitem__, words)) if flags]
+    count = lambda flag: sum(1 for _, flags in told if flags & flag)
+    insults, learned, second = count(_INSULT), count(_LEARNED), count(_SECOND)
+    begun = sum(flags >> _BEGUN & 255 for _, flags in told)
     near = 0
-    if second and bad:
-        gaps = np.searchsorted(second, bad)
-        left = np.array([second[g - 1] if g else -REACH - 1 for g in gaps])
-        right = np.array([second[g] if g < len(second) else len(low) + REACH + 1 for g in gaps])
-        near = int((np.minimum(np.array(bad) - left, right - np.array(bad)) <= REACH).sum())
-    size = max(1, len(text))
-    shouted = sum(1 for w in words if len(w) > 2 and w.isupper())
-    marks = sum(map(text.count, "!?.,;:"))
-    mixed = _MIXED.findall(text) if not text.isalpha() else []
+    if second and insults + learned:
+        persons = np.array([at for at, flags in told if flags & _SECOND])
+        bad = np.array([at for at, flags in told if flags & (_INSULT | _LEARNED)])
+        right = np.searchsorted(persons, bad)
+        gap = np.minimum(
+            np.where(right > 0, bad - persons[right - 1], REACH + 1),
+            np.where(right < len(persons), persons[np.minimum(right, len(persons) - 1)] - bad, REACH + 1),
+        )
+        near = int((gap <= REACH).sum())
+    mixed = _MIXED.findall(text) if _SIGN.search(text) else []
     hidden = 0
     for token in mixed:
         plain = "".join(DISGUISES.get(c, c) for c in token.lower()).strip("*")
         hidden += plain in INSULTS or plain in lexicon.words
-    for token in _SPACED.findall(text) if len(words) > 3 else ():
-        hidden += re.sub(r"[ .*_-]", "", token).lower() in INSULTS
-    capitals = sum(map(str.isupper, "".join(words))) if shouted else sum(1 for w in words if w[0].isupper())
+    if count(_LETTER) >= 4:
+        for token in _SPACED.findall(text):
+            hidden += re.sub(r"[ .*_-]", "", token).lower() in INSULTS
+    stretched = len(_STRETCHED.findall(text)) if _has_run(text) else 0
     return [
-        sum(insulting) / n, sum(insulting), learned / n, learned, begun / n, begun, near / n, len(second) / n,
-        capitals / size, shouted / n, text.count("!") / size, text.count("?") / size, marks / size,
-        len(mixed) / n, hidden, len(_STRETCHED.findall(text)) / n, log(1 + len(words)),
+        insults / n, insults, learned / n, learned, begun / n, begun, near / n, second / n,
+        sum(flags >> _CAPITALS for _, flags in told) / size, count(_SHOUTED) / n, text.count("!") / size, text.count("?") / size,
+        sum(map(text.count, "!?.,;:")) / size, len(mixed) / n, hidden, stretched / n, log(1 + len(words)),
     ]
 
 
