@@ -69,8 +69,27 @@ def test_class_counts(spark):
     )
     assert {tuple(r) for r in training.class_counts(df, "vul_type").collect()} == {("a", 1, 1), ("b", 1, 0)}
     assert {tuple(r) for r in training.class_counts_by_split(df).collect()} == {
-        ("a", None, 1, 1), ("b", None, 1, 0), (None, "train", 1, 1), (None, "test", 1, 0),
+        ("a", None, False, 1, 1), ("b", None, False, 1, 0), (None, "train", True, 1, 1), (None, "test", True, 1, 0),
     }
+    unknown = training.class_counts_by_split(df.limit(1).withColumn("vul_type", F.lit(None).cast("string")))
+    assert {tuple(r) for r in unknown.collect()} == {(None, None, False, 0, 1), (None, "train", True, 0, 1)}
+
+
+def test_encode_with_gaps(spark):
+    """Ids that are missing from the vocabulary lose no other term, whatever the head holds."""
+    terms = [("tokens", t, 1, 2 + i) for i, t in enumerate("abcdef") if t != "b"]
+    vocab = spark.createDataFrame(terms, "namespace string, term string, n long, term_id int")
+    df = spark.createDataFrame([(1, ["a", "b", "c", "d", "e", "f", None, "f", "zz"]), (2, []), (3, None)], "id int, tokens array<string>")
+    for head in (1, 3, 4, 5, 100):
+        ids = vocabulary.encode(df, vocab, {"tokens": ("tokens", "token_ids")}, head_terms=head)
+        found = {r["id"]: r["token_ids"] for r in ids.collect()}
+        assert found == {1: [2, 1, 4, 5, 6, 7, 1, 7, 1], 2: [], 3: None}
+
+
+def test_null_keys_share_a_split(spark):
+    df = spark.createDataFrame([(None,)] * 5 + [(str(i),) for i in range(40)], "id string")
+    for split in (splitting.hash_split(df, "id", "s"), splitting.exact_split(df, "id", "s")):
+        assert split.where("id is null").select("split").distinct().count() == 1
 
 
 def test_hash_split_is_stable_and_keeps_copies_together(spark):
