@@ -148,12 +148,17 @@ _SIGNED_DOMAIN = re.compile(rf"{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+", re.I)
 _DOTTED = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.I)
 _BRACKETED = re.compile(rf"[\[({{<]\s?(?:{_AT_WORD}|@|{_DOT_WORD}|point|\.)\s?[\])}}>]", re.I)
 _GLYPH = re.compile("[" + re.escape("".join(GLYPHS)) + "]")
-_NUMERALS = frozenset(_VALUES) | {str(n).zfill(w) for w in range(1, 5) for n in range(10**w)} | {*_DOT_WORDS, "."}
+_TOKEN = re.compile(r"\w+")
 _BARE_DOTS = frozenset((*_DOT_WORDS, "."))
 #: Longest disguise of a dot, so that looking back for one is bounded.
 _DOT_REACH = 16
 
 
+def _folded(text: str) -> str:
+    """Lower case in which every letter stands that a pattern without case takes for it."""
+    return text.replace("\u0130", "i").replace("\u0131", "i").replace("\u017f", "s").lower()
+
+
 def hints(text: str) -> tuple[bool, bool, bool]:
     """Whether the text can hold look-alike characters, spelled digits, at/dot disguises."""
     glyphs = False
@@ -164,7 +169,8 @@ def hints(text: str) -> tuple[bool, bool, bool]:
         except UnicodeEncodeError:
             glyphs = bool(_GLYPH.search(text))
     words = text.lower().replace("-", " ").replace(",", " ").split()
-    spelled = b"\1\1\1\1" in bytes(map(_NUMERALS.__contains__, words))
+    # ``digits`` needs four number words in a row, whatever separates them: four anywhere are a superset.
+    spelled = sum(map(_VALUES.__contains__, _TOKEN.findall(_folded(text)))) >= 4
     signs = "@" in text or not _BARE_DOTS.isdisjoint(words) or bool(_BRACKETED.search(text))
     return glyphs, spelled, signs
 
@@ -203,7 +209,7 @@ class Transducer:
             for part in parts:
                 if part.start() > at:
                     edits.append((at, part.start(), ""))
-                new = "+" if part["plus"] else "." if part["dot"] else part["digit"] or _VALUES[part[0].lower()]
+                new = "+" if part["plus"] else "." if part["dot"] else part["digit"] or _VALUES[_folded(part[0])]
                 edits.append((part.start(), part.end(), new))
                 at = part.end()
         self.rewrite(edits)

@@ -79,3 +79,24 @@ def test_table(spark, docs, empty):
     found = pii.find_pii(docs((1, None), (None, "x a@b.c"), (2, ""), (2, ""), (3, "é a@b.c")))
     assert rows(found, "doc_id", "base_spans") == [(1, ""), (2, ""), (2, ""), (3, "email:2:7"), (None, "email:2:7")]
     assert rows(pii.find_pii(empty)) == []
+
+
+@pytest.mark.parametrize("dot", ["(dot)", "[dot]", "{ punkt }", ".", " . ", "<.>", " dot "])
+def test_gate_lets_spelled_addresses_pass(dot):
+    text = f"at one nine two{dot}one six eight{dot}one{dot}one ok"
+    _, full = pii.all_spans(text)
+    assert [text[a:b] for a, b in full["ip"]] == [text[3:-3]]
+
+
+def test_gate_loses_nothing(monkeypatch):
+    rng = random.Random(12)
+    parts = ["one", "Two", "drei", "f\u00fcnf", "S\u0130X", "\u017fix", "7", "12", "dot", "(dot)", "[ punkt ]", ".", " . ", "<.>", "at", "(at)", "@", "plus", "x", "mail", "-", ",", "\u201c", "(", ")"]
+    texts = ["".join(p + rng.choice(["", " ", " "]) for p in rng.choices(parts[:14] if n % 2 else parts, k=rng.randint(4, 24))) for n in range(6000)]
+    gated = [pii.disguised(t) for t in texts]
+    monkeypatch.setattr(pii, "hints", lambda text: (True, True, True))
+    for text, found in zip(texts, gated):
+        free = pii.disguised(text)
+        assert {k: v for k, v in found.items() if v} == {k: v for k, v in free.items() if v} or all(
+            set(free[k]) - set(found.get(k, ())) <= set(pii.detect(text)[k]) for k in free
+        ), text
+    assert sum(any(f.get(k) for k in ("ip", "phone")) for f in gated) > 20
