@@ -7,8 +7,9 @@ character of a long run, the run is anchored instead.
 ``Transducer`` then rewrites the text: homoglyphs become their ASCII letter, digits of other scripts
 become ASCII digits, invisible characters go, spelled digits in a row become one number, and at/dot
 disguises become ``@`` and ``.``.  Every output character keeps the source span it came from, so what
-the same detectors find in the rewritten text is mapped back to source characters.  Finds that overlap
-no base span of their kind are added.
+the same detectors find in the rewritten text is mapped back to source characters.  All base spans stay, and
+finds that no base span of their kind equals or contains are added, so that partly disguised data has
+its whole span beside that of its plain part.
 
 Defined cases: a NULL text is empty and has no data; whole texts are read, however long; a row gives
 one row whatever its id; other columns are ignored.
@@ -282,7 +283,8 @@ def all_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
         for start, end in more.get(kind, ()):
             while at < len(known) and known[at][1] <= start:
                 at += 1
-            if at == len(known) or known[at][0] >= end:
+            # Base spans are disjoint, so only this one can hold the whole of it.
+            if at == len(known) or start < known[at][0] or known[at][1] < end:
                 full[kind].append((start, end))
         full[kind].sort()
     return base, full

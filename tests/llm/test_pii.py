@@ -100,3 +100,20 @@ def test_gate_loses_nothing(monkeypatch):
             set(free[k]) - set(found.get(k, ())) <= set(pii.detect(text)[k]) for k in free
         ), text
     assert sum(any(f.get(k) for k in ("ip", "phone")) for f in gated) > 20
+
+
+@pytest.mark.parametrize(
+    "text, kind, plain",
+    [
+        ("\u0430lice@example.com", "email", "lice@example.com"),
+        ("john (dot) doe@example.com", "email", "doe@example.com"),
+        ("x@mail.example (dot) com", "email", "x@mail.example"),
+        ("\uff119.168.1.20", "ip", "9.168.1.20"),
+        ("a@b.c", "email", "a@b.c"),
+    ],
+)
+def test_disguise_in_one_half(text, kind, plain):
+    base, full = pii.all_spans(f"to {text}, a@b.org")
+    start = 3 + text.index(plain)
+    assert (start, start + len(plain)) in base[kind] and set(base[kind]) <= set(full[kind])
+    assert full[kind] == sorted({*base[kind], (3, 3 + len(text))})
