@@ -3,10 +3,15 @@
 Units of a text are its lines and its paragraphs (runs of at least two lines that are not blank).  A unit is lower-cased and cut into
 words of ASCII letters and digits; its bigrams, repeats included, are compared with each template's.  A coefficient of
 at least t needs sizes within a factor of (2 - t) / t, so only templates of such sizes are looked at, and of those only ones that share
-enough bigrams.  Each unit reports its best template, ties by name.
+enough bigrams.  Each unit reports its best template, ties by name.  A line that holds comment marks only is blank.
+
+A notice inside a longer unit, or over several, is found by windows over all words of the text: for each notice and each full licence
+text (``license_texts``), windows of any size within the Dice bound that begin and end with a bigram of the template.  Of windows that
+overlap, the one with the highest coefficient counts, then the longest template, then the name; a window inside a reported unit
+is not told again.  A window's lines are those of its first to its last word.
 
 Defined cases: NULL and empty texts have no units; a unit of fewer than two words has no bigrams and matches nothing; very
-long units are compared whole (their size alone rules them out); rows keep their id, NULL or repeated; other columns are ignored.
+long units are compared whole (their size alone rules them out) and searched by windows; rows keep their id, NULL or repeated; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +20,9 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +87,10 @@ def _templates() -> dict[str, list[str]]:
 
 
 TEMPLATES = _templates()
+#: Complete licence texts by licence.
+FULL_TEXTS = {path.stem: [path.read_text()] for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+#: What a blank line of a comment is made of.
+_MARKS = " \t\v\f\r#*/;%!<>-"
 
 
 def bigrams(text: str) -> list[str]:
@@ -90,7 +101,7 @@ def bigrams(text: str) -> list[str]:
 class Scanner:
     """Templates in order of size, and which of them hold a bigram."""
 
-    def __init__(self, templates: dict[str, list[str]], threshold: float) -> None:
+    def __init__(self, templates: dict[str, list[str]], threshold: float, full_texts: dict[str, list[str]] | None = None) -> None:
         self.threshold = threshold
         known = [(name, Counter(bigrams(text))) for name, texts in templates.items() for text in texts]
         self.known = sorted(((sum(c.values()), name, c) for name, c in known), key=lambda x: x[:2])
@@ -98,6 +109,12 @@ class Scanner:
         self.words = frozenset().union(*(c for _, _, c in self.known))
         self.least = self.bound(self.sizes[0])[0]
         self.most = self.bound(self.sizes[-1])[1]
+        full = [(name, Counter(bigrams(text))) for name, texts in (full_texts or {}).items() for text in texts]
+        self.windowed = [(sum(c.values()), name, c) for name, c in [*known, *full]]
+        self.holders: dict[str, list[int]] = {}
+        for at, (_, _, c) in enumerate(self.windowed):
+            for gram in c:
+                self.holders.setdefault(gram, []).append(at)
 
     def bound(self, size: int) -> tuple[float, float]:
         ratio = self.threshold / (2 - self.threshold)
@@ -121,13 +138,72 @@ class Scanner:
         return found
 
     def scan(self, text: str) -> Iterator[tuple[int, int, str, float]]:
-        """(first line, lines, licence, Dice coefficient) of every unit that matches."""
+        """(first line, lines, licence, Dice coefficient) of every unit and window that matches."""
         lines = text.split("\n")
+        units = []
+        for found in self.units(lines):
+            units.append(found[:2])
+            yield found
+        chosen: list[tuple[int, int]] = []
+        words = [_WORD.findall(line.lower()) for line in lines]
+        line_of = np.repeat(np.arange(len(lines)), [len(w) for w in words])
+        for dice, _, name, first, last in sorted(self.windows([w for own in words for w in own]), key=lambda x: (-x[0], -x[1], x[2:])):
+            low, high = int(line_of[first]), int(line_of[last + 1])
+            if any(a <= low and high < a + n for a, n in units) or any(first <= b and a <= last for a, b in chosen):
+                continue
+            chosen.append((first, last))
+            yield low, high - low + 1, name, dice
+
+    def windows(self, words: list[str]) -> Iterator[tuple[float, int, str, int, int]]:
+        """(Dice coefficient, template size, licence, first and last bigram) of the best window of each place, per template."""
+        places: dict[int, list[tuple[int, str]]] = {}
+        for at, gram in enumerate(map(" ".join, zip(words, words[1:]))):
+            for template in self.holders.get(gram, ()):
+                places.setdefault(template, []).append((at, gram))
+        for template, own in places.items():
+            size, name, counts = self.windowed[template]
+            least, most = self.bound(size)
+            need = max(1, int(np.ceil(least)))
+            if len(own) < need:
+                continue
+            at = np.array([place for place, _ in own])
+            dense = at[need - 1 :] - at[: len(at) - need + 1] < most
+            if not dense.any():
+                continue
+            # A bigram counts unless the window holds it as often as the template does already.
+            seen: dict[str, list[int]] = {}
+            before = np.full(len(own), -1)
+            for n, (_, gram) in enumerate(own):
+                earlier = seen.setdefault(gram, [])
+                if len(earlier) >= counts[gram]:
+                    before[n] = earlier[-counts[gram]]
+                earlier.append(n)
+            stops = np.searchsorted(at, at + int(most))
+            best, until = None, -1
+            free = 0
+            for n in np.flatnonzero(dense).tolist():
+                if best and n > until:
+                    yield best[0], size, name, int(at[best[1]]), int(at[best[2]])
+                    free, best = best[2] + 1, None
+                if n < free:
+                    continue
+                part = slice(n, stops[n])
+                dice = 2 * np.cumsum(before[part] < n) / (at[part] - at[n] + 1 + size)
+                top = int(dice.argmax())
+                if dice[top] >= self.threshold - 1e-12 and (best is None or dice[top] > best[0]):
+                    if best is None:
+                        until = n + top
+                    best = float(dice[top]), n, n + top
+            if best:
+                yield best[0], size, name, int(at[best[1]]), int(at[best[2]])
+
+    def units(self, lines: list[str]) -> Iterator[tuple[int, int, str, float]]:
+        """The lines and paragraphs that match as a whole."""
         start = 0
         for at, line in enumerate([*lines, ""]):
             if at < len(lines) and (found := self.best(line)):
                 yield at, 1, *found
-            if not line.strip():
+            if not line.strip(_MARKS).strip():
                 if at - start > 1 and (found := self.best("\n".join(lines[start:at]))):
                     yield start, at - start, *found
                 start = at + 1
@@ -136,8 +212,8 @@ class Scanner:
 def scan_licenses(
     docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, line_no, n_lines, license, dice) of every line or paragraph that is like a template."""
-    scanner = Scanner(templates, threshold)
+    """(doc_id, line_no, n_lines, license, dice) of every line, paragraph or window that is like a template."""
+    scanner = Scanner(templates, threshold, FULL_TEXTS)
 
     def step(ids, texts):
         return [(doc_id, *found[:3], round(found[3], 6)) for doc_id, text in zip(ids, texts) for found in scanner.scan(text)]
