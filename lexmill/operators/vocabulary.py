@@ -91,8 +91,10 @@ def encode(
         )
         head = keyed.orderBy("term_id").limit(head_terms).toArrow()
         last = pc.max(head["term_id"]).as_py()
-        tail = keyed.where(F.col("term_id") > last) if last is not None else keyed.limit(0)
-        if head.num_rows == head_terms and not tail.isEmpty():
+        # Terms may share the id at the cut: the tail has all of them, also those that the head took.
+        tail = keyed.where(F.col("term_id") >= last) if last is not None else keyed.limit(0)
+        taken = pc.sum(pc.equal(head["term_id"], last)).as_py() if last is not None else 0
+        if head.num_rows == head_terms and tail.limit(taken + 1).count() > taken:
             tails[target] = (source, tail)
         # Only the keys are sent to the lookup.
         lookup = _head_lookup(df, head["key"], head["term_id"], open_rest=target in tails)

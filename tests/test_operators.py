@@ -86,6 +86,16 @@ def test_encode_with_gaps(spark):
         assert found == {1: [2, 1, 4, 5, 6, 7, 1, 7, 1], 2: [], 3: None}
 
 
+def test_encode_with_shared_ids(spark):
+    """Terms that share the id at the cut keep it, whichever of them the head holds."""
+    terms = [("tokens", t, 1, i) for t, i in zip("abcdef", (2, 3, 3, 3, 4, 4))]
+    vocab = spark.createDataFrame(terms, "namespace string, term string, n long, term_id int")
+    df = spark.createDataFrame([(["a", "b", "c", "d", "e", "f", "zz"],)], "tokens array<string>")
+    for head in (2, 3, 5, 6):
+        ids = vocabulary.encode(df, vocab, {"tokens": ("tokens", "token_ids")}, head_terms=head)
+        assert ids.first()["token_ids"] == [2, 3, 3, 3, 4, 4, 1]
+
+
 def test_null_keys_share_a_split(spark):
     df = spark.createDataFrame([(None,)] * 5 + [(str(i),) for i in range(40)], "id string")
     for split in (splitting.hash_split(df, "id", "s"), splitting.exact_split(df, "id", "s")):
