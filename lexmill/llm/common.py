@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators.ranking import pin
 
-__all__ = ["as_text", "drop_scratch", "map_rows", "pin", "read", "signed", "slices"]
+__all__ = ["as_text", "byte_slices", "drop_scratch", "map_rows", "pin", "read", "signed", "slices"]
 
 #: Texts that one Python step holds at a time: rows, and characters unless a single text is longer.
 SLICE_ROWS = 512
@@ -38,6 +39,19 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def byte_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts in ``column`` have at most ``SLICE_CHARS`` bytes, or of one row."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    start = total = 0
+    for at, size in enumerate(sizes):
+        if at > start and total + size > SLICE_CHARS:
+            yield batch.slice(start, at - start)
+            start, total = at, 0
+        total += size
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def map_rows(
     df: DataFrame, step: Callable[[list, list[str]], Iterable[tuple]], schema: str
 ) -> DataFrame:

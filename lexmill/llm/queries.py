@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, decontaminate, licenses, lines, pii, sharding, simhash, topk, toxicity, warc
+from lexmill.llm import bpe, decontaminate, infill, licenses, lines, pii, sharding, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_licenses": licenses.op9_licenses,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_fill_in_middle": infill.op11_fill_in_middle,
 }
 SQL = {
     "op4_topk": topk.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_licenses": licenses.OP9_SQL,
+    "op11_fill_in_middle": infill.OP11_SQL,
 }
