@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import bpe, decontaminate, infill, licenses, lines, pii, sharding, simhash, topk, toxicity, warc
+from lexmill.llm import bpe, decontaminate, infill, licenses, lines, manifest, pieces, pii, sharding, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_lines": lines.op1_lines,
@@ -16,10 +16,13 @@ QUERIES = {
     "op9_licenses": licenses.op9_licenses,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_fill_in_middle": infill.op11_fill_in_middle,
+    "op12_sentencepiece": pieces.op12_sentencepiece,
+    "op13_merkle": manifest.op13_merkle,
 }
 SQL = {
     "op4_topk": topk.OP4_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_licenses": licenses.OP9_SQL,
     "op11_fill_in_middle": infill.OP11_SQL,
+    "op13_merkle": manifest.OP13_SQL,
 }
