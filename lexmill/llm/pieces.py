@@ -3,8 +3,8 @@
 A text is first normalised: at each place the longest prefix that the model's compiled character map knows is
 replaced, blanks are handled and escaped as the model says, and every character of the result remembers the source byte
 that it came from.  The result is cut where no piece of the vocabulary reaches across (before blanks), and each chunk is merged by
-falling score, leftmost first, over a heap, so that a chunk of n characters takes n log n steps; a worker
-remembers chunks up to fixed numbers.  Running sums of piece lengths, looked up in the remembered places, give
+falling score, leftmost first, over a heap, so that a long chunk of n characters takes n log n steps; the distinct words of a run of texts are
+merged together in one array, and a worker remembers them up to a fixed number.  Running sums of piece lengths, looked up in the remembered places, give
 the source span [begin, end) of every piece.  Characters outside the vocabulary become one piece per byte; the last of these has the
 character's span, the others an empty one.
 
@@ -23,6 +23,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,11 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import as_text, byte_slices, read
 
-#: What a worker remembers: chunks, and characters of a chunk that is remembered.
-CHUNKS, CHUNK_CHARS = 200_000, 64
+#: Chunks that a worker remembers (besides those of one run of texts), and characters of a run.
+CHUNKS, RUN_CHARS = 200_000, 1 << 20
+#: Characters of a chunk that is merged together with others and remembered; longer ones have a heap of their own.
+WORD_CHARS = 40
+INF = float("inf")
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces in the model file
 
@@ -101,6 +105,10 @@ def read_charsmap(blob: bytes) -> dict[str, str]:
     return found
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+
+
 class Normalizer:
     """Normalised text, and for each of its characters (and its end) the byte of the source that it comes from."""
 
@@ -150,7 +158,7 @@ class Normalizer:
         if lead == len(text):
             return "", np.array([len(raw)])
         if self.spec.strip:
-            points = np.frombuffer(mapped.encode("utf-32-le"), dtype="<u4")
+            points = _points(mapped)
             blank = points == 32
             kept = ~(blank & np.concatenate(([True], blank[:-1])))
             # Escaped blanks at the end go as well, whether or not the source has them as such.
@@ -181,6 +189,16 @@ class Codec:
         apart = not any(re.search(f"[^{BLANK}]{BLANK}", piece) for piece in self.cost)
         self.chunk = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+" if apart else "(?s:.+)")
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.characters = np.full(0x110000, -1, dtype=np.int64)
+        for piece, at in self.ids.items():
+            if len(piece) == 1:
+                self.characters[ord(piece)] = at
+        joins = sorted(
+            (self.ids[piece[:k]] * len(spec.pieces) + self.ids[piece[k:]], cost, self.ids[piece])
+            for piece, cost in self.cost.items() for k in range(1, len(piece)) if piece[:k] in self.ids and piece[k:] in self.ids
+        )
+        keys, costs, joined = zip(*joins) if joins else ((-1,), (INF,), (0,))
+        self.pairs, self.pair_cost, self.pair_id = np.array(keys, dtype=np.int64), np.array(costs), np.array(joined, dtype=np.int64)
         self.control = np.array(spec.kinds) == CONTROL
         surfaces = []
         for piece, kind in zip(spec.pieces, spec.kinds):
@@ -188,8 +206,48 @@ class Codec:
             surfaces.append(bytes([int(piece[1:-1], 16)]) if kind == BYTE else plain.encode())
         self.surfaces = pa.array(surfaces, pa.large_binary())
 
+    def contract(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, characters, bounds) of the pieces of words, whose characters are all in the vocabulary.
+
+        All words lie in one array, and each step joins the best pair of every word that still has one, the leftmost of equals;
+        the steps follow the longest word.
+        """
+        lengths = np.array([len(word) for word in words])
+        ids = self.characters[_points("".join(words))]
+        sizes, word = np.ones(len(ids), dtype=np.int64), np.repeat(np.arange(len(words)), lengths)
+        cost, joined = self._pair(ids, word, np.arange(len(ids)))
+        done = []
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            best = np.minimum.reduceat(cost, starts)
+            best = np.repeat(best, np.diff(np.append(starts, len(ids))))
+            open_ = best < INF
+            done.append((word[~open_], ids[~open_], sizes[~open_]))
+            ids, sizes, word, cost, joined, best = (x[open_] for x in (ids, sizes, word, cost, joined, best))
+            places = np.flatnonzero(cost == best)
+            places = places[np.concatenate(([True], word[places][1:] != word[places][:-1]))[: len(places)]]
+            ids[places] = joined[places]
+            sizes[places] += sizes[places + 1]
+            kept = np.ones(len(ids), dtype=bool)
+            kept[places + 1] = False
+            places -= np.arange(len(places))  # one symbol has gone before each earlier place
+            ids, sizes, word, cost, joined = (x[kept] for x in (ids, sizes, word, cost, joined))
+            again = np.concatenate((places, places[places > 0] - 1))
+            cost[again], joined[again] = self._pair(ids, word, again)
+        word, ids, sizes = (np.concatenate(parts) for parts in zip(*done))
+        order = np.argsort(word, kind="stable")
+        return ids[order], sizes[order], np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(words)))))
+
+    def _pair(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost and id of the symbols at these places joined to the next one of their word."""
+        after = np.minimum(at + 1, len(ids) - 1)
+        wanted = ids[at] * len(self.spec.pieces) + ids[after]
+        found = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        hit = (self.pairs[found] == wanted) & (word[at] == word[after]) & (after > at)
+        return np.where(hit, self.pair_cost[found], INF), self.pair_id[found]
+
     def merge(self, chunk: str) -> list[str]:
-        """Pieces of a chunk: the pair of the best score is joined, the leftmost first, until none is left."""
+        """Pieces of any chunk: as ``contract``, with a heap in place of a look at all pairs."""
         parts: list[str | None] = list(chunk)
         after = [*range(1, len(parts)), -1]
         before = list(range(-1, len(parts) - 1))
@@ -219,7 +277,7 @@ class Codec:
             offer(left)
         return [part for part in parts if part is not None]
 
-    def _pieces(self, chunk: str) -> tuple[bytes, bytes]:
+    def _merged(self, chunk: str) -> tuple[bytes, bytes]:
         """Ids of a chunk, and how many characters of it each piece takes."""
         ids, sizes = [], []
         for piece in self.merge(chunk):
@@ -231,19 +289,49 @@ class Codec:
             else:
                 ids.append(at)
                 sizes.append(len(piece))
-        made = np.array(ids, dtype="<u4").tobytes(), np.array(sizes, dtype="<u4").tobytes()
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self.known) >= CHUNKS:
-                self.known.clear()
-            self.known[chunk] = made
+        return np.array(ids, dtype="<u4").tobytes(), np.array(sizes, dtype="<u4").tobytes()
+
+    def _learn(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids and sizes of chunks: words of known characters together, others (long, or with rare characters) one by one."""
+        words = [chunk for chunk in chunks if len(chunk) <= WORD_CHARS]
+        lengths = np.array([len(word) for word in words], dtype=np.int64)
+        strange = np.flatnonzero(self.characters[_points("".join(words))] < 0)
+        odd = set(np.searchsorted(np.cumsum(lengths), strange, side="right").tolist())
+        made = {chunk: self._merged(chunk) for chunk in [*(words[at] for at in odd), *(c for c in chunks if len(c) > WORD_CHARS)]}
+        words = [word for at, word in enumerate(words) if at not in odd]
+        if words:
+            ids, sizes, bounds = self.contract(words)
+            raw, raw_sizes, at = ids.astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), (4 * bounds).tolist()
+            made.update((word, (raw[a:b], raw_sizes[a:b])) for word, a, b in zip(words, at, at[1:]))
         return made
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begins, ends) of a text, with begin and end id."""
-        normal, byte_of = self.normalize(text)
-        known, made = self.known.get, []
-        for chunk in self.chunk.findall(normal):
-            made.append(known(chunk) or self._pieces(chunk))
+    def encode(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, begins, ends) of each text, with begin and end id."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        start = total = 0
+        for at, text in enumerate(texts):
+            if at > start and total + len(text) > RUN_CHARS:
+                out += self._encode(texts[start:at])
+                start, total = at, 0
+            total += len(text)
+        return out + self._encode(texts[start:])
+
+    def _encode(self, texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        normal = [self.normalize(text) for text in texts]
+        chunks = [self.chunk.findall(text) for text, _ in normal]
+        if len(self.known) > CHUNKS:
+            self.known.clear()
+        known = self.known
+        fresh = self._learn([c for c in dict.fromkeys(chain.from_iterable(chunks)) if c not in known])
+        long = {chunk: made for chunk, made in fresh.items() if len(chunk) > WORD_CHARS}
+        known.update((chunk, made) for chunk, made in fresh.items() if len(chunk) <= WORD_CHARS)
+        return [
+            self._spans(text, byte_of, [known.get(chunk) or long[chunk] for chunk in own])
+            for text, (_, byte_of), own in zip(texts, normal, chunks)
+        ]
+
+    def _spans(self, text: str, byte_of: np.ndarray, made: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a text's chunks in one, with the source bytes of each piece."""
         ids = np.frombuffer(b"".join([m[0] for m in made]), dtype="<u4")
         sizes = np.frombuffer(b"".join([m[1] for m in made]), dtype="<u4").astype(np.int64)
         stops = np.cumsum(sizes)
@@ -332,7 +420,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
         own = codec(spec.value)
         for batch in batches:
             for part in byte_slices(batch, 1):
-                ids, begins, ends = zip(*(own.encode(text) for text in part.column(1).to_pylist()))
+                ids, begins, ends = zip(*own.encode(part.column(1).to_pylist()))
                 lists = [_lists(ids, pa.int32()), _lists(begins, pa.int64()), _lists(ends, pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["doc_id", "token_ids", "begins", "ends"])
 
@@ -364,7 +452,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         own = codec(spec.value)
         for batch in batches:
             for part in byte_slices(batch, 1):
-                made = [own.encode(text) for text in part.column(1).to_pylist()]
+                made = own.encode(part.column(1).to_pylist())
                 decoded = own.decode([ids for ids, _, _ in made])
                 yield pa.RecordBatch.from_arrays(
                     [

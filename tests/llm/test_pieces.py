@@ -60,8 +60,7 @@ def test_equals_the_library(name):
     rng = random.Random(4)
     alphabet = "abcdet the  \n.é1中▁​Ａﬁ½é　\U0001f600"
     texts = TEXTS + ["".join(rng.choices(alphabet, k=rng.randint(1, 80))) for _ in range(300)]
-    for text in texts:
-        ids, begins, ends = own.encode(text)
+    for text, (ids, begins, ends) in zip(texts, own.encode(texts), strict=True):
         assert ids.tolist() == library.encode(text, add_bos=True, add_eos=True), text
         found = _pieces(library.encode(text, out_type="serialized_proto"))
         assert (ids.tolist()[1:-1], begins.tolist()[1:-1], ends.tolist()[1:-1]) == found, text
@@ -95,6 +94,17 @@ def _varint(data, at):
             return value, at
 
 
+def test_both_ways_of_merging():
+    with open(PATH, "rb") as file:
+        own = pieces.codec(pieces.read_model(file.read()))
+    rng = random.Random(2)
+    for count in (1, 2, 3000):
+        words = ["▁" * rng.randint(0, 5) + "".join(rng.choices("aaabcdethinors=-1é", k=rng.randint(1, 70))) for _ in range(count)]
+        ids, sizes, bounds = own.contract(words)
+        assert [[own.spec.pieces[i] for i in ids[a:b]] for a, b in zip(bounds, bounds[1:])] == [own.merge(word) for word in words]
+        assert [int(sizes[a:b].sum()) for a, b in zip(bounds, bounds[1:])] == list(map(len, words))
+
+
 def test_decodes_any_ids():
     with open(PATH, "rb") as file:
         raw = file.read()
@@ -111,9 +121,11 @@ def test_decodes_any_ids():
 def test_forgetting_changes_nothing(monkeypatch):
     with open(PATH, "rb") as file:
         spec = pieces.read_model(file.read())
-    expected = [pieces.Codec(spec).encode(t)[0].tolist() for t in TEXTS]
+    expected = [pieces.Codec(spec).encode([t])[0][0].tolist() for t in TEXTS]
+    assert [made[0].tolist() for made in pieces.Codec(spec).encode(TEXTS)] == expected
     monkeypatch.setattr(pieces, "CHUNKS", 2)
-    assert [pieces.Codec(spec).encode(t)[0].tolist() for t in TEXTS] == expected
+    monkeypatch.setattr(pieces, "RUN_CHARS", 10)
+    assert [made[0].tolist() for made in pieces.Codec(spec).encode(TEXTS)] == expected
 
 
 @pytest.mark.parametrize("unit", ["a", "=", "ab", "é", " "])
@@ -122,7 +134,7 @@ def test_long_runs(unit):
         own = pieces.codec(pieces.read_model(file.read()))
     text = unit * (200_000 // len(unit))
     began = time.perf_counter()
-    ids, begins, ends = own.encode(text)
+    ((ids, begins, ends),) = own.encode([text])
     assert time.perf_counter() - began < 20
     assert int((ends - begins).sum()) == len(text.encode())
     assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=PATH).encode(text, add_bos=True, add_eos=True)
