@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 NOT_WS = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
 
+#: States that one level of a scan appends one by one.
 _CHUNK = 128
 
 
@@ -67,28 +68,37 @@ def opened(items: Column) -> Column:
     return F.coalesce(items, F.array())
 
 
+def section(items: Column, start: Column, end: Column) -> Column:
+    """Items from ``start`` up to, not including, ``end``.
+
+    Unlike a slice it does not copy the whole array first, so cutting an array into all its parts is
+    linear.  ``items`` should be bound.
+    """
+    places = F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.get(items, i))
+
+
 def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """States of a left fold after every item.
+    """States of a left fold after every item; ``items`` should be bound.
 
-    A fold that appends to its own result copies that result at each item.  Here items are
-    folded in short chunks and only whole chunks are appended to the outer result, so long
-    arrays stay affordable.
+    A fold that appends to its own result copies that result at each item.  Here two levels keep this short: states are
+    appended within chunks of fixed size, whole chunks to a list of chunks, and the items of a chunk are
+    fetched by place, so that no step copies the whole array.
     """
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / _CHUNK).cast("int")),
-        lambda k: F.slice(items, k * _CHUNK + 1, F.lit(_CHUNK)),
-    )
+    size = F.size(items)
 
-    def fold_chunk(done: Column, chunk: Column) -> Column:
-        last = F.element_at(F.element_at(done, -1), -1)
+    def fold_chunk(done: Column, k: Column) -> Column:
+        own = section(items, k * _CHUNK, F.least((k + 1) * _CHUNK, size))
         states = F.aggregate(
-            chunk,
-            F.array(last),
-            lambda acc, x: F.concat(acc, F.array(let(F.element_at(acc, -1), lambda state: step(state, x)))),
-        )
-        return F.when(F.size(chunk) == 0, done).otherwise(
-            F.concat(done, F.array(let(states, lambda s: F.slice(s, F.lit(2), F.size(s)))))
+            own,
+            F.slice(F.element_at(done, -1), F.lit(-1), F.lit(1)),
+            lambda acc, x: F.array_append(acc, step(F.element_at(acc, -1), x)),
         )
+        return F.array_append(done, states)
 
+    chunks = F.sequence(F.lit(0), F.floor(F.greatest(size - 1, F.lit(0)) / _CHUNK).cast("int"))
     folded = F.aggregate(chunks, F.array(F.array(zero)), fold_chunk)
-    return let(F.flatten(folded), lambda s: F.slice(s, F.lit(2), F.size(s)))
+    # Each chunk begins with the state that it was entered with; the first one holds nothing else.
+    return F.flatten(
+        F.transform(folded, lambda states, k: F.slice(states, F.lit(2), F.size(states) - 1))
+    )

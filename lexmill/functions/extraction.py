@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed
-from lexmill.functions.exprs import let, words
+from lexmill.functions.exprs import let, section, words
 from lexmill.functions.lexing import lex_cpp
 from lexmill.functions.signatures import (
     cfamily_function_name,
@@ -28,7 +28,7 @@ STANDALONE, IN_CLASS = "standalone", "class"
 
 
 def _cut(items: Column, span: Column) -> Column:
-    return F.slice(items, span["start"] + 1, span["end"] - span["start"] + 1)
+    return section(items, span["start"], span["end"] + 1)
 
 
 def _before(tokens: Column, mark: str) -> Column:

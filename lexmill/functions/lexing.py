@@ -138,13 +138,14 @@ def _by_directive(line: Column, word: Column, plain_word: Column) -> Column:
 def _matches(code: Column, pattern: str) -> Column:
     """Matches of a lexer's pattern, in time linear in the text also where comments stay open."""
 
-    def found(text: Column) -> Column:
-        marked = text.contains(OPEN_MARK) & ~code.contains(OPEN_MARK)
-        parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        return let(parts, lambda parts: F.when(marked, unmark(parts)).otherwise(parts))
+    def found(plain: Column) -> Column:
+        def cut(text: Column) -> Column:
+            parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+            return F.when(text == plain, parts).otherwise(unmark(parts))
 
-    text = F.replace(code, F.lit("\r"), F.lit(""))
-    return let(let(text, mark_open_comments), found)
+        return let(mark_open_comments(plain), cut)
+
+    return let(F.replace(code, F.lit("\r"), F.lit("")), found)
 
 
 def lex_cpp(code: Column) -> Column:

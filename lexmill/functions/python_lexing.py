@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed
-from lexmill.functions.exprs import NOT_WS, let, scan
+from lexmill.functions.exprs import NOT_WS, let, scan, section
 from lexmill.functions.literals import process_comment, process_literal
 
 _PREFIX = r"(?:[bB][rR]|[rR][bB]|[fF][rR]|[rR][fF]|[bBrRuUfF])?+"
@@ -109,11 +109,7 @@ def _physical_lines(code: Column, keep_comments: bool, process_strings: bool) ->
                 at,
                 lambda a, k: let(
                     F.filter(
-                        F.slice(
-                            lexemes,
-                            a + 2,
-                            F.coalesce(F.get(at, k + 1), F.size(lexemes)) - a - 1,
-                        ),
+                        section(lexemes, a + 1, F.coalesce(F.get(at, k + 1), F.size(lexemes))),
                         lambda t: ~t.startswith("\\\n"),
                     ),
                     lambda own: line(F.substr(F.get(lexemes, a), F.lit(2)), own),

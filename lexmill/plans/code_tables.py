@@ -108,13 +108,17 @@ PREPROCESSED = _concat(
     _SIZE, "' ; # else < DOCUMENT_'", _KEY, "'> return 2 ; # endif } '",
 )
 
+_DASHES = "repeat('-', 25)"
+# Headers that begin with dashes, and delimiter lines of all widths with and without further text.
 BLOCKS = _concat(
+    "case when p_partkey % 3 = 0 then '-head ' when p_partkey % 3 = 1 then '------------------------ ' else '' end",
     _KEY, "' API_'", "p_type", "' head'", _NL, "'  '", "p_name", "'  '", _NL, _NL,
     """'log("'""", "p_brand", """'");'""", _NL, "cast(p_size % 3 as varchar(20))", _NL,
     "repeat('-', 25 + p_size)", _NL,
-    "'short block'", _NL, "'1'", _NL, "repeat('-', 33)", _NL,
-    "'second head'", _NL, "'  x = '", _SIZE, "';'", _NL,
-    "case when p_partkey % 4 = 0 then 'not a label' else '1' end", _NL, "repeat('-', 25)", _NL,
+    "'short block'", _NL, "'1'", _NL, "repeat('-', 33)", "case when p_partkey % 2 = 0 then ' end' else '' end", _NL,
+    "'-second head'", _NL, "'  x = '", _SIZE, "';'", _NL, "'--y;'", _NL,
+    "case when p_partkey % 4 = 0 then 'not a label' else '1' end", _NL, _DASHES, "' end'", _NL,
+    "'h2'", _NL, "'code2 '", "p_type", _NL, "'1'", _NL, "'// '", _DASHES, "case when p_partkey % 5 = 0 then '-' else ' //' end", _NL,
     "'third head'", _NL, "p_name", _NL, "'0'", _NL,
 )
 

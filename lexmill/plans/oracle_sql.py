@@ -336,11 +336,11 @@ def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
 
     # sources and columns
+    delimited = f"string_split(regexp_replace({NL} || code, '\\n[^\\n]*-{{25}}[^\\n]*', chr(1), 'g'), chr(1))"
     block_rows = f"""{cte("block_file")},
-pieces as (select id, unnest(regexp_split_to_array(regexp_replace(code, '\\n-{{25}}', chr(1), 'g'), chr(1))) as block,
-  generate_subscripts(regexp_split_to_array(regexp_replace(code, '\\n-{{25}}', chr(1), 'g'), chr(1)), 1) as k from block_file),
+pieces as (select id, unnest({delimited}) as block, generate_subscripts({delimited}, 1) as k from block_file),
 lined as (select id, cast(k - 1 as int) as block_no, list_filter(list_transform(
-  string_split(case when k > 1 then regexp_replace(block, '^-*', '') else block end, {NL}), lambda t: {strip("t")}), lambda t: t <> '') as l from pieces),
+  string_split(block, {NL}), lambda t: {strip("t")}), lambda t: t <> '') as l from pieces),
 parsed as (select id, block_no, array_to_string(l[2:-2], {NL}) as code, try_cast(l[-1] as int) as label, l[-1] as label_text from lined where len(l) >= 3)"""
     sql["s2_delimited_blocks"] = with_(block_rows, select="select id, block_no, code, label from parsed where label is not null")
     sql["p6_drop_blank_lines"] = with_(block_rows, select=f"select id, block_no, array_to_string(l, {NL}) as lines from lined")

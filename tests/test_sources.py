@@ -30,6 +30,39 @@ def test_blocks(spark, tmp_path):
     assert [tuple(r) for r in blocks.rejected_blocks(found).select("code", "label_text").collect()] == [("code", "x")]
 
 
+DASHES = "-" * 25
+SHAPES = {
+    "-head one\ncode1a\ncode1b\n1\n" + DASHES + " end\nh2\ncode2\n0\n" + DASHES + "\n": [("code1a\ncode1b", 1), ("code2", 0)],
+    DASHES + "\nh\nc\n1\n" + DASHES: [("c", 1)],
+    "-" * 24 + "\nc\nd\n1\n" + "-" * 30 + "x\n-h\n-c\n2\n": [("c\nd", 1), ("-c", 2)],
+    "h\nc\n1\n// " + DASHES + " //\nh\nd\n2\n" + "-" * 80 + "\n\n" + "-" * 80 + "\nh\ne\n3": [("c", 1), ("d", 2), ("e", 3)],
+    "\n" + DASHES + "\n" + DASHES + "\nh\r\nc\r\n1\r\n" + DASHES + "\r\n-\nc\n4\n": [("c", 1), ("c", 4)],
+    "": [], DASHES: [], "one line": [],
+}
+
+
+def test_shapes_of_blocks_in_columns_and_files(spark, tmp_path):
+    for at, (text, expected) in enumerate(SHAPES.items()):
+        column = spark.createDataFrame([(text,)], "t string").select(F.explode(blocks.split_blocks(F.col("t"))).alias("b"))
+        assert [(r.code, r.label) for r in blocks.parse_blocks(column, "b").collect()] == expected
+        (tmp_path / f"{at}.txt").write_bytes(text.encode())
+    found = blocks.read_blocks(spark, str(tmp_path)).collect()
+    for at, expected in enumerate(SHAPES.values()):
+        assert sorted((r.code, r.label) for r in found if r.vul_type == str(at)) == sorted(expected)
+
+
+def test_shapes_in_a_file_that_is_split(spark, tmp_path):
+    text = "".join(f"{'-' * (i % 25)}head\ncode {i};\n{i % 2}\n{'-' * (25 + i % 3)}{' end' * (i % 2)}\n" for i in range(5_000))
+    (tmp_path / "big.txt").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20011")
+    try:
+        found = blocks.accepted_blocks(blocks.read_blocks(spark, str(tmp_path / "big.txt"))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.code, r.label) for r in found) == sorted((f"code {i};", i % 2) for i in range(5_000))
+
+
 def test_large_block_file_is_split(spark, tmp_path):
     path = tmp_path / "big.txt"
     path.write_text("".join(f"head\ncode {i};\n{i % 2}\n{'-' * (25 + i % 9)}\n" for i in range(20_000)))
