@@ -122,24 +122,26 @@ def detokenize_string(pieces: Column) -> Column:
     return replace_in_order(F.array_join(pieces, " "), ((" ", ""), (fixed.SPACE_MARK, " ")))
 
 
-def text_tokens(
+def text_pairs(
     pairs: Column, lang: str, keep_comments: bool = False, process_strings: bool = True
 ) -> Column:
-    """Token texts for text modelling: literals sub-tokenised, comments dropped unless kept."""
+    """Pairs for text modelling: literals sub-tokenised, comments dropped unless kept; every token keeps its tag."""
     specials = fixed.SPECIALS[lang]
     literal_tags = fixed.LITERAL_TAGS[lang][1:]
     kept = pairs if keep_comments else F.filter(pairs, lambda p: p["tag"] != fixed.COMMENT)
-    texts = F.transform(
-        kept,
-        lambda p: F.when(
-            p["tag"] == fixed.COMMENT, process_comment(p["token"], specials, process_strings)
-        )
-        .when(p["tag"].isin(*literal_tags), process_literal(p["token"], specials, process_strings))
-        .otherwise(
-            replace_in_order(
-                p["token"],
-                (("\n", fixed.NEW_LINE), (fixed.NEW_LINE * 2, fixed.NEW_LINE)),
-            )
-        ),
-    )
-    return F.filter(texts, lambda t: t != "")
+
+    def text(p: Column) -> Column:
+        comment = process_comment(p["token"], specials, process_strings)
+        literal = process_literal(p["token"], specials, process_strings)
+        plain = replace_in_order(p["token"], (("\n", fixed.NEW_LINE), (fixed.NEW_LINE * 2, fixed.NEW_LINE)))
+        return F.when(p["tag"] == fixed.COMMENT, comment).when(p["tag"].isin(*literal_tags), literal).otherwise(plain)
+
+    told = F.transform(kept, lambda p: F.struct(text(p).alias("token"), p["tag"].alias("tag")))
+    return F.filter(told, lambda p: p["token"] != "")
+
+
+def text_tokens(
+    pairs: Column, lang: str, keep_comments: bool = False, process_strings: bool = True
+) -> Column:
+    """The tokens of :func:`text_pairs`."""
+    return F.transform(text_pairs(pairs, lang, keep_comments, process_strings), lambda p: p["token"])

@@ -55,15 +55,23 @@ def _decode_literal(token: Column, specials) -> Column:
     return replace_in_order(mark_specials(shown, specials), ((" ", ""), (fixed.SPACE_MARK, " ")))
 
 
+def _comment_text(token: Column) -> Column:
+    """A comment whose end mark is gone; marks inside it are line ends."""
+    return F.replace(F.regexp_replace(token, rf" *{fixed.ENDCOM} *\z", ""), F.lit(fixed.ENDCOM), F.lit("\n"))
+
+
 def render_pairs(pairs: Column, lang: str = "cpp") -> Column:
-    """Laid-out source text from (token, tag) pairs of a C-family language."""
+    """Laid-out source text from (token, tag) pairs of a C-family language, lexed or made for text modelling.
+
+    The tags say what each token is, so no text is lexed again.
+    """
     specials = fixed.SPECIALS[lang]
 
     def piece(p: Column) -> Column:
         return (
             F.when(
                 p["tag"] == fixed.COMMENT,
-                F.concat(_decode_literal(p["token"], specials), F.lit("\n")),
+                F.concat(_decode_literal(_comment_text(p["token"]), specials), F.lit("\n")),
             )
             .when(p["tag"].isin(*fixed.LITERAL_TAGS[lang][1:]), _decode_literal(p["token"], specials))
             .when(p["token"].isin(";", "{", "}"), F.concat(p["token"], F.lit(" \n")))
@@ -100,7 +108,7 @@ def render_pairs(pairs: Column, lang: str = "cpp") -> Column:
 
 
 def render_cfamily(tokens: Column, lang: str = "cpp") -> Column:
-    """Laid-out source text from a token array without tags."""
+    """Laid-out source text from a token array without tags, which is lexed for them; with tags use :func:`render_pairs`."""
     lex = {"cpp": lex_cpp, "java": lex_java}[lang]
     text = replace_in_order(
         F.array_join(tokens, " "), ((fixed.ENDCOM, "\n"), (fixed.NEW_LINE, "\n"))

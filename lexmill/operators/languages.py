@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import extraction, lexing, python_lexing, rendering, signatures
 from lexmill.functions.exprs import let, words
-from lexmill.functions.literals import text_tokens
-
-PAIRS = "array<struct<token:string,tag:string>>"
+from lexmill.functions.literals import text_pairs, text_tokens
 
 
 @dataclass(frozen=True)
@@ -22,6 +20,8 @@ class Language:
 
     lex: Callable[[Column], Column] | None = None  # code -> pairs
     tokenize: Callable[..., Column] | None = None  # code, keep_comments, process_strings -> tokens
+    text_pairs: Callable[..., Column] | None = None  # code, keep_comments, process_strings -> tokens with their tags
+    render: Callable[[Column], Column] | None = None  # pairs -> code
     detokenize: Callable[[Column], Column] | None = None  # tokens -> code
     functions: Callable[..., Column] | None = None  # tokens, arguments -> functions
     function_name: Callable[[Column], Column] | None = None  # tokens -> name
@@ -51,6 +51,13 @@ def _cfamily_tokenize(key: str, lex: Callable[[Column], Column]) -> Callable[...
     return tokenize
 
 
+def _cfamily_pairs(key: str, lex: Callable[[Column], Column]) -> Callable[..., Column]:
+    def pairs(code: Column, keep_comments: bool = False, process_strings: bool = True) -> Column:
+        return let(lex(code), lambda p: text_pairs(p, key, keep_comments, process_strings))
+
+    return pairs
+
+
 def _python_lex(code: Column) -> Column:
     """Python tokens with the token itself as tag of layout, and a coarse tag of the rest."""
 
@@ -74,6 +81,8 @@ register(
     Language(
         lex=lexing.lex_cpp,
         tokenize=_cfamily_tokenize("cpp", lexing.lex_cpp),
+        text_pairs=_cfamily_pairs("cpp", lexing.lex_cpp),
+        render=lambda pairs: rendering.render_pairs(pairs, "cpp"),
         detokenize=lambda tokens: rendering.render_cfamily(tokens, "cpp"),
         functions=lambda tokens, arguments=True: extraction.functions_of("cpp", tokens, arguments),
         function_name=signatures.cfamily_function_name,
@@ -85,6 +94,8 @@ register(
     Language(
         lex=lexing.lex_java,
         tokenize=_cfamily_tokenize("java", lexing.lex_java),
+        text_pairs=_cfamily_pairs("java", lexing.lex_java),
+        render=lambda pairs: rendering.render_pairs(pairs, "java"),
         detokenize=lambda tokens: rendering.render_cfamily(tokens, "java"),
         functions=lambda tokens, arguments=True: extraction.functions_of(
             "java", words(F.array_join(tokens, " ")), arguments

@@ -48,6 +48,15 @@ def text_tokens_table(
     return df.withColumn("tokens", language(lang).tokenize(F.col(key), keep_comments, process_strings))
 
 
+def rendered(
+    df: DataFrame, key: str = "code", lang: str = "cpp", keep_comments: bool = True, process_strings: bool = True
+) -> DataFrame:
+    """Add ``text``: the code as it is laid out again from its tokens for text modelling and their tags."""
+    spec = language(lang)
+    pairs = df.withColumn("_pairs", spec.text_pairs(F.col(key), keep_comments, process_strings))
+    return pairs.withColumn("text", spec.render(F.col("_pairs"))).drop("_pairs")
+
+
 def accepted_and_rejected(df: DataFrame, column: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """Rows that could be read, and those that could not."""
     return df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull()).drop(column)

@@ -194,9 +194,9 @@ def capped(source: str, column: str, name: str) -> str:
 {name} as (select id, string_agg(ch, '' order by spot) as x from {name}_r where r <= 5 or ch = {NL} group by id)"""
 
 
-def processed_tokens(keep: bool, full: bool) -> str:
-    """CTEs after ``tok`` that end in ``out(id, pos, token)``."""
-    literal_tags = "('string_literal', 'char_literal')"
+def processed_tokens(keep: bool, full: bool, lang: str = "cpp") -> str:
+    """CTEs after ``tok`` that end in ``out(id, pos, token, tag)``."""
+    literal_tags = str(fixed.LITERAL_TAGS[lang][1:])
     lit_source = f"lits as (select id, pos, token as x, tag from tok where tag in {literal_tags} or tag = 'comment')"
     if full:
         stages = whole("lits", "id, pos", "tag = 'comment'", "lit2")
@@ -211,9 +211,9 @@ def processed_tokens(keep: bool, full: bool) -> str:
     plain = replace_all("t.token", (("\n", "NEW_LINE"), ("NEW_LINENEW_LINE", "NEW_LINE")))
     return f"""{lit_source},
 {stages},
-mixed as (select t.id, t.pos as spot, case when l.pos is not null then l.x else {plain} end as token
+mixed as (select t.id, t.tag, t.pos as spot, case when l.pos is not null then l.x else {plain} end as token
   from (select * from tok {dropped}) t left join lit2 l on l.id = t.id and l.pos = t.pos),
-out as (select id, cast(row_number() over (partition by id order by spot) - 1 as int) as pos, token from mixed where token <> '')"""
+out as (select id, cast(row_number() over (partition by id order by spot) - 1 as int) as pos, token, tag from mixed where token <> '')"""
 
 
 # --- Python --------------------------------------------------------------------------------
@@ -405,6 +405,7 @@ parsed as (select id, block_no, array_to_string(l[2:-2], {NL}) as code, try_cast
     out = "select id, pos, token from out"
     sql["l3_text_tokens"] = with_(*cpp_lex, processed_tokens(False, True), select=out)
     sql["l3_text_tokens_with_comments"] = with_(*cpp_lex, processed_tokens(True, True), select=out)
+    sql["l3_text_tokens_java"] = with_(cte("java_file"), lex("java_file", lang="java"), processed_tokens(True, True, "java"), select=out)
     sql["l3_text_tokens_light"] = with_(*cpp_lex, processed_tokens(True, False), select=out)
     pytok = "select id, pos, token from pytok"
     sql["l4_lex_python_functions"] = with_(cte("code_py"), python_tokens("code_py"), select=pytok)
@@ -549,18 +550,20 @@ parsed as (select id, block_no, array_to_string(l[2:-2], {NL}) as code, try_cast
         ("CB_COLON", "};"), ("CB_COMA", "},"), ("CB_", "}"), ("OB_", "{"),
         ("> > >", ">>>"), ("<< <", "<<<"), ("> >", ">>"), ("< <", "<<"),
     )
-    sql["r1_render_cpp"] = with_(
-        *cpp_lex, processed_tokens(True, True),
-        f"joined as (select id, {replace_all('string_agg(token, chr(32) order by pos)', (('ENDCOM', chr(10)), ('NEW_LINE', chr(10))))} as code from out group by id)",
-        lex("joined", name="again"),
-        f"pieced as (select id, pos, case when tag = 'comment' then {decode} || {NL} when tag in ('string_literal', 'char_literal') then {decode} "
-        f"when token in (';', '{{', '}}') then token || ' ' || {NL} else token end as piece from again)",
-        f"marked as (select id, {t8(replace_all('string_agg(piece, chr(32) order by pos)', marks))} as text from pieced group by id)",
-        "split as (select id, string_split(text, 'NEW_LINE') as lines from marked)",
-        indented("split", "laid"),
-        f"closed as (select id, {replace_all('text', close_up)} as text from laid)",
-        select=f"select id, {regex('text', '#define (.*) [(]', '#define ' + chr(92) + '1(')} as text from closed",
-    )
+    shown = decode.replace("token", f"replace({regex('token', ' *ENDCOM *$', '')}, 'ENDCOM', {NL})")
+    for lang, source in (("cpp", "cpp_file"), ("java", "java_file")):
+        literal_tags = str(fixed.LITERAL_TAGS[lang][1:])
+        last = regex("text", "#define (.*) [(]", "#define " + chr(92) + "1(") if lang == "cpp" else "text"
+        sql[f"r1_render_{lang}"] = with_(
+            cte(source), lex(source, lang=lang), processed_tokens(True, True, lang),
+            f"pieced as (select id, pos, case when tag = 'comment' then {shown} || {NL} when tag in {literal_tags} then {decode} "
+            f"when token in (';', '{{', '}}') then token || ' ' || {NL} else token end as piece from out)",
+            f"marked as (select id, {t8(replace_all('string_agg(piece, chr(32) order by pos)', marks))} as text from pieced group by id)",
+            "split as (select id, string_split(text, 'NEW_LINE') as lines from marked)",
+            indented("split", "laid"),
+            f"closed as (select id, {replace_all('text', close_up)} as text from laid)",
+            select=f"select id, {last} as text from closed",
+        )
     sql["r2_join_macro"] = text_of(
         "preprocessed", regex("replace(code, '# define', '#define')", r"#define (.*) \(", r"#define \1(")
     )

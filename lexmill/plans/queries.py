@@ -289,6 +289,11 @@ _text_tokens("l3_text_tokens_with_comments", True, True)
 _text_tokens("l3_text_tokens_light", True, False)
 
 
+@query("l3_text_tokens_java")
+def _(spark, sf):
+    return _texts(tokens.text_tokens_table(code_table(spark, sf, "java_file"), "code", "java", True))
+
+
 @query("l4_lex_python_functions")
 def _(spark, sf):
     return _texts(tokens.text_tokens_table(code_table(spark, sf, "code_py"), "code", "python"))
@@ -544,9 +549,12 @@ def _(spark, sf):
 
 @query("r1_render_cpp")
 def _(spark, sf):
-    render = language("cpp").detokenize
-    files = tokens.text_tokens_table(code_table(spark, sf, "cpp_file"), "code", "cpp", True)
-    return files.select("id", render(F.col("tokens")).alias("text"))
+    return tokens.rendered(code_table(spark, sf, "cpp_file"), "code", "cpp").select("id", "text")
+
+
+@query("r1_render_java")
+def _(spark, sf):
+    return tokens.rendered(code_table(spark, sf, "java_file"), "code", "java").select("id", "text")
 
 
 @query("r2_join_macro")

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.exprs import words
 from lexmill.functions.lexing import lex_cpp
-from lexmill.functions.literals import text_tokens
+from lexmill.functions.literals import text_pairs, text_tokens
 from lexmill.functions.python_lexing import lex_python
 from lexmill.functions.rendering import (
     indent_lines,
@@ -11,6 +11,7 @@ from lexmill.functions.rendering import (
     render_pairs,
     render_python,
 )
+from lexmill.operators.tokens import rendered, tokenize
 
 
 def test_indent_lines(apply):
@@ -48,6 +49,41 @@ def test_rendered_text_lexes_to_the_same_tokens(apply):
     assert again == tokens
 
 
+CODE = """#include <a.h>
+#define MAX 1
+// one { comment ; }
+class A { /* two
+ lines */ int x; void m(int a) { char c = '\\n'; s += "q; {r}\\t"; if (a >> 2) { g(); } else { h(); } } };
+"""
+
+
+def test_render_from_tags(apply):
+    """Tags that went through literal processing say the same as lexing the joined tokens again."""
+    pairs = lambda c: text_pairs(lex_cpp(c), "cpp", True)
+    by_tags = apply(lambda c: render_pairs(pairs(c)), CODE)
+    assert by_tags == apply(lambda c: render_cfamily(F.transform(pairs(c), lambda p: p["token"])), CODE)
+    again = apply(lambda c: text_tokens(lex_cpp(render_pairs(pairs(c))), "cpp"), CODE)
+    assert again == apply(lambda c: text_tokens(lex_cpp(c), "cpp"), CODE)
+
+
+def test_lexer_stands_once_in_the_plan(spark):
+    df = spark.createDataFrame([(1, CODE)], "id int, code string")
+    for lang in ("cpp", "java"):
+        plan = rendered(df, "code", lang)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(") == tokenize(df, "code", lang)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
+
+
+def test_lex_render_lex_needs_few_rounds(spark):
+    before = spark.conf.get("spark.sql.analyzer.maxIterations")
+    spark.conf.set("spark.sql.analyzer.maxIterations", "75")
+    try:
+        df = spark.createDataFrame([(1, CODE)], "id int, c string")
+        (row,) = df.select(lex_cpp(render_pairs(text_pairs(lex_cpp(F.col("c")), "cpp"))).alias("x")).collect()
+        assert len(row.x) > 40
+    finally:
+        spark.conf.set("spark.sql.analyzer.maxIterations", before)
+
+
 def test_macro_parameters(apply):
     assert apply(join_macro_parameters, "#define A ( x )\n#define B (y) + (z)") == [
         "#define A( x )\n#define B (y) +(z)"
