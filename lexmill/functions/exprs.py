@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 NOT_WS = r"[^\t-\r\x1c-\x20\x85\p{Z}]"
 
-#: States that one level of a scan appends one by one.
-_CHUNK = 128
+#: States that a scan appends one by one, and such lists that make a chunk.
+_CHUNK = 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -38,6 +38,32 @@ def mark_open_comments(text: Column) -> Column:
     return F.when(tail.contains("/*") & ~text.contains(OPEN_MARK), marked).otherwise(text)
 
 
+def mark_open_raw_strings(text: Column) -> Column:
+    """Put OPEN_MARK inside each raw string opener that no closer of its delimiter word follows.
+
+    For every distinct delimiter word the last closer is looked up once, and openers behind it are marked; a pattern would read to
+    the end of the text at each of them.
+    """
+
+    def behind(text: Column, word: Column) -> Column:
+        closer = F.concat(F.lit(")"), word, F.lit('"'))
+        tail = F.call_function("substring_index", text, closer, F.lit(-1))
+        head = F.left(text, F.length(text) - F.length(tail))
+        opener = F.concat(F.lit('R"'), word, F.lit("("))
+        return F.concat(head, F.replace(tail, opener, F.concat(F.lit(f'R"{OPEN_MARK}'), word, F.lit("("))))
+
+    found = F.regexp_extract_all(text, F.lit(r'R"([^()\\\s]{0,16})\('), F.lit(1))
+    return F.when(text.contains('R"'), F.aggregate(F.array_distinct(found), text, behind)).otherwise(text)
+
+
+def mark_open_text_blocks(text: Column) -> Column:
+    """Put OPEN_MARK inside each escaped triple quote that no plain one follows: as an opener it would stay open."""
+    head = F.regexp_extract(text, r'(?s)\A(?:.*(?<!\\)(?:\\\\)*+""")?+', 0)
+    tail = F.substr(text, F.length(head) + 1)
+    marked = F.concat(head, F.replace(tail, F.lit('"""'), F.lit(f'"{OPEN_MARK}""')))
+    return F.when(text.contains('\\"""'), marked).otherwise(text)
+
+
 def unmark(parts: Column) -> Column:
     """Matches of a marked text as they stand in the text itself."""
     plain = F.transform(parts, lambda p: F.replace(p, F.lit(OPEN_MARK), F.lit("")))
@@ -74,31 +100,44 @@ def section(items: Column, start: Column, end: Column) -> Column:
     Unlike a slice it does not copy the whole array first, so cutting an array into all its parts is
     linear.  ``items`` should be bound.
     """
-    places = F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.get(items, i))
+    return F.transform(_places(start, end), lambda i: F.get(items, i))
 
 
 def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """States of a left fold after every item; ``items`` should be bound.
+    """States of a left fold after every item, in time linear in the items; ``items`` should be bound.
 
-    A fold that appends to its own result copies that result at each item.  Here two levels keep this short: states are
-    appended within chunks of fixed size, whole chunks to a list of chunks, and the items of a chunk are
-    fetched by place, so that no step copies the whole array.
+    An aggregate copies its whole state at each step, so a state that holds all results so far would be quadratic.  A first pass
+    only folds chunks to the state that each is entered with.  A second one opens every chunk by itself from there, where states are
+    appended to short lists, and these to the list of the chunk.
     """
     size = F.size(items)
-
-    def fold_chunk(done: Column, k: Column) -> Column:
-        own = section(items, k * _CHUNK, F.least((k + 1) * _CHUNK, size))
-        states = F.aggregate(
-            own,
-            F.slice(F.element_at(done, -1), F.lit(-1), F.lit(1)),
-            lambda acc, x: F.array_append(acc, step(F.element_at(acc, -1), x)),
-        )
-        return F.array_append(done, states)
-
-    chunks = F.sequence(F.lit(0), F.floor(F.greatest(size - 1, F.lit(0)) / _CHUNK).cast("int"))
-    folded = F.aggregate(chunks, F.array(F.array(zero)), fold_chunk)
-    # Each chunk begins with the state that it was entered with; the first one holds nothing else.
-    return F.flatten(
-        F.transform(folded, lambda states, k: F.slice(states, F.lit(2), F.size(states) - 1))
-    )
+    wide = _CHUNK * _CHUNK
+    chunks = F.floor((size + wide - 1) / wide).cast("int")
+
+    def enter(entered: Column, k: Column) -> Column:
+        own = section(items, k * wide, (k + 1) * wide)
+        return F.array_append(entered, F.aggregate(own, F.element_at(entered, -1), step))
+
+    def open_chunk(state: Column, k: Column) -> Column:
+        def open_part(done: Column, j: Column) -> Column:
+            start = k * wide + j * _CHUNK
+            return F.array_append(
+                done,
+                F.aggregate(
+                    section(items, start, F.least(start + _CHUNK, size)),
+                    F.slice(F.element_at(done, -1), F.lit(-1), F.lit(1)),
+                    lambda states, x: F.array_append(states, step(F.element_at(states, -1), x)),
+                ),
+            )
+
+        parts = F.aggregate(F.sequence(F.lit(0), F.lit(_CHUNK - 1)), F.array(F.array(state)), open_part)
+        # Each part begins with the state that it was entered with.
+        return F.flatten(F.transform(parts, lambda states: F.slice(states, F.lit(2), F.size(states) - 1)))
+
+    entered = F.aggregate(_places(F.lit(0), chunks - 1), F.array(zero), enter)
+    return F.flatten(F.transform(entered, open_chunk))
+
+
+def _places(start: Column, end: Column) -> Column:
+    """Numbers from ``start`` up to, not including, ``end``."""
+    return F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))

@@ -6,16 +6,26 @@ matched whole first and then cut by rules of its own, because its end is a token
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed
-from lexmill.functions.exprs import NOT_WS, OPEN_MARK, let, mark_open_comments, unmark
+from lexmill.functions.exprs import (
+    NOT_WS,
+    OPEN_MARK,
+    let,
+    mark_open_comments,
+    mark_open_raw_strings,
+    mark_open_text_blocks,
+    unmark,
+)
 
 _COMMENT = r"//[^\n\\]*+(?:\\.[^\n\\]*+)*+|/\*.*?\*/"
 _CHAR = r"(?:u8|[LuU])?'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
 _STRING = r'(?:u8|[LuU])?"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
-_RAW_STRING = r'(?:u8|[LuU])?R"([^()\\\s]{0,16})\(.*?\)\1"'
+_RAW_STRING = rf'(?:u8|[LuU])?R"([^()\\\s{OPEN_MARK}]{{0,16}})\(.*?\)\1"'
 _TEXT_BLOCK = r'"""[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+"""'
 _WORD = r"[\p{L}_$][\p{L}\p{N}_$]*+"
 _NUMBER = (
@@ -135,15 +145,16 @@ def _by_directive(line: Column, word: Column, plain_word: Column) -> Column:
     )
 
 
-def _matches(code: Column, pattern: str) -> Column:
-    """Matches of a lexer's pattern, in time linear in the text also where comments stay open."""
+def _matches(code: Column, pattern: str, mark_strings: Callable[[Column], Column]) -> Column:
+    """Matches of a lexer's pattern, in time linear in the text also where comments or strings stay open."""
 
     def found(plain: Column) -> Column:
         def cut(text: Column) -> Column:
             parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-            return F.when(text == plain, parts).otherwise(unmark(parts))
+            return let(parts, lambda parts: F.when(text == plain, parts).otherwise(unmark(parts)))
 
-        return let(mark_open_comments(plain), cut)
+        marked = let(mark_open_comments(plain), mark_strings)
+        return let(F.when(plain.contains(OPEN_MARK), plain).otherwise(marked), cut)
 
     return let(F.replace(code, F.lit("\r"), F.lit("")), found)
 
@@ -173,7 +184,7 @@ def lex_cpp(code: Column) -> Column:
             ),
         )
 
-    return let(let(_matches(code, _CPP), raw), tagged)
+    return let(let(_matches(code, _CPP, mark_open_raw_strings), raw), tagged)
 
 
 def lex_java(code: Column) -> Column:
@@ -187,4 +198,4 @@ def lex_java(code: Column) -> Column:
             ),
         )
 
-    return let(_matches(code, _JAVA), pairs)
+    return let(_matches(code, _JAVA, mark_open_text_blocks), pairs)

@@ -1,5 +1,9 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions import lexing
 from lexmill.functions.lexing import lex_cpp, lex_java
 from lexmill.functions.literals import text_tokens
 from lexmill.functions.python_lexing import lex_python
@@ -161,3 +165,38 @@ def test_lexed_once(spark):
         plan = result._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("(?smd)") == 1  # how the pattern of the lexer begins
     assert tokenize(df, "code").select(F.size("tokens").alias("n")).first().n == 3
+
+
+OPEN_STRINGS = [
+    ('R"( a R"( b', ["R", '"( a R"', "(", "b"]),
+    ('x = R"w(1)w" + R"w(2', ["x", "=", 'R"w(1)w"', "+", "R", '"', "w", "(", "2"]),
+    ('R"a(1 R"b(2)b" R"a(3', ["R", '"a(1 R"', "b", "(", "2", ")", "b", '" R"', "a", "(", "3"]),
+    ('R"(x)" R"(y', ['R"(x)"', "R", '"', "(", "y"]),
+    ('/* R"( */ R"(a)" /* b', ["/* R\"( */", 'R"(a)"', "/", "*", "b"]),
+    ('R")R"R(1', None), ('R"(﷐', None), ('u8R"x(a)x" LR"y(', None),
+]
+
+
+def test_open_raw_strings(apply):
+    """Marks change no token: the same as the pattern alone gives."""
+    texts = [text for text, _ in OPEN_STRINGS]
+    found = apply(lambda c: F.transform(lex_cpp(c), lambda p: p["token"]), *texts)
+    plain = apply(lambda c: F.regexp_extract_all(c, F.lit(lexing._CPP), F.lit(0)), *texts)
+    assert found == plain
+    assert all(tokens == expected for tokens, (_, expected) in zip(found, OPEN_STRINGS) if expected)
+
+
+def test_open_text_blocks(apply):
+    texts = ['"""\\""" a \\""" b', 'x = """a\\""" """; y = """\\"""', '"""a\\\\""" + """b \\"""" + 1 \\"""', '\\"""\\"""\\\\"""\\"""x', '"""']
+    found = apply(lambda c: F.transform(lex_java(c), lambda p: p["token"]), *texts)
+    assert found == apply(lambda c: F.regexp_extract_all(c, F.lit(lexing._JAVA), F.lit(0)), *texts)
+
+
+@pytest.mark.parametrize(
+    ("lex", "unit"), [(lex_cpp, 'R"( a '), (lex_cpp, 'R"ab(x)" '), (lex_cpp, 'R"(a)" R"b( '), (lex_java, '"""\\"""x'), (lex_java, '\\""" a '), (lex_cpp, "/* "), (lex_java, '"a" ')]
+)
+def test_open_strings_take_linear_time(apply, lex, unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    (count,) = apply(lambda c: F.size(lex(c)), text)
+    assert count > 1000 and time.perf_counter() - began < 25
