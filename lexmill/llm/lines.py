@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.exprs import let
-from lexmill.llm.common import pin, read, signed
+from lexmill.llm.common import drop_scratch, pin, read, signed
 from lexmill.llm.components import components
 
 SEED = 42
@@ -99,9 +99,9 @@ def with_simhash(marked: DataFrame) -> DataFrame:
         F.when(few, F.col("words")).otherwise(F.array(F.lit(""))).alias("words"),
     )
     opened = words.withColumn("word", F.explode("words")).withColumn("h", F.xxhash64("word"))
-    told = [F.min(name).alias(name) for name in ("doc_id", "k1", "k2", "n", "long_fp")]
     counts = [F.sum(_place(F.col("h"), at, FIELD)).alias(f"count{at}") for at in range(FIELD)]
-    counted = opened.groupBy("row", "line_no").agg(*told, *counts)
+    # All that a line has is part of its key: further aggregates would make the loop too large to be compiled.
+    counted = opened.groupBy("row", "line_no", "doc_id", "k1", "k2", "n", "long_fp").agg(*counts)
     fp = F.coalesce("long_fp", majority([F.col(f"count{at}") for at in range(FIELD)], F.col("n"), FIELD))
     return counted.select("doc_id", "line_no", "k1", "k2", fp.alias("fp"))
 
@@ -110,8 +110,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, doc_id, line_no, norm) of every line with letters or digits."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).where("doc_id is not null")
-    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("row", "doc_id", "line_no", normalised(F.col("line")).alias("norm")).where("norm <> ''")
+    # Normalised before they are opened: the filter would otherwise normalise every line once more.
+    lines = F.transform(F.split("text", "\n"), normalised)
+    return rows.select("row", "doc_id", F.posexplode(lines).alias("line_no", "norm")).where("norm <> ''")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -141,11 +142,19 @@ def _alike(left: Column, right: Column, similarity: float) -> Column:
         for limit in reversed(BANDS):
             wider = F.when(allowed > limit, alike).otherwise(F.lit(False))
             alike = let(F.levenshtein(a, b, limit), _told(allowed, wider))
-        return alike
+        # No more edits than characters, nor than word by word: where these suffice, no table is filled.
+        few = F.greatest(F.length(a), F.length(b)) <= allowed
+        return F.when(few | (_word_edits(F.split(a, " "), F.split(b, " ")) <= allowed), True).otherwise(alike)
 
     return near & let(_middles(F.split(left, " "), F.split(right, " ")), within)
 
 
+def _word_edits(left: Column, right: Column) -> Column:
+    """Edits that turn each word into the one at its place; NULL unless the numbers of words are equal."""
+    edits = F.zip_with(left, right, lambda x, y: F.when(x == y, F.lit(0)).otherwise(F.levenshtein(x, y)))
+    return F.when(F.size(left) == F.size(right), F.aggregate(edits, F.lit(0), lambda total, n: total + n))
+
+
 def _middles(left: Column, right: Column) -> Column:
     """What is left of two lines without the words that both begin or end with.
 
@@ -182,6 +191,7 @@ def duplicate_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY
 ) -> DataFrame:
     """(doc_id, line_no, kept_doc_id, kept_line_no) of every line that repeats an earlier one, exactly or nearly."""
+    spark = docs.sparkSession
     marked = _marked(docs, id_col, text_col)
     places = pin(with_simhash(marked))
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
@@ -195,6 +205,7 @@ def duplicate_lines(
     )
     leaders = pin(leaders.where("n > 1").drop("n"))
     members = pin(dealt.join(leaders.hint("merge"), "key"))
+    drop_scratch(spark, leaders)
     within = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
     def across(links: DataFrame) -> DataFrame:
@@ -212,7 +223,9 @@ def duplicate_lines(
         )
         pairs = left.join(right, "key").where((F.col("line") < F.col("line2")) & (F.col("root") != F.col("root2")))
         pairs = pairs.where(within("fp", "fp2")).where(F.col("key") == first)
-        return pin(pairs.select(F.col("line2").alias("a"), F.col("line").alias("b")))
+        pairs = pin(pairs.select(F.col("line2").alias("a"), F.col("line").alias("b")))
+        drop_scratch(spark, known, left)
+        return pairs
 
     to_leader = members.where("line <> leader").where(within("fp", "leader_fp"))
     to_leader = to_leader.select(F.col("line").alias("a"), F.col("leader").alias("b")).distinct()
@@ -224,12 +237,17 @@ def duplicate_lines(
     links = pin(_verified(candidates, texts, similarity))
     # Where a candidate failed, lines that it held together are compared with each other as well; all
     # of them have their text here already.
-    links = links.unionByName(_verified(across(links).join(candidates, ["a", "b"], "left_anti"), texts, similarity))
+    further = across(links)
+    drop_scratch(spark, members)
+    links = links.unionByName(_verified(further.join(candidates, ["a", "b"], "left_anti"), texts, similarity))
     groups = pin(components(links).withColumnRenamed("node", "line"))
+    drop_scratch(spark, starts, candidates, further, texts, links)
 
     grouped = pin(distinct.join(groups.hint("merge"), "line", "left").withColumn("root", F.coalesce("root", "line")))
+    drop_scratch(spark, distinct, groups)
     kept = pin(grouped.groupBy("root").agg(F.min("first").alias("kept")))
     of_line = pin(grouped.join(kept, "root").select("k1", "k2", "kept"))
+    drop_scratch(spark, grouped, kept)
     told = places.select("k1", "k2", "doc_id", "line_no").join(of_line.hint("merge"), ["k1", "k2"])
     repeats = told.where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line_no") != F.col("kept.line_no")))
     return repeats.select(
@@ -244,14 +262,16 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, distinct: DataFrame, wan
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     picked = let(
         F.split("text", "\n"),
-        lambda lines: F.transform("places", lambda at: F.struct(at["line"].alias("line"), F.get(lines, at["line_no"]).alias("text"))),
+        lambda lines: F.transform("places", lambda at: F.struct(at["line"].alias("line"), normalised(F.get(lines, at["line_no"])).alias("norm"))),
     )
     found = rows.join(per_doc.hint("merge"), "doc_id").select(F.explode(picked).alias("place"))
     # Rows that share an id may hold other lines at this place; the digest names the right one.
-    checked = found.select("place.line", normalised(F.col("place.text")).alias("norm")).where("norm <> ''")
+    checked = found.select("place.line", "place.norm").where("norm <> ''")
     own = distinct.select("line", "k1", "k2")
     checked = checked.withColumn("k1", F.xxhash64("norm")).withColumn("k2", F.xxhash64("norm", F.lit(SEED)))
-    return pin(checked.join(own, ["line", "k1", "k2"]).dropDuplicates(["line"]).select("line", "norm"))
+    texts = pin(checked.join(own, ["line", "k1", "k2"]).dropDuplicates(["line"]).select("line", "norm"))
+    drop_scratch(docs.sparkSession, per_doc)
+    return texts
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
