@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import bpe, decontaminate, lines, near_copies, toxicity
-from lexmill.llm.common import pin, read
+from lexmill.llm import bpe, decontaminate, lines, simhash, toxicity
+from lexmill.llm.common import drop_scratch, pin, read
 
 #: The stages have no SQL twin: trees, fingerprints and byte pairs are tested against brute force.
 ORACLE_SQL = None
@@ -37,8 +37,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    groups = near_copies.near_copies(docs)
+    """One document, that with the smallest id, of each group of near-equal fingerprints, as op3 has them (three words, two bits)."""
+    groups = simhash.near_duplicates(docs)
     return _without(docs, groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
 
 
@@ -67,7 +67,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of ``sf_dir`` through all stages."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = pin(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop_scratch(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
