@@ -65,7 +65,15 @@ JAVA_FILE = _lines(
         _SIZE, """' + s.length(); } // '""", "p_type",
     ),
     _concat("""'  String g() { return "'""", "p_brand", """'" + '""", "chr(39)", "'x'", "chr(39)", "'; }'"),
-    "'}'",
+    # Annotations with lists, and of two names; one that names a method's error list; methods without a body.
+    "case when p_partkey % 2 = 0 then '  @SuppressWarnings({\"a\", \"b\"})' else '  @Override()' end",
+    _concat("'  static void m'", _KEY, "'(Map<K, List<V>> x) throws E, java.io.IOException { if (x) { for (;;) { m(); } } }'"),
+    "'  abstract void k(int z) throws E;'",
+    _concat("'  @java.lang.Deprecated(since = \"'", "p_brand", "'\") /* '", "p_type", "' */'"),
+    _concat("'  public C'", _SIZE, "'() { this(new int[] {1, 2}); }'"),
+    "case when p_partkey % 3 = 0 then '  // next' else '  int[] v = {1, 2};' end",
+    "'  long last(long y) { return y; '",
+    "case when p_partkey % 4 = 0 then '' else '} }' end",
 )
 
 JAVA_TOKENS = _concat(
@@ -84,6 +92,9 @@ PYTHON_FUNCTION = _lines(
     _concat("'    return x  # '", "p_type"),
 )
 
+# A tab reaches the same column as eight blanks.
+_EIGHT = "case when p_partkey % 3 = 0 then chr(9) else '        ' end"
+
 PYTHON_FILE = _lines(
     "'import os.path'",
     "''",
@@ -98,6 +109,21 @@ PYTHON_FILE = _lines(
     _concat("'            '", _SIZE, "']'"),
     "'    def g(x):'",
     "case when p_partkey % 5 = 0 then '        print x' else '        return x.iteritems() ** 2' end",
+    # Blocks up to eight deep, all closed at once.
+    _concat("'def n'", _KEY, "'(k):'"),
+    *(f"case when p_partkey % 8 >= {k} then '{'    ' * k}if k > {k}:' else '' end" for k in range(1, 8)),
+    _concat("repeat('    ', cast(p_partkey % 8 as int) + 1)", "'k += 1'"),
+    "'# comment in the first column'",
+    # Tabs, a continued line, brackets over several lines and an inner function.
+    _concat("'def t'", _KEY, "'(a):'"),
+    _concat(_EIGHT, "'if a:'"),
+    _concat(_EIGHT, "'    return a + '", "chr(92)", _NL, "' 1'"),
+    _concat(_EIGHT, "'b = (a,'"),
+    "'# in brackets'",
+    "'  2)'",
+    _concat(_EIGHT, "'def inner(z):'"),
+    _concat(_EIGHT, _EIGHT, "'return z'"),
+    _concat(_EIGHT, "'return inner'"),
     _concat("'def h'", _KEY, "'(y, z):'"),
     "'    return y  # tail'",
 )

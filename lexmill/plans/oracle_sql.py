@@ -20,7 +20,7 @@ def lit(text: str) -> str:
 
 
 def with_(*parts: str, select: str) -> str:
-    return "with " + ",\n".join(parts) + "\n" + select
+    return "with recursive " + ",\n".join(parts) + "\n" + select
 
 
 def replace(expr: str, old: str, new: str) -> str:
@@ -219,23 +219,42 @@ out as (select id, cast(row_number() over (partition by id order by spot) - 1 as
 # --- Python --------------------------------------------------------------------------------
 
 PY_LEX = (
-    r'(?s)#[^\n]*|"[^\n"\\]*(?:\\.[^\n"\\]*)*"|[0-9]+|[\p{L}\p{N}_]+'
+    r'(?s)\n[ \t]*|\\\n[ \t]*|#[^\n]*|"""[^"]*"""|"[^\n"\\]*(?:\\.[^\n"\\]*)*"|[0-9]+|[\p{L}\p{N}_]+'
     r"|\*\*|[-+*/%&|^=!<>]=|"
 ) + NOT_WS
 
 
 def python_tokens(source: str) -> str:
-    """CTEs for files whose blocks step by four blanks; end in ``pytok(id, pos, token)``."""
-    flat = regex(
-        regex("code", r",\n +", ", "), r'\n *"""[^"]*"""\n', "\n"
-    )
-    return f"""pylines as (select id, unnest(string_split({flat}, {NL})) as line, generate_subscripts(string_split({flat}, {NL}), 1) as no from {source}),
-pylex as (select id, no, line, list_filter(regexp_extract_all(line, {lit(PY_LEX)}), lambda t: t[1] <> '#') as toks from pylines),
-pykept as (select id, no, toks, (length(line) - length(ltrim(line, ' '))) // 4 as w from pylex where len(toks) > 0),
-pyprev as (select *, coalesce(lag(w) over (partition by id order by no), 0) as before, lead(no) over (partition by id order by no) is null as last from pykept),
-pyrows as (select id, no, [x for x in ['DEDENT', 'DEDENT', 'DEDENT', 'DEDENT'][1:greatest(before - w, 0)]]
-    || ['INDENT', 'INDENT'][1:greatest(w - before, 0)] || toks || ['NEW_LINE']
-    || case when last then ['DEDENT', 'DEDENT', 'DEDENT', 'DEDENT'][1:w] else [] end as toks from pyprev),
+    """CTEs that end in ``pytok(id, pos, token)``.
+
+    Lexemes are numbered by physical line, brackets summed up by windows, and the stack of indentations is a recursive query
+    that takes the next statement of every file at each step.
+    """
+    return f"""pym as (select id, regexp_extract_all({NL} || code, {lit(PY_LEX)}) as m from {source}),
+pyu as (select id, unnest(m) as x, generate_subscripts(m, 1) as spot from pym),
+pyn as (select *, sum(case when x[1] = {NL} then 1 else 0 end) over w as no,
+    sum(case when x in ('(', '[', '{{') then 1 when x in (')', ']', '}}') then -1 else 0 end) over w as depth
+  from pyu where x[1] <> chr(92) window w as (partition by id order by spot)),
+pyline as (select id, no, max(case when x[1] = {NL} then x end) as head, arg_max(depth, spot) as after,
+    list(x order by spot) filter (x[1] <> {NL} and x[1] <> '#') as toks from pyn group by id, no),
+pykept as (select id, no, after, toks, coalesce(lag(after) over (partition by id order by no), 0) as before,
+    list_reduce([0] || list_transform(string_split(head[2:], ''), lambda c: case c when ' ' then 1 when chr(9) then 8 else 0 end),
+      lambda w, c: case c when 8 then (w // 8 + 1) * 8 else w + c end) as width from pyline),
+-- a line with nothing but a string is a comment
+pysaid as (select * from pykept where len(toks) > 0 and not (len(toks) = 1 and toks[1][1] = '"' and before = 0)),
+pystate as (select *, row_number() over (partition by id order by no) as k from pysaid where before = 0),
+pystack as (
+  select id, cast(0 as bigint) as k, [cast(0 as bigint)] as stack, cast(0 as bigint) as closed, 0 as opened from {source}
+  union all
+  select s.id, s.k, case when s.width > p.stack[-1] then list_append(p.stack, s.width) else list_filter(p.stack, lambda x: x <= s.width) end,
+    len(p.stack) - len(list_filter(p.stack, lambda x: x <= s.width)), case when s.width > p.stack[-1] then 1 else 0 end
+  from pystack p join pystate s on s.id = p.id and s.k = p.k + 1),
+pyopen as (select s.id, s.no, p.closed, p.opened from pystate s join pystack p on p.id = s.id and p.k = s.k),
+pyend as (select id, arg_max(len(stack), k) - 1 as open_blocks, max(k) as k from pystack group by id),
+pyrows as (select t.id, t.no, list_transform(range(coalesce(o.closed, 0)), lambda x: 'DEDENT')
+    || list_transform(range(coalesce(o.opened, 0)), lambda x: 'INDENT') || t.toks || case when t.after <= 0 then ['NEW_LINE'] else [] end as toks
+  from pysaid t left join pyopen o on o.id = t.id and o.no = t.no
+  union all select id, 1000000000, list_transform(range(open_blocks), lambda x: 'DEDENT') from pyend),
 pyflat as (select id, no, unnest(toks) as x, generate_subscripts(toks, 1) as k from pyrows),
 pynum as (select id, row_number() over (partition by id order by no, k) - 1 as pos, x from pyflat),
 pystr as (select id, pos, x from pynum where x[1] = '"'),
@@ -428,6 +447,9 @@ parsed as (select id, block_no, array_to_string(l[2:-2], {NL}) as code, try_cast
         select="select id, coalesce(tokens, '') as tokens, coalesce(tags, '') as tags from blank_some left join wide using (id)",
     )
     bad = "rtrim(code, ' ') || chr(10) || 'if x:' || chr(10) || '        y = 1' || chr(10) || '    z = 2' || chr(10)"
+    tag = f"""case when token in ('NEW_LINE', 'INDENT', 'DEDENT') then token when regexp_full_match(token, '[\\p{{L}}_][\\p{{L}}\\p{{N}}_]*') then 'identifier'
+      when regexp_matches(token, '^\\.?[0-9]') then 'number_literal' when regexp_matches(token, '(?s)^[A-Za-z]{{0,2}} ?["\'\'].+') then 'string' else token end"""
+    sql["l2_tags_python"] = with_(*py_files, select=f"select id, pos, token, {tag} as tag from pytok")
     sql["l4_rejected_sources"] = with_(
         cte("code_py"),
         select=f"select id, cast(length(case when id % 5 = 0 then {bad} else code end) as int) as chars, "

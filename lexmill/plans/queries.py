@@ -270,6 +270,11 @@ def _(spark, sf):
     return _long(tokens.tokenize(code_table(spark, sf, "java_file"), "code", "java"), "id")
 
 
+@query("l2_tags_python")
+def _(spark, sf):
+    return _long(tokens.tokenize(code_table(spark, sf, "py_file"), "code", "python"), "id")
+
+
 @query("l2_tag_counts")
 def _(spark, sf):
     """Flagship: clean, lex and count tags per class."""
