@@ -22,7 +22,7 @@ from lexmill.functions.signatures import (
     remove_annotation,
     text_to_marks,
 )
-from lexmill.functions.spans import cpp_spans, java_spans, python_spans
+from lexmill.functions.spans import cpp_spans, java_pair_spans, java_spans, python_spans
 
 STANDALONE, IN_CLASS = "standalone", "class"
 
@@ -125,6 +125,29 @@ def java_functions(tokens: Column, arguments: bool = True) -> Column:
     return let(tokens, rows)
 
 
+def java_pair_functions(pairs: Column, arguments: bool = True, without_annotation: bool = True) -> Column:
+    """Functions of Java text tokens with their tags (comments kept); NULL arguments when not asked for."""
+
+    def rows(pairs: Column) -> Column:
+        def row(s: Column) -> Column:
+            def of(own: Column) -> Column:
+                text = F.array_join(own, " ")
+                static = F.array_contains(_before(own, "{"), F.lit("static"))
+                return _row(
+                    s,
+                    F.when(static, STANDALONE).otherwise(IN_CLASS),
+                    remove_annotation(text) if without_annotation else text,
+                    cfamily_function_name,
+                    arguments,
+                )
+
+            return let(F.transform(_cut(pairs, s), lambda p: p["token"]), of)
+
+        return F.transform(java_pair_spans(pairs), row)
+
+    return let(pairs, rows)
+
+
 def python_functions(tokens: Column) -> Column:
     """Functions of tokenised Python text, without those of the old language version."""
 

@@ -220,6 +220,89 @@ def java_spans(tokens: Column) -> Column:
     )
 
 
+def java_pair_spans(pairs: Column) -> Column:
+    """Functions in a lexed Java text, from (token, tag) pairs with comments as one token each.
+
+    A header is a closing parenthesis before a body or before ``throws``, a list of names and a body; empty bodies count.
+    A function begins behind the last brace or semicolon, or at a comment that comes later than these.  What stands in the
+    parentheses of an annotation, or as a comment in those of a header, ends no statement.
+    """
+
+    def token(i: Column) -> Column:
+        return F.get(pairs, i)["token"]
+
+    def event(p: Column, i: Column) -> Column:
+        header = (p["token"] == ")") & token(i + 1).isin("{", "throws")
+        return F.struct(
+            F.when(p["tag"] == fixed.COMMENT, fixed.COMMENT).otherwise(p["token"]).alias("t"),
+            i.alias("i"),
+            F.coalesce(header, F.lit(False)).alias("header"),
+        )
+
+    events = F.filter(
+        F.transform(
+            pairs,
+            lambda p, i: F.when(
+                (p["tag"] == fixed.COMMENT) | p["token"].isin("{", "}", ";", "(", ")", "@"), event(p, i)
+            ),
+        ),
+        lambda e: e.isNotNull(),
+    )
+
+    def names_between(at: Column, end: Column) -> Column:
+        """Whether a name, or names joined by dots, are all that stands between two places."""
+        places = F.when(end > at + 1, F.sequence(at + 1, end - 1)).otherwise(F.array().cast("array<int>"))
+        dotted = F.forall(places, lambda i: ((i - at) % 2 == 0) == (token(i) == "."))
+        return ((end - at) % 2 == 0) & dotted
+
+    start = F.struct(
+        F.lit(0).alias("begin"),  # where a function would begin
+        F.lit(-1).alias("mark"),  # an @ whose parenthesis may follow
+        F.lit(0).alias("annotation"),  # parentheses open in an annotation
+        F.lit(0).alias("open"),  # other parentheses open outside functions
+        F.lit(False).alias("header"),
+        F.lit(0).alias("depth"),
+        F.lit(-1).alias("start"),
+        _no_span().alias("span"),
+    )
+
+    def step(s: Column, e: Column) -> Column:
+        opens, closes = e["t"] == "{", e["t"] == "}"
+        left, right = e["t"] == "(", e["t"] == ")"
+        inside, noted = s["depth"] > 0, s["annotation"] > 0
+        free = ~inside & ~noted
+        annotated = free & left & (s["mark"] >= 0) & names_between(s["mark"], e["i"])
+        accepted = free & opens & s["header"]
+        ended = inside & closes & (s["depth"] == 1)
+        comment = free & (e["t"] == fixed.COMMENT) & (s["open"] == 0) & ~s["header"]
+        bound = ended | (free & ~accepted & (opens | closes | (e["t"] == ";")))
+        fresh = accepted | bound
+        return F.struct(
+            F.when(bound, e["i"] + 1).when(comment, e["i"]).otherwise(s["begin"]).alias("begin"),
+            F.when(free & (e["t"] == "@"), e["i"]).when(fresh | left, F.lit(-1)).otherwise(s["mark"]).alias("mark"),
+            F.when(annotated, F.lit(1))
+            .when(noted & left, s["annotation"] + 1)
+            .when(noted & right, s["annotation"] - 1)
+            .otherwise(s["annotation"])
+            .alias("annotation"),
+            F.when(fresh, F.lit(0))
+            .when(free & left & ~annotated, s["open"] + 1)
+            .when(free & right, F.greatest(s["open"] - 1, F.lit(0)))
+            .otherwise(s["open"])
+            .alias("open"),
+            (free & ~fresh & (s["header"] | e["header"])).alias("header"),
+            F.when(accepted, F.lit(1))
+            .when(inside & opens, s["depth"] + 1)
+            .when(inside & closes, s["depth"] - 1)
+            .otherwise(s["depth"])
+            .alias("depth"),
+            F.when(accepted, s["begin"]).otherwise(s["start"]).alias("start"),
+            F.when(ended, _span(s["start"], e["i"], F.lit(True))).alias("span"),
+        )
+
+    return _spans(events, start, step, lambda s: _span(s["start"], F.size(pairs) - 1, F.lit(True)))
+
+
 def python_spans(tokens: Column) -> Column:
     """Functions in a tokenised Python text: from ``def`` to the mark that ends its block.
 

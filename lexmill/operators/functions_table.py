@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.extraction import cpp_functions
-from lexmill.operators.languages import language
+from lexmill.operators.languages import by_language, language
 
 
 def _table(df: DataFrame, found: Column, keep: tuple[str, ...]) -> DataFrame:
@@ -27,3 +27,10 @@ def cpp_function_table(
 ) -> DataFrame:
     """Functions of C or C++ files given as text."""
     return _table(df, cpp_functions(F.col(code), arguments), keep)
+
+
+def mixed_function_table(
+    df: DataFrame, *keep: str, code: str = "code", lang_column: str = "lang", arguments: bool = True
+) -> DataFrame:
+    """Functions of files given as text, found by the language of each row."""
+    return _table(df, by_language(F.col(lang_column), "code_functions", F.col(code), arguments), keep)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +25,8 @@ class Language:
     functions: Callable[..., Column] | None = None  # tokens, arguments -> functions
     function_name: Callable[[Column], Column] | None = None  # tokens -> name
     arguments: Callable[[Column], Column] | None = None  # text -> (type, name) pairs
+    code_functions: Callable[..., Column] | None = None  # code, arguments -> functions, of one shape for all languages
+    code_layout: Callable[[Column], Column] | None = None  # code -> code, laid out again from its tokens
 
 
 LANGUAGES: dict[str, Language] = {}
@@ -58,6 +59,13 @@ def _cfamily_pairs(key: str, lex: Callable[[Column], Column]) -> Callable[..., C
     return pairs
 
 
+def _cfamily_layout(key: str, lex: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    def layout(code: Column) -> Column:
+        return let(_cfamily_pairs(key, lex)(code, True), lambda pairs: rendering.render_pairs(pairs, key))
+
+    return layout
+
+
 def _python_lex(code: Column) -> Column:
     """Python tokens with the token itself as tag of layout, and a coarse tag of the rest."""
 
@@ -87,6 +95,8 @@ register(
         functions=lambda tokens, arguments=True: extraction.functions_of("cpp", tokens, arguments),
         function_name=signatures.cfamily_function_name,
         arguments=signatures.extract_arguments,
+        code_functions=extraction.cpp_functions,
+        code_layout=_cfamily_layout("cpp", lexing.lex_cpp),
     ),
 )
 register(
@@ -102,6 +112,10 @@ register(
         ),
         function_name=signatures.cfamily_function_name,
         arguments=signatures.extract_arguments,
+        code_functions=lambda code, arguments=True: let(
+            _cfamily_pairs("java", lexing.lex_java)(code, True), lambda pairs: extraction.java_pair_functions(pairs, arguments)
+        ),
+        code_layout=_cfamily_layout("java", lexing.lex_java),
     ),
 )
 register(
@@ -112,16 +126,21 @@ register(
         detokenize=rendering.render_python,
         functions=lambda tokens, arguments=True: extraction.functions_of("python", tokens, arguments),
         function_name=signatures.python_function_name,
+        code_functions=lambda code, arguments=True: extraction.python_functions(python_lexing.lex_python(code)),
+        code_layout=lambda code: rendering.render_python(python_lexing.lex_python(code)),
     ),
 )
 
 
+def by_language(lang: Column, hook: str, *values: Column | bool) -> Column:
+    """What the hook of each row's language gives, in one pass; NULL for a language without it."""
+    (key, step), *rest = [(key, getattr(spec, hook)) for key, spec in LANGUAGES.items() if getattr(spec, hook)]
+    case = F.when(lang == key, step(*values))
+    for key, step in rest:
+        case = case.when(lang == key, step(*values))
+    return case
+
+
 def lex_by_language(lang: Column, code: Column) -> Column:
-    """Pairs by the language of each row, in one pass; NULL for a language without a lexer."""
-    branches = [(key, spec.lex) for key, spec in LANGUAGES.items() if spec.lex]
-    first, rest = branches[0], branches[1:]
-    return reduce(
-        lambda case, branch: case.when(lang == branch[0], branch[1](code)),
-        rest,
-        F.when(lang == first[0], first[1](code)),
-    )
+    """Pairs by the language of each row."""
+    return by_language(lang, "lex", code)

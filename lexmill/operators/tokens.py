@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.exprs import opened
-from lexmill.operators.languages import language, lex_by_language
+from lexmill.operators.languages import by_language, language, lex_by_language
 
 
 def tokenize(
@@ -57,6 +57,11 @@ def rendered(
     return pairs.withColumn("text", spec.render(F.col("_pairs"))).drop("_pairs")
 
 
+def rendered_mixed(df: DataFrame, key: str = "code", lang_column: str = "lang") -> DataFrame:
+    """As :func:`rendered`, with the language taken from each row; NULL where a source cannot be read."""
+    return df.withColumn("text", by_language(F.col(lang_column), "code_layout", F.col(key)))
+
+
 def accepted_and_rejected(df: DataFrame, column: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """Rows that could be read, and those that could not."""
     return df.where(F.col(column).isNotNull()), df.where(F.col(column).isNull()).drop(column)

@@ -49,15 +49,29 @@ def reveal(spark: SparkSession, data_dir: str, seed: str = "", exact: bool = Fal
     return tables.build_once(spark, f"{root}/tokenized", lambda: clean_and_tokenize(raw, "code"))
 
 
-def sysevr(spark: SparkSession, data_dir: str, seed: str = "", exact: bool = False) -> DataFrame:
-    """Four block files; the origin stays as ``vul_type`` and bad labels go to a folder of their own."""
+def sysevr_blocks(spark: SparkSession, data_dir: str) -> DataFrame:
+    """All blocks of the four files with their ``kind``, accepted or rejected (label that is no integer).
+
+    One scan writes both kinds as one table, so either both are there or neither.
+    """
     root = f"{data_dir}/sysevr"
     files = [f"{root}/raw_data/{name}.txt" for name in fixed.SYSEVR_FILES]
 
+    def parse() -> DataFrame:
+        kind = F.when(F.col("label").isNull(), blocks.REJECTED).otherwise(blocks.ACCEPTED)
+        return blocks.read_blocks(spark, files).withColumn("kind", kind)
+
+    return tables.build_once(spark, f"{root}/blocks", parse, by="kind")
+
+
+def sysevr(spark: SparkSession, data_dir: str, seed: str = "", exact: bool = False) -> DataFrame:
+    """Four block files; the origin stays as ``vul_type``, and blocks with bad labels stay in the table of blocks."""
+    root = f"{data_dir}/sysevr"
+
     def build_raw() -> DataFrame:
-        found = blocks.read_blocks(spark, files)
-        blocks.rejected_blocks(found).write.mode("overwrite").parquet(f"{root}/rejects")
-        return _split(_keyed(blocks.accepted_blocks(found), "code"), seed, exact)
+        found = sysevr_blocks(spark, data_dir)
+        accepted = found.where(F.col("kind") == blocks.ACCEPTED).drop("kind", "label_text")
+        return _split(_keyed(accepted, "code"), seed, exact)
 
     raw = tables.build_once(spark, f"{root}/split_data", build_raw)
     return tables.build_once(spark, f"{root}/tokenized", lambda: clean_and_tokenize(raw, "code"))

@@ -340,6 +340,28 @@ span as (select * from ends x where not exists (select 1 from ends o where o.id
 javafun as (select s.id, s.s, s.e, list(t.token order by t.pos) as toks
     from span s join tok t on t.id = s.id and t.pos between s.s and s.e group by all)"""
 
+JAVA_TEXT_FUNCTIONS = f"""{lex("java_file", lang="java")},
+{processed_tokens(True, True, "java")},
+jn as (select *, lag(token, 1) over w as p1, lag(token, 2) over w as p2, lag(token, 4) over w as p4, lead(token, 1) over w as n1,
+    sum(case when tag <> 'comment' and token = '(' then 1 when tag <> 'comment' and token = ')' then -1 else 0 end) over w as paren
+  from out window w as (partition by id order by pos)),
+jopen as (select id, pos, paren from jn where tag <> 'comment' and token = '(' and regexp_matches(p1, '^[A-Za-z]') and (p2 = '@' or (p2 = '.' and p4 in ('@', '.')))),
+jnote as (select o.id, o.pos as s, min(c.pos) as e from jopen o join jn c on c.id = o.id and c.tag <> 'comment' and c.token = ')' and c.pos > o.pos
+    and c.paren = o.paren - 1 group by all),
+jfree as (select n.* from jn n left join jnote a on a.id = n.id and n.pos between a.s and a.e where a.id is null),
+jb as (select *, max(case when tag <> 'comment' and token in (';', '}}', '{{') then pos + 1 when tag = 'comment' and paren = 0 then pos end) over w as bnd,
+    sum(case when tag = 'comment' then 0 when token = '{{' then 1 when token = '}}' then -1 else 0 end) over w as depth,
+    lead(pos) over w as nxt, max(pos) over (partition by id) as lastpos
+  from jfree window w as (partition by id order by pos)),
+jstop as (select *, min(case when tag <> 'comment' and token in ('{{', ';') then pos end) over (partition by id order by pos rows between 1 following and unbounded following) as body from jb),
+jheads as (select h.id, h.pos, h.body, coalesce(h.bnd, 0) as s, h.depth as d, h.lastpos from jstop h join jn b on b.id = h.id and b.pos = h.body
+  where h.tag <> 'comment' and h.token = ')' and h.n1 in ('{{', 'throws') and b.token = '{{'),
+jends as (select h.id, h.s, coalesce(min(z.pos), any_value((select max(pos) from jn where jn.id = h.id))) as e from jheads h left join jb z
+    on z.id = h.id and z.tag <> 'comment' and z.token = '}}' and z.pos > h.body and z.depth = h.d group by h.id, h.s, h.pos),
+jspan as (select * from jends x where not exists (select 1 from jends o where o.id = x.id and o.s < x.s and o.e >= x.e)),
+jfun as (select s.id, s.s, s.e, string_agg(t.token, ' ' order by t.pos) as text, list(t.token order by t.pos) as toks
+    from jspan s join out t on t.id = s.id and t.pos between s.s and s.e group by all)"""
+
 # --- rendering -----------------------------------------------------------------------------
 
 
@@ -535,13 +557,30 @@ parsed as (select id, block_no, array_to_string(l[2:-2], {NL}) as code, try_cast
     sql["f11_preprocessor_led"] = with_(
         cte("cpp_file"), cpp_functions(flat), select=f"select id, {at}, {name} as name from cppfun"
     )
-    sql["f12_remove_annotation"] = text_of(
-        "java_tokens", f"regexp_replace(regexp_replace(code, '^.*?@', '@'), {lit(fixed.ANNOTATION_PATTERN)}, '')"
+    java_text = (cte("java_file"), JAVA_TEXT_FUNCTIONS)
+    plain_text = f"regexp_replace(text, {lit(fixed.ANNOTATION_PATTERN)}, '')"
+    sql["f3_java_from_text"] = with_(
+        *java_text,
+        select=f"select id, {ends}, case when list_contains(toks[1:list_position(toks, '{{') - 1], 'static') then 'standalone' else 'class' end as kind, "
+        f"{plain_text} as text from jfun",
     )
+    sql["f12_remove_annotation"] = with_(*java_text, select=f"select id, {at}, {plain_text} as text from jfun")
     sql["f13_function_name"] = (
         f"select * from ({with_(*cpp, select=f'select id, {lit("cpp")} as lang, {at}, {name} as name from cppfun')}) "
         f"union all select * from ({with_(*java, select=f'select id, {lit("java")} as lang, {at}, {name} as name from javafun')})"
     )
+    def named(parts, source: str, lang: str, kind: str, what: str) -> str:
+        return with_(*parts, select=f"select id, '{lang}' as lang, {ends}, {kind} as kind, {what} as name from {source}")
+
+    static = "case when list_contains(toks[1:list_position(toks, '{') - 1], 'static') then 'standalone' else 'class' end"
+    own = "case when toks[list_position(toks, '(') + 1] = 'self' then 'class' else 'standalone' end"
+    java_name = f"list_filter(regexp_split_to_array({plain_text}, ' +'), lambda t: t <> '')"
+    mixed = (
+        named(cpp, "cppfun", "cpp", "kind", name),
+        named(java_text, "jfun", "java", static, f"{java_name}[list_position({java_name}, '(') - 1]"),
+        named(py, "pyfun", "python", own, "toks[list_position(toks, 'def') + 1]"),
+    )
+    sql["f13_mixed_languages"] = " union all ".join(f"select * from ({part})" for part in mixed)
     sql["f14_python_function_name"] = with_(
         *py, select=f"select id, {at}, toks[list_position(toks, 'def') + 1] as name from pyfun"
     )
@@ -612,6 +651,10 @@ parsed as (select id, block_no, array_to_string(l[2:-2], {NL}) as code, try_cast
         select=f"select id, {replace_all('text', py_close)} as text from decoded",
     )
 
+    sql["r1_render_mixed"] = " union all ".join(
+        f"select id, '{lang}' as lang, text from ({sql[part]})" for lang, part in (("cpp", "r1_render_cpp"), ("java", "r1_render_java"), ("python", "r4_render_python"))
+    )
+
     # data set assembly
     bucket = f"(('0x' || substr(md5('{SPLIT_SEED}' || cast(id as varchar)), 1, 8))::bigint % 100)"
     split = f"case when {bucket} < 80 then 'train' when {bucket} < 90 then 'validation' else 'test' end"
@@ -714,6 +757,23 @@ select id, case when digest <= train_end then 'train' when digest <= validation_
         select="select code as func, cast(no % 2 as int) as label, "
         "case no % 3 when 0 then 'train' when 1 then 'validation' else 'test' end as split, tokens, tags from built",
     )
+    of_file = "case id % 4 " + " ".join(f"when {at} then '{name}'" for at, name in enumerate(fixed.SYSEVR_FILES)) + " end"
+    sources = f"sources as (select *, {of_file} as vul_type, id * 100 + block_no as no from parsed)"
+    sql["corpus_sysevr"] = with_(
+        block_rows, sources,
+        f"nr as (select no as id, vul_type, label, code as raw, {n1('code')} as code from sources where label is not null)",
+        f"ns as (select id, vul_type, label, raw, {n2('code')} as code from nr)",
+        f"clean as (select id, vul_type, label, raw, {n3('code')} as code from ns)",
+        lex("clean"),
+        f"wide as (select id, {joined} from tok group by id)",
+        "built as (select vul_type, c.code, label, md5(raw) as id, coalesce(tokens, '') as tokens, coalesce(tags, '') as tags from clean c left join wide w on w.id = c.id)",
+        select=f"select vul_type, code, label, {split} as split, tokens, tags, 'accepted' as kind from built "
+        "union all select vul_type, code, null, null, null, null, 'rejected' from sources where label is null",
+    )
+    sql["corpus_sysevr_counts"] = with_(
+        block_rows, sources,
+        select="select vul_type, case when label is null then 'rejected' else 'accepted' end as kind, count(*) as n from sources group by all",
+    )
     short_tok = f"string_agg(token, ' ' order by pos) filter (where pos < {SEQUENCE_LIMIT}) as tokens, string_agg(tag, ' ' order by pos) filter (where pos < {SEQUENCE_LIMIT}) as tags"
     cut_corpus = (*corpus, f"cut as (select id as no, {short_tok} from tok group by id)")
     sql["d9_read_saved_split"] = with_(
@@ -729,4 +789,16 @@ select id, case when digest <= train_end then 'train' when digest <= validation_
         f"m as (select id, regexp_extract_all(code, {lit(NOT_WS + '+')}) as m from docs)",
         select="select id, cast(generate_subscripts(m, 1) - 1 as int) as pos, unnest(m) as token, 'word' as tag from m",
     )
+    word_rows = f"""{DOCUMENTS},
+m as (select id, regexp_extract_all(code, {lit(NOT_WS + '+')}) as m from docs),
+w as (select id, generate_subscripts(m, 1) - 1 as pos, unnest(m) as token from m),
+e as (select *, sum(case when token like '%.' then 1 else 0 end) over (partition by id order by pos rows between unbounded preceding and 1 preceding) as no from w)"""
+    sql["udf2_plugged_functions"] = with_(
+        word_rows,
+        select="select id, cast(min(pos) as int) as start_pos, cast(max(pos) as int) as end_pos, arg_min(token, pos) as name, "
+        "cast(length(string_agg(token, ' ' order by pos)) as int) as chars from e group by id, coalesce(no, 0) having arg_max(token, pos) like '%.'",
+    )
+    sql["udf2_plugged_rendering"] = with_(
+        DOCUMENTS, select=f"select id, array_to_string(regexp_extract_all(code, {lit(NOT_WS + '+')}), '_') as text from docs"
+    )
     return sql

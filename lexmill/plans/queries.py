@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import fixed, literals, normalize, signatures, spans
-from lexmill.functions.exprs import let, opened, words
+from lexmill.functions.exprs import let, opened, section, words
+from lexmill.functions.extraction import java_pair_functions
 from lexmill.functions.lexing import lex_cpp
 from lexmill.functions.rendering import indent_lines, join_macro_parameters
 from lexmill.operators import columns, functions_table, splitting, tokens, training, vocabulary
@@ -520,12 +521,22 @@ def _(spark, sf):
     return found.select("id", "start_pos", "name")
 
 
+def _java_text_functions(spark, sf, without_annotation: bool = True) -> DataFrame:
+    """Functions of Java texts: lexed, literals sub-tokenised, comments kept."""
+    files = code_table(spark, sf, "java_file").withColumn("pairs", language("java").text_pairs(F.col("code"), True))
+    found = java_pair_functions(F.col("pairs"), arguments=True, without_annotation=without_annotation)
+    return files.select("id", F.inline(found))
+
+
+@query("f3_java_from_text")
+def _(spark, sf):
+    return _java_text_functions(spark, sf).select("id", "start_pos", "end_pos", "kind", "text")
+
+
 @query("f12_remove_annotation")
 def _(spark, sf):
-    text = F.regexp_replace("code", "^.*?@", "@")
-    return code_table(spark, sf, "java_tokens").select(
-        "id", signatures.remove_annotation(text).alias("text")
-    )
+    found = _java_text_functions(spark, sf, without_annotation=False)
+    return found.select("id", "start_pos", signatures.remove_annotation(F.col("text")).alias("text"))
 
 
 @query("f13_function_name")
@@ -535,6 +546,23 @@ def _(spark, sf):
     return cpp.unionByName(java)
 
 
+def _mixed_files(spark, sf) -> DataFrame:
+    kinds = (("cpp_file", "cpp"), ("java_file", "java"), ("py_file", "python"))
+    return columns.union_all(*(code_table(spark, sf, name).select("id", "code", F.lit(lang).alias("lang")) for name, lang in kinds))
+
+
+@query("f13_mixed_languages")
+def _(spark, sf):
+    """Functions of C++, Java and Python files in one table, found by the language of each row."""
+    found = functions_table.mixed_function_table(_mixed_files(spark, sf), "id", "lang", arguments=False)
+    return found.select("id", "lang", "start_pos", "end_pos", "kind", "name")
+
+
+@query("r1_render_mixed")
+def _(spark, sf):
+    return tokens.rendered_mixed(_mixed_files(spark, sf)).select("id", "lang", "text")
+
+
 @query("f14_python_function_name")
 def _(spark, sf):
     return _python_functions(spark, sf).select("id", "start_pos", "name")
@@ -715,6 +743,33 @@ def _(spark, sf):
     return _corpus_rows(corpora.reveal(spark, path, SPLIT_SEED), "code", "label", "split")
 
 
+def _block_folders(spark, sf) -> str:
+    """The block corpus as four folders of text files, dealt by id."""
+    path = scratch_path(spark)
+    rows = code_table(spark, sf, "block_file")
+    for at, name in enumerate(fixed.SYSEVR_FILES):
+        own = rows.where(F.col("id") % len(fixed.SYSEVR_FILES) == at)
+        own.select(F.concat("code", F.lit("\n" + fixed.BLOCK_DELIMITER))).write.text(f"{path}/sysevr/raw_data/{name}.txt")
+    return path
+
+
+@query("corpus_sysevr")
+def _(spark, sf):
+    """Block files through the whole build, with the blocks that it rejects."""
+    path = _block_folders(spark, sf)
+    built = _corpus_rows(corpora.sysevr(spark, path, SPLIT_SEED), "vul_type", "code", "label", "split")
+    rejected = corpora.sysevr_blocks(spark, path).where(F.col("kind") == blocks.REJECTED)
+    return built.withColumn("kind", F.lit(blocks.ACCEPTED)).unionByName(
+        rejected.select("vul_type", "code", "kind"), allowMissingColumns=True
+    )
+
+
+@query("corpus_sysevr_counts")
+def _(spark, sf):
+    """Accepted and rejected blocks of every file."""
+    return corpora.sysevr_blocks(spark, _block_folders(spark, sf)).groupBy("vul_type", "kind").agg(F.count("*").alias("n"))
+
+
 @query("corpus_codexglue")
 def _(spark, sf):
     """An exported table that comes with its splits, through the whole build."""
@@ -761,10 +816,34 @@ def _(spark, sf):
     return tokens.map_batches(docs, measure, "id bigint, n_lines bigint")
 
 
+def _sentences(tokens_: Column, arguments: bool = True) -> Column:
+    """Functions of the plugged language: runs of words up to one that ends with a full stop."""
+    ends = F.filter(F.transform(tokens_, lambda t, i: F.when(t.endswith("."), i)), lambda i: i.isNotNull())
+    none = F.lit(None).cast("array<string>")
+
+    def one(end: Column, k: Column, ends: Column) -> Column:
+        start = F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
+        own = section(tokens_, start, end + 1)
+        return let(
+            own,
+            lambda own: F.struct(
+                start.alias("start_pos"), end.alias("end_pos"), F.lit("standalone").alias("kind"), F.array_join(own, " ").alias("text"),
+                F.get(own, F.lit(0)).alias("name"), none.alias("arg_types"), none.alias("arg_names"),
+            ),
+        )
+
+    return let(ends, lambda ends: F.transform(ends, lambda end, k: one(end, k, ends)))
+
+
 # Registered once, before any plan is built.
 register(
     "words",
-    Language(lex=lambda c: F.transform(words(c), lambda w: F.struct(w.alias("token"), F.lit("word").alias("tag")))),
+    Language(
+        lex=lambda c: F.transform(words(c), lambda w: F.struct(w.alias("token"), F.lit("word").alias("tag"))),
+        tokenize=lambda c, keep_comments=False, process_strings=True: words(c),
+        detokenize=lambda tokens_: F.array_join(tokens_, "_"),
+        functions=lambda tokens_, arguments=True: let(tokens_, _sentences),
+    ),
 )
 
 
@@ -772,3 +851,19 @@ register(
 def _(spark, sf):
     docs = heavy(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return _long(tokens.tokenize(docs, "text", "words"), "id")
+
+
+def _plugged_tokens(spark, sf) -> DataFrame:
+    docs = heavy(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return tokens.text_tokens_table(docs, "text", "words")
+
+
+@query("udf2_plugged_functions")
+def _(spark, sf):
+    found = functions_table.function_table(_plugged_tokens(spark, sf), "id", lang="words")
+    return found.select("id", "start_pos", "end_pos", "name", F.length("text").alias("chars"))
+
+
+@query("udf2_plugged_rendering")
+def _(spark, sf):
+    return _plugged_tokens(spark, sf).select("id", language("words").detokenize(F.col("tokens")).alias("text"))

@@ -14,6 +14,7 @@ from lexmill.functions.exprs import let, strip
 
 #: Up to so many files (a path and a number each) their first records are broadcast.
 BROADCAST_FILES = 50_000
+ACCEPTED, REJECTED = "accepted", "rejected"
 _DELIMITER_LINE = rf"\n[^\n]*{fixed.BLOCK_DELIMITER}[^\n]*+"
 
 
@@ -66,12 +67,17 @@ def read_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     a delimiter line, except the first one of a file, which is told by its place: the least record number where a file begins.  A last block without delimiter is kept.
     """
     files = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
+    # A folder may stand for a file and hold its parts.
+    path = F.col("_metadata.file_path")
+    origin = F.when(path.rlike(r"\.txt/[^/]+$"), F.regexp_extract(path, r"([^/]+)\.txt/[^/]+$", 1)).otherwise(
+        F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "")
+    )
     raw = (
         spark.read.option("lineSep", "\n" + fixed.BLOCK_DELIMITER)
         .text(files)
         .select(
             F.col("_metadata.file_path").alias("path"),
-            F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("vul_type"),
+            origin.alias("vul_type"),
             F.col("_metadata.file_block_start").alias("block_start"),
             F.monotonically_increasing_id().alias("record"),
             "value",

@@ -49,9 +49,9 @@ def read_presplit(
     )
 
 
-def save_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def save_splits(df: DataFrame, path: str, mode: str = "overwrite", by: str = "split") -> None:
     """Write one folder per split."""
-    df.write.mode(mode).partitionBy("split").parquet(path)
+    df.write.mode(mode).partitionBy(by).parquet(path)
 
 
 def load_split(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -67,8 +67,8 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
-def build_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+def build_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], by: str = "split") -> DataFrame:
     """Saved table at ``path``; built and written first unless a committed one is there."""
     if not is_complete(spark, path):
-        save_splits(build(), path)
+        save_splits(build(), path, by=by)
     return load_split(spark, path)

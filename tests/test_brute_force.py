@@ -143,3 +143,27 @@ def test_tokens_cover_all_but_blanks(spark):
     for row in rows.collect():
         for tokens in (row.cpp, row.java):
             assert re.sub(r"\s", "", "".join(tokens)) == re.sub(r"\s", "", row.c)
+
+
+JAVA_SHAPES = {
+    "class A { @B({1, 2}) /* k */ public int f(int a /* { */) throws E, x.F { return a; } }": ["/* k */ public int f ( int a /* { */ ) throws E , x . F { return a ; }"],
+    "class A { // c\n@x.y.Z(a = {\"}\"}) static void f() { g(() -> { h(); }); } }": [],
+    "class A { abstract void f() throws E; int[] a = {1}; void g() { } }": ["void g ( ) { }"],
+    "class A { @ B ( ( 1 ) ) A() { } int x; @C int y() { return x; }": ["@ B ( ( 1 ) ) A ( ) { }", "@ C int y ( ) { return x ; }"],
+    "class A { R r = new R(1) { public void run() { x(); } }; void f() { open(": ["R r = new R ( 1 ) { public void run ( ) { x ( ) ; } }", "void f ( ) { open ("],
+    "": [], "int x;": [], "void f(": [], "@A(": [], ")": [], "void f() throws X": [],
+}
+
+
+def test_java_functions_of_lexed_text(apply):
+    from lexmill.functions.extraction import java_pair_functions
+    from lexmill.functions.lexing import lex_java
+
+    texts = list(JAVA_SHAPES)
+    found = apply(lambda c: F.transform(java_pair_functions(lex_java(c), False, False), lambda f: f["text"]), *texts)
+    for text, functions in zip(texts, found):
+        if JAVA_SHAPES[text] or "static" not in text:
+            assert functions == JAVA_SHAPES[text], text
+    # A line comment in front belongs to the function; braces in its own body are counted.
+    (shape,) = [f for t, f in zip(texts, found) if "static" in t]
+    assert [s.split("static")[1] for s in shape] == [" void f ( ) { g ( ( ) -> { h ( ) ; } ) ; }"]

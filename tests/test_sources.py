@@ -115,7 +115,8 @@ def test_sysevr_build(spark, data_dir):
     built = corpora.sysevr(spark, str(data_dir))
     assert built.count() == 8
     assert {r.vul_type for r in built.collect()} == set(fixed.SYSEVR_FILES)
-    assert spark.read.parquet(str(data_dir / "sysevr" / "rejects")).count() == 4
+    found = corpora.sysevr_blocks(spark, str(data_dir))
+    assert {r.kind: r["count"] for r in found.groupBy("kind").count().collect()} == {"accepted": 8, "rejected": 4}
 
 
 def test_codexglue_build(spark, tmp_path):
