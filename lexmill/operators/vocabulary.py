@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -103,20 +104,41 @@ def encode(
     return _encode_tails(looked, tails) if tails else looked
 
 
+class _Head:
+    """Known keys and their ids; the hash table over the keys is built once per worker, at its first batch."""
+
+    def __init__(self, keys: pa.Array, ids: pa.Array) -> None:
+        self.keys, self.ids = keys, ids
+        self.table: pd.Index | None = None
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "ids": self.ids, "table": None}
+
+    def find(self, asked: pa.Array) -> pa.Array:
+        """Ids of distinct keys; NULL where a key is not known."""
+        if self.table is None:
+            keys = pd.Index(self.keys.to_numpy(zero_copy_only=False))
+            repeated = keys.duplicated()
+            if repeated.any():  # the first of equal keys counts
+                self.ids, keys = self.ids.filter(pa.array(~repeated)), keys[~repeated]
+            self.table = keys
+        places = self.table.get_indexer(asked.to_numpy(zero_copy_only=False))
+        return self.ids.take(pa.array(places, mask=places < 0))
+
+
 def _head_lookup(df: DataFrame, keys: pa.ChunkedArray, ids: pa.ChunkedArray, open_rest: bool):
     """Ids of known keys; others are unknown, or NULL where a tail may still hold them."""
     table = df.sparkSession.sparkContext.broadcast(
-        (keys.combine_chunks().cast(pa.string()), ids.combine_chunks().cast(pa.int32()))
+        _Head(keys.combine_chunks().cast(pa.string()), ids.combine_chunks().cast(pa.int32()))
     )
 
     @F.arrow_udf("array<int>")
     def lookup(sequences: pa.Array) -> pa.Array:
-        known, known_ids = table.value
         lengths = pc.fill_null(pc.list_value_length(sequences), 0).to_numpy(zero_copy_only=False)
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-        # The hash table of the head is built once per batch, so each batch asks for distinct keys only.
+        # Every distinct key of the batch is asked for once.
         asked = sequences.flatten().cast(pa.string()).dictionary_encode()
-        found = pc.take(known_ids, pc.index_in(asked.dictionary, known))
+        found = table.value.find(asked.dictionary)
         settled = found if open_rest else pc.fill_null(found, UNKNOWN)
         cells = pc.take(settled, asked.indices)
         if asked.null_count:

@@ -14,7 +14,7 @@ from lexmill.functions.lexing import lex_cpp
 from lexmill.functions.rendering import indent_lines, join_macro_parameters
 from lexmill.operators import columns, functions_table, splitting, tokens, training, vocabulary
 from lexmill.operators.languages import Language, language, register
-from lexmill.operators.ranking import scratch_path
+from lexmill.operators.ranking import pin, scratch_path
 from lexmill.plans import corpora
 from lexmill.plans.code_tables import code_table
 from lexmill.sources import blocks, tables
@@ -675,7 +675,7 @@ def _(spark, sf):
 
 
 def _encoded(spark, sf, **options) -> DataFrame:
-    docs = _document_tokens(spark, sf)
+    docs = pin(_document_tokens(spark, sf))  # lexed once, read for the terms and for the ids
     terms = vocabulary.build_vocabulary(docs, min_count=2)
     ids = vocabulary.encode(docs, terms, **options)
     return ids.select("id", F.posexplode(F.arrays_zip("token_ids", "tag_ids")).alias("pos", "c")).select(
@@ -697,7 +697,7 @@ def _(spark, sf):
 @query("d7_encode_filtered_vocabulary")
 def _(spark, sf):
     """All documents with the vocabulary of one source, without each third of its terms and with a small head."""
-    docs = _document_tokens(spark, sf)
+    docs = pin(_document_tokens(spark, sf))
     terms = vocabulary.build_vocabulary(docs.where(F.col("source") == "src0")).where(F.col("term_id") % 3 != 0)
     ids = vocabulary.encode(docs, terms, head_terms=50)
     return ids.select("id", F.posexplode(F.arrays_zip("token_ids", "tag_ids")).alias("pos", "c")).select(
