@@ -10,6 +10,29 @@ SPACE_TOKEN = "SPACETOKEN"
 STR_NEWLINE = "STRNEWLINE"
 TAB_SYMBOL = "TABSYMBOL"
 
+# Marks for braces while lines are laid out, and what is replaced before and after that, in this order.
+OPEN_BRACE, CLOSE_BRACE = "OB_", "CB_"
+BRACES_TO_MARKS = (
+    ("\n", "NEW_LINE"),
+    ('} "', 'CB_ "'),
+    ('" {', '" OB_'),
+    ("} ;", "CB_COLON"),
+    ("} ,", "CB_COMA"),
+    ("}", "CB_"),
+    ("{", "OB_"),
+)
+MARKS_TO_BRACES = (
+    ("CB_COLON", "};"),
+    ("CB_COMA", "},"),
+    ("CB_", "}"),
+    ("OB_", "{"),
+    ("> > >", ">>>"),
+    ("<< <", "<<<"),
+    ("> >", ">>"),
+    ("< <", "<<"),
+)
+PYTHON_DOTS = ((". ", "."), (" .", "."), ("import.", "import ."), ("from.", "from ."))
+
 # Character sequences kept as one token inside literals and comments.
 # The order counts: every entry is applied to the result of the entries before it.
 C_SPECIALS = (

@@ -12,8 +12,7 @@ from lexmill.functions.exprs import let, replace_in_order, scan, strip
 from lexmill.functions.lexing import lex_cpp, lex_java
 from lexmill.functions.literals import mark_specials, restore_specials
 
-# Marks for braces while lines are laid out.
-_OPEN, _CLOSE, _CLOSE_COLON, _CLOSE_COMMA = "OB_", "CB_", "CB_COLON", "CB_COMA"
+_OPEN, _CLOSE = fixed.OPEN_BRACE, fixed.CLOSE_BRACE
 
 
 def indent_lines(lines: Column) -> Column:
@@ -78,32 +77,9 @@ def render_pairs(pairs: Column, lang: str = "cpp") -> Column:
             .otherwise(p["token"])
         )
 
-    marked = replace_in_order(
-        F.array_join(F.transform(pairs, piece), " "),
-        (
-            ("\n", fixed.NEW_LINE),
-            ('} "', f'{_CLOSE} "'),
-            ('" {', f'" {_OPEN}'),
-            ("} ;", _CLOSE_COLON),
-            ("} ,", _CLOSE_COMMA),
-            ("}", _CLOSE),
-            ("{", _OPEN),
-        ),
-    )
+    marked = replace_in_order(F.array_join(F.transform(pairs, piece), " "), fixed.BRACES_TO_MARKS)
     lines = F.split(restore_specials(marked, specials), fixed.NEW_LINE)
-    text = replace_in_order(
-        indent_lines(lines),
-        (
-            (_CLOSE_COLON, "};"),
-            (_CLOSE_COMMA, "},"),
-            (_CLOSE, "}"),
-            (_OPEN, "{"),
-            ("> > >", ">>>"),
-            ("<< <", "<<<"),
-            ("> >", ">>"),
-            ("< <", "<<"),
-        ),
-    )
+    text = replace_in_order(indent_lines(lines), fixed.MARKS_TO_BRACES)
     return join_macro_parameters(text) if lang == "cpp" else text
 
 
@@ -194,9 +170,7 @@ def _decode_python_literals(text: Column) -> Column:
 
 
 def _close_up_python(text: Column) -> Column:
-    dotted = replace_in_order(
-        text, ((". ", "."), (" .", "."), ("import.", "import ."), ("from.", "from ."))
-    )
+    dotted = replace_in_order(text, fixed.PYTHON_DOTS)
     prefixes = fixed.PYTHON_STRING_PREFIXES + tuple(p.upper() for p in fixed.PYTHON_STRING_PREFIXES)
     joined = reduce(
         lambda t, p: replace_in_order(t, ((f" {p} '", f" {p}'"), (f' {p} "', f' {p}"'))),
