@@ -50,6 +50,16 @@ CPP_FILE = _lines(
     _concat("'int none'", _KEY, "'() { }'"),
     "case when p_partkey % 5 = 0 then 'class P { public: int get(void) { return x >> 2; } };' else ';' end",
     "'for (;;i++) { g(); }'",
+    # Blocks up to six deep, classes in classes, and braces that open no function or stand in a literal.
+    _concat(
+        "'static long deep'", _KEY, "'(long v) { '", "repeat('if (v) { ', cast(p_partkey % 7 as int))", "'v--; '",
+        "repeat('} ', cast(p_partkey % 7 as int))", "'return v; }'",
+    ),
+    _concat("'struct S'", _KEY, "' { int a; struct T { char c; int m(int q) { return q + a; } }; int *n() { return &a; } };'"),
+    "'int odd(int a) /* why */ { return a; }'",
+    _concat("'const char *s = \"} { '", "chr(92)", "'\" ;\"; auto l = [](int a) { return a; };'"),
+    "case when p_partkey % 2 = 0 then 'bool operator==(const A &o) { return true; }' else 'enum E { X, Y };' end",
+    _concat("'template <typename T> T id'", _SIZE, "'(T t, map<T, vector<T> > m) { do { t++; } while (t < '", _SIZE, "'); return t; }'"),
     _concat(
         "'double last'", _KEY, "'(double x, map<int, int> y) { return x * 2;'",
         "case when p_partkey % 4 = 0 then '' else ' }' end",

@@ -366,10 +366,11 @@ jfun as (select s.id, s.s, s.e, string_agg(t.token, ' ' order by t.pos) as text,
 
 
 def indented(source: str, name: str) -> str:
-    """CTEs ``name(id, text)`` from ``source(id, lines)`` where the depth never falls below zero."""
+    """CTEs ``name(id, text)`` from ``source(id, lines)``; the depth is a sum that is lifted wherever it would fall below zero."""
     return f"""{name}_l as (select id, {strip("line")} as line, no from (select id, unnest(lines) as line, generate_subscripts(lines, 1) as no from {source})),
 {name}_d as (select *, case when starts_with(line, 'CB_') then -1 when ends_with(line, 'OB_') then 1 else 0 end as d from {name}_l),
-{name}_s as (select *, sum(d) over (partition by id order by no) as after from {name}_d),
+{name}_w as (select *, sum(d) over (partition by id order by no) as total from {name}_d),
+{name}_s as (select *, total - least(0, min(total) over (partition by id order by no)) as after from {name}_w),
 {name} as (select id, string_agg(repeat('  ', cast(after - case when d > 0 then 1 else 0 end as int)) || line, {NL} order by no) as text from {name}_s group by id)"""
 
 
