@@ -10,7 +10,9 @@ until no piece has a pair left; pieces are then read in order of position.
 In a piece of over ``LONG`` bytes several contractions are made in one step: a pair that is the
 leftmost minimum within ``reach`` positions on both sides, twice the longest token that the piece's
 bytes can form, is contracted before anything outside that window can touch it, because what grows
-elsewhere stays one token.  So the steps follow the longest token and not the longest piece.
+elsewhere stays one token.  Of equal minima the later ones are contracted with the first where no token that
+holds their bytes and that the piece can form has a lower rank, so that nothing new can come between them; where such pairs overlap ("aaaa"),
+every second one from the first is taken.  So runs of one sign or of a short unit halve at each step.
 
 Decoding: (row, position, id) rows join the vocabulary, and an ordered aggregate puts the bytes of
 each row together.
@@ -29,7 +31,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterable, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,16 +81,22 @@ with recursive step(n, piece, pos, id) as (
     union all
     (
         with pairs as (
-            select *, lead(id) over (order by pos) as right_id from step
+            select *, lead(id) over (order by pos) as right_id, row_number() over (order by pos) as k from step
         ), ranked as (
-            select p.*, m.merged, (m.merged::bigint << 32) + p.pos as rank
-            from pairs p left join merges m on m.pair = (p.id::bigint << 20) + p.right_id
+            select p.*, m.merged, o.merged is null as plain, (m.merged::bigint << 32) + p.pos as rank
+            from pairs p left join merges m on m.pair = (p.id::bigint << 20) + p.right_id left join overruled o on o.merged = m.merged
         ), least as (
-            select *, coalesce(min(rank) over (order by pos rows between {reach} preceding and {reach} following) = rank, false) as best,
-                bool_or(rank is not null) over () as open
-            from ranked
+            select *, min(rank) over near as low, lag(merged) over (order by k) as before, bool_or(rank is not null) over () as open
+            from ranked window near as (order by k rows between {reach} preceding and {reach} following)
+        ), chained as (
+            select *, max(case when merged is distinct from before then k end) over (order by k) as first, merged = low >> 32 as equal
+            from least where open
+        ), marked as (
+            select *, coalesce(rank = low or (plain and equal and (k - first) % 2 = 0
+                and max(case when k = first then equal end) over (partition by first)), false) as best
+            from chained
         ), taken as (
-            select *, lag(best, 1, false) over (order by pos) as gone from least where open
+            select *, lag(best, 1, false) over (order by k) as gone from marked
         )
         select n + 1, piece, pos, case when best then merged else id end from taken where not gone
     )
@@ -154,10 +162,24 @@ class Codec:
         ids = found.column("id").to_numpy().astype("<u4")
         return np.split(ids, np.searchsorted(found.column("piece").to_numpy(), np.arange(1, len(pieces))))
 
-    def _reach(self, piece: bytes) -> int:
-        """Twice the length of the longest token that the bytes of the piece can form."""
-        own = bytes(set(piece))
-        return 2 * max(len(token) for token in self.ranks if not token.strip(own))
+    @cached_property
+    def holders(self) -> list[tuple[int, bytes]]:
+        """(rank, token of a lower rank that holds the bytes of the one with this rank)."""
+        found = set()
+        for token, rank in self.ranks.items():
+            for start in range(len(token)):
+                for end in range(start + 2, len(token) + 1):
+                    held = self.ranks.get(token[start:end])
+                    if held is not None and held > rank:
+                        found.add((held, token))
+        return sorted(found)
+
+    def _contract_long(self, piece: bytes) -> bytes:
+        own = bytes(set(piece))  # tokens of other bytes cannot come up in this piece
+        reach = 2 * max(len(token) for token in self.ranks if not token.strip(own))
+        overruled = sorted({held for held, token in self.holders if not token.strip(own)})
+        self._load("overruled", {"merged": pa.array(overruled, pa.int32())})
+        return self._contract([piece], LONG_STEPS.format(reach=reach))[0].tobytes()
 
     def _learn(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Little-endian ids of pieces that are not remembered yet."""
@@ -176,7 +198,7 @@ class Codec:
             if rank is not None:
                 new[piece] = rank.to_bytes(4, "little")
             elif len(raw) > LONG:
-                new[piece] = self._contract([raw], LONG_STEPS.format(reach=self._reach(raw)))[0].tobytes()
+                new[piece] = self._contract_long(raw)
             else:
                 if waiting and len(raw) > room:
                     contract()

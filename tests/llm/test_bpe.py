@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -52,3 +53,27 @@ def test_tables(spark, docs, empty, reference):
     digests = bpe.round_trip(table, PATH, public_tokenizers.PATTERN)
     assert (1, 3, hashlib.sha256(b"hello  world").hexdigest()) in rows(digests, "doc_id", "n_tokens", "decoded_sha256")
     assert rows(bpe.round_trip(empty, PATH, public_tokenizers.PATTERN)) == []
+
+
+@pytest.mark.parametrize("unit", ["=", "a", "-", "ab", "==-", "the", "é"])
+def test_long_runs(reference, unit):
+    with open(PATH, "rb") as file:
+        codec = bpe.codec(file.read(), public_tokenizers.PATTERN)
+    (short,) = codec.encode([unit * 3000])
+    assert list(memoryview(short).cast("I")) == reference.encode_ordinary(unit * 3000)
+    text = unit * (400_000 // len(unit))
+    began = time.perf_counter()
+    ids = codec.encode([text])
+    assert time.perf_counter() - began < 30
+    assert codec.decode(ids) == [text.encode()]
+
+
+def test_long_pieces_equal_the_library(reference):
+    with open(PATH, "rb") as file:
+        codec = bpe.codec(file.read(), public_tokenizers.PATTERN)
+    rng = random.Random(6)
+    for letters in ("ab", "aab", "etaoinshrdlu", "=-", "abcab", "xyzé", "andthe"):
+        for _ in range(6):
+            text = "".join(rng.choices(letters, k=rng.randint(129, 500)))
+            text = text[:70] + rng.choice(letters) * rng.randint(1, 300) + text[70:]
+            assert list(memoryview(codec.encode([text])[0]).cast("I")) == reference.encode_ordinary(text)
