@@ -131,23 +131,27 @@ _NUMBER = rf"(?<!\w)(?:{_WORD}|[0-9]{{1,4}})(?!\w)"
 _DOT_WORDS = ("dot", "punkt", "punto")
 _AT_WORDS = ("at", "arroba", "ät")
 _DOT_WORD, _AT_WORD = "(?:" + "|".join(_DOT_WORDS) + ")", "(?:" + "|".join(_AT_WORDS) + ")"
-_DOT = rf"(?:\s{{0,3}}[\[({{<]\s?(?:{_DOT_WORD}|point|\.)\s?[\])}}>]\s{{0,3}}|\s{_DOT_WORD}\s|\s\.\s)"
-_AT = rf"(?:\s{{0,3}}[\[({{<]\s?(?:{_AT_WORD}|@)\s?[\])}}>]\s{{0,3}}|\s{_AT_WORD}\s|\s?@\s?)"
+_TOLD_DOT = rf"\s{{0,3}}[\[({{<]\s?(?:{_DOT_WORD}|point|\.)\s?[\])}}>]\s{{0,3}}|\s{_DOT_WORD}\s"
+#: Between blanks a plain dot ends a sentence, unless single letters or digits stand on both sides; between numbers it is a dot as well.
+_DOT = rf"(?:{_TOLD_DOT}|(?<=(?<![A-Za-z0-9])[A-Za-z0-9])\s\.\s(?=[A-Za-z0-9](?![A-Za-z0-9])))"
+_NUMBER_DOT = rf"(?:{_TOLD_DOT}|\s\.\s)"
+_AT = rf"(?:\s{{0,3}}[\[({{<]\s?(?:{_AT_WORD}|@)\s?[\])}}>]\s{{0,3}}|(?<=\w)\(a\)(?=\w)|\s{_AT_WORD}\s|\s?@\s?)"
 _LABEL = r"[A-Za-z0-9-]+"
 #: A row of at least four numbers; dots may stand between.
 _SPELLED = re.compile(
-    rf"(?:(?<!\w)plus[\s-]{{1,3}})?{_NUMBER}(?:(?:[\s,-]{{1,3}}|\s?{_DOT}\s?|\s?\.\s?){_NUMBER}){{3,}}", re.I
+    rf"(?:(?<!\w)plus[\s-]{{1,3}})?{_NUMBER}(?:(?:[\s,-]{{1,3}}|\s?{_NUMBER_DOT}\s?|\s?\.\s?){_NUMBER}){{3,}}", re.I
 )
 _PART = re.compile(
     rf"(?P<plus>(?<!\w)plus(?!\w))|(?P<word>(?<!\w){_WORD}(?!\w))|(?P<digit>[0-9])|(?P<dot>{_DOT_WORD}|point|\.)", re.I
 )
 _ANY_AT = re.compile(_AT, re.I)
 _ANY_DOT = re.compile(_DOT, re.I)
+_ANY_TOLD_DOT = re.compile(_TOLD_DOT, re.I)
 _BARE_AT = re.compile(rf"\s{_AT_WORD}\s", re.I)
 _DOT_BEFORE = re.compile(rf"{_DOT}\Z", re.I)
 _SIGNED_DOMAIN = re.compile(rf"{_LABEL}(?:(?:{_DOT}|\.){_LABEL})+", re.I)
-_DOTTED = re.compile(rf"(?<=[0-9]){_DOT}(?=[0-9])", re.I)
-_BRACKETED = re.compile(rf"[\[({{<]\s?(?:{_AT_WORD}|@|{_DOT_WORD}|point|\.)\s?[\])}}>]", re.I)
+_DOTTED = re.compile(rf"(?<=[0-9]){_NUMBER_DOT}(?=[0-9])", re.I)
+_BRACKETED = re.compile(rf"[\[({{<]\s?(?:{_AT_WORD}|@|a|{_DOT_WORD}|point|\.)\s?[\])}}>]", re.I)
 _GLYPH = re.compile("[" + re.escape("".join(GLYPHS)) + "]")
 _TOKEN = re.compile(r"\w+")
 _BARE_DOTS = frozenset((*_DOT_WORDS, "."))
@@ -229,8 +233,8 @@ class Transducer:
             if not domain:
                 continue
             dots = list(_ANY_DOT.finditer(self.text, *domain.span()))
-            # "see us at example.com" is no address; a bare word needs a disguised dot as well.
-            if not dots and _BARE_AT.fullmatch(sign[0]):
+            # "see us at example.com" is no address; a bare word needs a disguised dot as well, and one that is told.
+            if _BARE_AT.fullmatch(sign[0]) and not any(_ANY_TOLD_DOT.fullmatch(dot[0]) for dot in dots):
                 continue
             start = end = sign.start()
             before: list[tuple[int, int, str]] = []

@@ -117,3 +117,26 @@ def test_disguise_in_one_half(text, kind, plain):
     start = 3 + text.index(plain)
     assert (start, start + len(plain)) in base[kind] and set(base[kind]) <= set(full[kind])
     assert full[kind] == sorted({*base[kind], (3, 3 + len(text))})
+
+
+PLACES = ("home", "noon", "the office", "school", "lunch", "support", "ten", "this", "work", "night")
+SENTENCES = [f"{who} at {place} . {then}" for place in PLACES for who, then in (
+    ("Meet me", "Then we go ."), ("He sat", "She left ."), ("You can reach us", "Please call ."), ("Look", "It works ."), ("I am", "a dot . and so on"),
+    ("We ate", "I . e . nothing"),
+)] + [
+    "Il est arrivé at Paris . Il est parti .", "at . at . at", "a . b at c . d", "The price @ noon . Then it fell .", "me @ home . You ?", "dot at dot . at",
+    "f(a) b.c", "see (a) and (b) . c", "item (a)", "point . dot . at five", "two at three . four at five", "arroba . punto",
+]
+
+
+def test_ordinary_sentences_hold_nothing():
+    assert len(SENTENCES) >= 50
+    for text in SENTENCES:
+        base, full = pii.all_spans(text)
+        assert not any(full.values()), (text, full)
+
+
+def test_at_sign_as_letter_and_spaced_letters():
+    for text, found in (("write alice(a)example.com now", "alice(a)example.com"), ("bob (at) a . b (dot) com", "bob (at) a . b (dot) com")):
+        _, full = pii.all_spans(text)
+        assert [text[a:b] for a, b in full["email"]] == [found]
