@@ -64,13 +64,14 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for start, end in slices(texts):
-                rows = list(step(ids[start:end], texts[start:end]))
-                if rows:
-                    columns = zip(*rows)
-                    arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+            for part in byte_slices(batch, 1):  # only a slice of the batch is held as Python texts
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for start, end in slices(texts):
+                    rows = list(step(ids[start:end], texts[start:end]))
+                    if rows:
+                        columns = zip(*rows)
+                        arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+                        yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType

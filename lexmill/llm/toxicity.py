@@ -34,7 +34,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import as_text, pin, read, slices
+from lexmill.llm.common import byte_slices, as_text, pin, read, slices
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE_ROWS = 24_000
@@ -193,12 +193,14 @@ def with_features(docs: DataFrame, text_col: str, lexicon: Lexicon) -> DataFrame
     names = [field.name for field in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(text_col)
         for batch in batches:
-            texts = [text or "" for text in batch.column(names.index(text_col)).to_pylist()]
-            for start, end in slices(texts):
-                rows = [features(text, shared.value) for text in texts[start:end]]
-                part = batch.slice(start, end - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(pa.float64()))], names=names)
+            for own in byte_slices(batch, at):
+                texts = [text or "" for text in own.column(at).to_pylist()]
+                for start, end in slices(texts):
+                    rows = [features(text, shared.value) for text in texts[start:end]]
+                    part = own.slice(start, end - start)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.list_(pa.float64()))], names=names)
 
     return docs.mapInArrow(run, schema)
 
