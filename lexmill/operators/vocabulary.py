@@ -151,7 +151,7 @@ def _head_lookup(df: DataFrame, keys: pa.ChunkedArray, ids: pa.ChunkedArray, ope
 def _encode_tails(looked: DataFrame, tails: dict[str, tuple[str, DataFrame]]) -> DataFrame:
     """Fill the ids that the heads left open, for all namespaces by one join.
 
-    Only open (row, key) pairs are shuffled, each key once per row, and the ids come back as one map per
+    Only open (row, key) pairs are shuffled, each key once per row, and the ids come back as one list per
     row that fills the gaps in place.  Terms that no tail holds never meet the rows: the distinct open
     keys are matched with the tails first, counted per task before the shuffle, so an unknown
     term that makes up a third of the corpus is one key.
@@ -172,16 +172,38 @@ def _encode_tails(looked: DataFrame, tails: dict[str, tuple[str, DataFrame]]) ->
     terms = reduce(DataFrame.unionByName, terms)
     answered = pin(terms.join(asked.select("key").distinct(), "key", "left_semi"))
     ids = asked.join(answered, "key").groupBy("_row").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "term_id"))).alias("_ids")
+        F.collect_list(F.struct("key", "term_id")).alias("_ids")
     )
 
     def filled(target: str) -> Column:
-        pairs = F.arrays_zip(F.transform(tails[target][0], _term_key).alias("key"), F.col(target).alias("id"))
-        name = F.lit(f"{target}\x01")
-        return F.transform(
-            pairs,
-            lambda c: F.coalesce(c["id"], F.element_at("_ids", F.concat(name, c["key"])), F.lit(UNKNOWN)),
-        )
+        return _filler(f"{target}\x01")(F.transform(tails[target][0], _term_key), F.col(target), F.col("_ids"))
 
     joined = rows.join(ids, "_row", "left")
     return joined.withColumns({target: filled(target) for target in tails}).drop("_row", "_ids")
+
+
+def _filler(name: str):
+    """Open ids from the answers of their rows.
+
+    An answer is the same for all rows, so those of a batch make one table, built once per batch: a look-up in the answers of each row
+    would go through all of them for each token.
+    """
+
+    @F.arrow_udf("array<int>")
+    def fill(keys: pa.Array, ids: pa.Array, answers: pa.Array) -> pa.Array:
+        given = answers.flatten()
+        answered = given.field("key").cast(pa.string()).dictionary_encode()
+        own = pc.starts_with(answered.dictionary, name).to_numpy(zero_copy_only=False)
+        # Of each distinct answer one place is enough.
+        place = np.zeros(len(answered.dictionary), dtype=np.int64)
+        place[answered.indices.to_numpy(zero_copy_only=False)] = np.arange(len(answered))
+        known = pc.utf8_slice_codeunits(answered.dictionary.filter(pa.array(own)), len(name))
+        numbers = given.field("term_id").cast(pa.int32()).take(pa.array(place[own]))
+        asked = keys.flatten().cast(pa.string()).dictionary_encode()
+        found = pc.fill_null(numbers.take(pc.index_in(asked.dictionary, known)), UNKNOWN)
+        cells = pc.fill_null(pc.coalesce(ids.flatten(), found.take(asked.indices)), UNKNOWN)
+        lengths = pc.fill_null(pc.list_value_length(keys), 0).to_numpy(zero_copy_only=False)
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), cells, mask=pc.is_null(keys))
+
+    return fill
