@@ -38,8 +38,10 @@ SIMILARITY = 0.8
 #: Bits of a packed counter, and the words of a line that it can count.
 FIELD = 16
 MANY_WORDS = 32767
-#: Edit distances are looked for in bands of these widths before the whole table is filled.
-BANDS = (16, 64, 256, 1024, 4096)
+#: Edit distances are looked for in a band of one of these widths, or in the whole table where more edits are allowed.
+BANDS = (16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 2048, 4096)
+#: Words that are looked ahead for the next common word of two lines.
+AHEAD = 3
 
 
 def normalised(line: Column) -> Column:
@@ -89,16 +91,17 @@ def with_simhash(marked: DataFrame) -> DataFrame:
     """(doc_id, line_no, k1, k2, fp) of rows (row, doc_id, line_no, norm, k1, k2).
 
     Words are opened and their hashes' bits are counted per line, four counters of ``FIELD`` bits packed in a long; a task
-    counts whole lines, so one small row per line is shuffled.
+    counts whole lines, so one small row per line is shuffled.  An empty line has no words and no row.
     """
     words = marked.select("row", "doc_id", "line_no", "k1", "k2", F.split("norm", " ").alias("words"))
     few = F.size("words") <= MANY_WORDS
     words = words.select(
-        "row", "doc_id", "line_no", "k1", "k2", F.size("words").alias("n"),
+        "row", "doc_id", "line_no", "k1", "k2", "words", F.size("words").alias("n"),
         F.when(~few, _long_line(F.col("words"))).alias("long_fp"),
-        F.when(few, F.col("words")).otherwise(F.array(F.lit(""))).alias("words"),
     )
-    opened = words.withColumn("word", F.explode("words")).withColumn("h", F.xxhash64("word"))
+    # For a bare column the optimizer adds a filter on its size, which would cut every line into words once more.
+    few_words = F.when(few, F.col("words")).otherwise(F.array(F.lit(" ")))
+    opened = words.withColumn("word", F.explode(few_words)).where("word <> ''").withColumn("h", F.xxhash64("word"))
     counts = [F.sum(_place(F.col("h"), at, FIELD)).alias(f"count{at}") for at in range(FIELD)]
     # All that a line has is part of its key: further aggregates would make the loop too large to be compiled.
     counted = opened.groupBy("row", "line_no", "doc_id", "k1", "k2", "n", "long_fp").agg(*counts)
@@ -107,12 +110,11 @@ def with_simhash(marked: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, line_no, norm) of every line with letters or digits."""
+    """(row, doc_id, line_no, norm) of every line; ``norm`` is empty where it has neither letters nor digits."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).where("doc_id is not null")
-    # Normalised before they are opened: the filter would otherwise normalise every line once more.
-    lines = F.transform(F.split("text", "\n"), normalised)
-    return rows.select("row", "doc_id", F.posexplode(lines).alias("line_no", "norm")).where("norm <> ''")
+    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("row", "doc_id", "line_no", normalised(F.col("line")).alias("norm"))
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,11 +139,11 @@ def _alike(left: Column, right: Column, similarity: float) -> Column:
 
     def within(middles: Column) -> Column:
         a, b = middles["a"], middles["b"]
-        # The function's limit is a constant: few edits, the usual case, are told by a narrow band.
-        alike = F.levenshtein(a, b) <= allowed
-        for limit in reversed(BANDS):
-            wider = F.when(allowed > limit, alike).otherwise(F.lit(False))
-            alike = let(F.levenshtein(a, b, limit), _told(allowed, wider))
+        # The function's limit is a constant: the distance is looked for in the narrowest band that holds what is allowed.
+        alike = F
+        for limit in BANDS:
+            alike = alike.when(allowed <= limit, let(F.levenshtein(a, b, limit), lambda n: (n >= 0) & (n <= allowed)))
+        alike = alike.otherwise(F.levenshtein(a, b) <= allowed)
         # No more edits than characters, nor than word by word: where these suffice, no table is filled.
         few = F.greatest(F.length(a), F.length(b)) <= allowed
         return F.when(few | (_word_edits(F.split(a, " "), F.split(b, " ")) <= allowed), True).otherwise(alike)
@@ -150,9 +152,43 @@ def _alike(left: Column, right: Column, similarity: float) -> Column:
 
 
 def _word_edits(left: Column, right: Column) -> Column:
-    """Edits that turn each word into the one at its place; NULL unless the numbers of words are equal."""
-    edits = F.zip_with(left, right, lambda x, y: F.when(x == y, F.lit(0)).otherwise(F.levenshtein(x, y)))
-    return F.when(F.size(left) == F.size(right), F.aggregate(edits, F.lit(0), lambda total, n: total + n))
+    """Edits of one way to turn a line's words into another's, found in one pass over them: never fewer than the edit distance.
+
+    Each word with the blank behind it is kept, goes, comes or turns into the other line's word.  Where two words differ, the next
+    ``AHEAD`` words of either line tell whether some of them were put in.
+    """
+
+    def walk(words: Column) -> Column:
+        a, b = words["a"], words["b"]
+
+        def step(state: Column, at: Column) -> Column:
+            return let(
+                F.struct(F.get(a, at).alias("x"), F.get(b, state["to"]).alias("y"), state["to"].alias("to"), state["edits"].alias("edits")),
+                lambda s: _step(a, b, at, s),
+            )
+
+        start = F.struct(F.lit(0).alias("to"), F.lit(0).alias("edits"))
+        rest = lambda s: s["edits"] + _size_of(_from(b, s["to"]))
+        return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), start, step, rest)
+
+    return let(F.struct(left.alias("a"), right.alias("b")), walk)
+
+
+def _step(a: Column, b: Column, at: Column, s: Column) -> Column:
+    def then(to: Column, edits: Column) -> Column:
+        return F.struct(to.alias("to"), (s["edits"] + edits).alias("edits"))
+
+    gone = then(s["to"], F.length(s["x"]) + 1)
+    steps = F.when(s["x"] == s["y"], then(s["to"] + 1, F.lit(0))).when(s["y"].isNull(), gone)
+    for n in range(1, AHEAD + 1):
+        come = _size_of(F.slice(b, s["to"] + 1, F.lit(n)))
+        steps = steps.when(s["x"] == F.get(b, s["to"] + n), then(s["to"] + n + 1, come)).when(s["y"] == F.get(a, at + n), gone)
+    return steps.otherwise(then(s["to"] + 1, F.levenshtein(s["x"], s["y"])))
+
+
+def _size_of(words: Column) -> Column:
+    """Characters of the words, each with a blank."""
+    return F.aggregate(words, F.lit(0), lambda total, word: total + F.length(word) + 1)
 
 
 def _middles(left: Column, right: Column) -> Column:
@@ -182,11 +218,6 @@ def _from(items: Column, n: Column) -> Column:
     return F.slice(items, n + 1, F.size(items))
 
 
-def _told(allowed: Column, wider: Column):
-    """What a distance says that is -1 beyond its band."""
-    return lambda distance: F.when(distance >= 0, distance <= allowed).otherwise(wider)
-
-
 def duplicate_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -196,7 +227,9 @@ def duplicate_lines(
     places = pin(with_simhash(marked))
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     distinct = pin(
-        places.groupBy("k1", "k2").agg(first, F.min("fp").alias("fp")).withColumn("line", F.monotonically_increasing_id())
+        places.groupBy("k1", "k2")
+        .agg(first, F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
+        .withColumn("line", F.monotonically_increasing_id())
     )
     keys, masks = _buckets(F.col("fp"), radius, blocks)
     dealt = distinct.select("line", "fp", F.explode(keys).alias("key"))
@@ -208,9 +241,9 @@ def duplicate_lines(
     drop_scratch(spark, leaders)
     within = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
-    def across(links: DataFrame) -> DataFrame:
+    def across(rooted: DataFrame) -> DataFrame:
         """Pairs within the radius, in buckets that still hold several groups, whose groups differ."""
-        rooted = components(links).withColumnRenamed("node", "line")
+        rooted = rooted.withColumnRenamed("node", "line")
         known = members.select("key", "line", "fp").join(rooted, "line", "left").withColumn("root", F.coalesce("root", "line"))
         known = pin(known)
         several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
@@ -231,23 +264,29 @@ def duplicate_lines(
     to_leader = to_leader.select(F.col("line").alias("a"), F.col("leader").alias("b")).distinct()
     # Candidates: every line with its leaders, and pairs that these do not connect.
     starts = pin(to_leader)
-    candidates = pin(starts.unionByName(across(starts)))
+    candidates = pin(starts.unionByName(across(components(starts))))
     ends = candidates.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     texts = _texts(docs, id_col, text_col, distinct, ends)
     links = pin(_verified(candidates, texts, similarity))
     # Where a candidate failed, lines that it held together are compared with each other as well; all
     # of them have their text here already.
-    further = across(links)
+    rooted = components(links)
+    further = across(rooted)
     drop_scratch(spark, members)
-    links = links.unionByName(_verified(further.join(candidates, ["a", "b"], "left_anti"), texts, similarity))
-    groups = pin(components(links).withColumnRenamed("node", "line"))
+    # The groups that the links make stand for them.
+    held = rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    more = _verified(further.join(candidates, ["a", "b"], "left_anti"), texts, similarity)
+    groups = pin(components(held.unionByName(more)).withColumnRenamed("node", "line"))
     drop_scratch(spark, starts, candidates, further, texts, links)
 
-    grouped = pin(distinct.join(groups.hint("merge"), "line", "left").withColumn("root", F.coalesce("root", "line")))
-    drop_scratch(spark, distinct, groups)
+    # Only lines that are linked, or stand at several places, can repeat an earlier one.
+    grouped = pin(distinct.join(groups.hint("merge"), "line").select("line", "root", "first"))
     kept = pin(grouped.groupBy("root").agg(F.min("first").alias("kept")))
-    of_line = pin(grouped.join(kept, "root").select("k1", "k2", "kept"))
-    drop_scratch(spark, grouped, kept)
+    of_group = pin(grouped.join(kept, "root").select("line", "kept"))
+    drop_scratch(spark, groups, grouped, kept)
+    several = distinct.join(of_group.hint("merge"), "line", "left").where((F.col("n") > 1) | F.col("kept").isNotNull())
+    of_line = pin(several.select("k1", "k2", F.coalesce("kept", "first").alias("kept")))
+    drop_scratch(spark, distinct, of_group)
     told = places.select("k1", "k2", "doc_id", "line_no").join(of_line.hint("merge"), ["k1", "k2"])
     repeats = told.where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line_no") != F.col("kept.line_no")))
     return repeats.select(
@@ -264,7 +303,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, distinct: DataFrame, wan
         F.split("text", "\n"),
         lambda lines: F.transform("places", lambda at: F.struct(at["line"].alias("line"), normalised(F.get(lines, at["line_no"])).alias("norm"))),
     )
-    found = rows.join(per_doc.hint("merge"), "doc_id").select(F.explode(picked).alias("place"))
+    # Places of a part of the documents are held, so that their texts need no sort.
+    found = rows.join(per_doc.hint("shuffle_hash"), "doc_id").select(F.explode(picked).alias("place"))
     # Rows that share an id may hold other lines at this place; the digest names the right one.
     checked = found.select("place.line", "place.norm").where("norm <> ''")
     own = distinct.select("line", "k1", "k2")

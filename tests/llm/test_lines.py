@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from lexmill.llm import lines
 from tests.llm.conftest import rows
@@ -94,6 +95,33 @@ def test_packed_counts(spark):
     assert found == {i: fingerprint(t.split(" ")) for i, t in enumerate(texts)}
 
 
+def test_lines_are_cut_once(spark, docs):
+    counted = lines.with_simhash(lines._marked(docs((1, "a b\n--\nc")), "doc_id", "text"))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("split(norm") == 1
+    assert [(r["line_no"], r["fp"] % 2**64) for r in counted.orderBy("line_no").collect()] == [
+        (0, fingerprint(["a", "b"])), (2, fingerprint(["c"]))
+    ]
+
+
+def test_word_edits_are_a_bound(spark):
+    rng = random.Random(5)
+    words = ["a", "be", "sea", "deer", "eagle", "falcon"]
+    pairs = [("a", "be"), ("a be", "be"), ("a", "a"), ("a b c d", "a x y z b c d"), ("a x y z b c d", "a b c d")]
+    for _ in range(200):
+        line = rng.choices(words, k=rng.randint(1, 12))
+        other = [w for w in line if rng.random() < 0.8] or ["a"]
+        other.insert(rng.randrange(len(other) + 1), rng.choice(words))
+        pairs.append((" ".join(line), " ".join(other)))
+    table = spark.createDataFrame(pairs, "a string, b string")
+    told = lines._word_edits(F.split("a", " "), F.split("b", " "))
+    found = [(r["a"], r["b"], r["told"]) for r in table.withColumn("told", told).collect()]
+    assert all(n >= edits(a, b) for a, b, n in found)
+    # Words that come or go in several places fill no table.
+    assert sum(n == edits(a, b) for a, b, n in found) > 100
+    assert [n for a, b, n in found[:5]] == [edits(a, b) for a, b, n in found[:5]]
+
+
 def test_no_python_in_the_plan(spark, docs):
     plan = lines.duplicate_lines(docs((1, "a\nb"), (2, "a")))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
