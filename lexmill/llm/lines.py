@@ -31,6 +31,8 @@ from lexmill.functions.exprs import let
 from lexmill.llm.common import drop_scratch, pin, read, signed
 from lexmill.llm.components import components
 
+#: What is not one blank between words: most words are one blank apart already, so that hardly anything is replaced.
+SEPARATOR = r"[^\p{L}\p{N}](?:[^\p{L}\p{N}]+|(?<! ))"
 SEED = 42
 BITS = 64
 RADIUS, BLOCKS = 2, 4
@@ -38,14 +40,15 @@ SIMILARITY = 0.8
 #: Bits of a packed counter, and the words of a line that it can count.
 FIELD = 16
 MANY_WORDS = 32767
-#: Edit distances are looked for in a band of one of these widths, or in the whole table where more edits are allowed.
-BANDS = (16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024, 2048, 4096)
+#: Words whose hashes are added up before they are counted, and the planes of such a sum with the power of two that a bit of each stands for.
+RUN = 7
+PLANES = (("c0", 0), ("d0", 1), ("d1", 2))
 #: Words that are looked ahead for the next common word of two lines.
 AHEAD = 3
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(line), SEPARATOR, " "))
 
 
 def _ones(field: int) -> int:
@@ -69,6 +72,13 @@ def _place(h: Column, at: int, field: int) -> Column:
     return F.shiftright(h, at).bitwiseAND(F.lit(_ones(field) | 1 << (BITS - field)))
 
 
+def _added(a: str, b: str, c: str, name: str) -> list[Column]:
+    """The sum of three planes, bit by bit: what stays in the place, and what is carried to the next one."""
+    x, y, z = F.col(a), F.col(b), F.col(c)
+    differ = x.bitwiseXOR(y)
+    return [differ.bitwiseXOR(z).alias(f"{name}0"), x.bitwiseAND(y).bitwiseOR(differ.bitwiseAND(z)).alias(f"{name}1")]
+
+
 def majority(counts: list[Column], n: Column, field: int) -> Column:
     """The fingerprint from packed counts of ``n`` hashes."""
     bits = (F.shiftleft(_lifted(count, n, field), at) for at, count in enumerate(counts))
@@ -90,8 +100,9 @@ def _long_line(words: Column) -> Column:
 def with_simhash(marked: DataFrame) -> DataFrame:
     """(doc_id, line_no, k1, k2, fp) of rows (row, doc_id, line_no, norm, k1, k2).
 
-    Words are opened and their hashes' bits are counted per line, four counters of ``FIELD`` bits packed in a long; a task
-    counts whole lines, so one small row per line is shuffled.  An empty line has no words and no row.
+    Words are opened in runs of seven, whose hashes are added up bit by bit into three planes; the planes' bits are counted per
+    line, four counters of ``FIELD`` bits packed in a long.  A task counts whole lines, so one small row per line is shuffled.
+    An empty line has no words and no row.
     """
     words = marked.select("row", "doc_id", "line_no", "k1", "k2", F.split("norm", " ").alias("words"))
     few = F.size("words") <= MANY_WORDS
@@ -100,11 +111,17 @@ def with_simhash(marked: DataFrame) -> DataFrame:
         F.when(~few, _long_line(F.col("words"))).alias("long_fp"),
     )
     # For a bare column the optimizer adds a filter on its size, which would cut every line into words once more.
-    few_words = F.when(few, F.col("words")).otherwise(F.array(F.lit(" ")))
-    opened = words.withColumn("word", F.explode(few_words)).where("word <> ''").withColumn("h", F.xxhash64("word"))
-    counts = [F.sum(_place(F.col("h"), at, FIELD)).alias(f"count{at}") for at in range(FIELD)]
+    runs = F.sequence(F.lit(0), F.when(few, F.col("n") - 1).otherwise(0), F.lit(RUN))
+    opened = words.withColumn("at", F.explode(runs)).where(F.get("words", "at") != "")
+    line = ["row", "line_no", "doc_id", "k1", "k2", "n", "long_fp"]
+    hashes = [F.when(F.col("at") + to < F.col("n"), F.xxhash64(F.get("words", F.col("at") + to))).otherwise(0).alias(f"h{to}") for to in range(RUN)]
+    opened = opened.select(*line, *hashes)
+    opened = opened.select(*line, "h6", *_added("h0", "h1", "h2", "a"), *_added("h3", "h4", "h5", "b"))
+    opened = opened.select(*line, "a1", "b1", *_added("a0", "b0", "h6", "c"))
+    opened = opened.select(*line, "c0", *_added("a1", "b1", "c1", "d"))
+    counts = [F.sum(reduce(Column.bitwiseOR, (F.shiftleft(_place(F.col(plane), at, FIELD), to) for plane, to in PLANES))).alias(f"count{at}") for at in range(FIELD)]
     # All that a line has is part of its key: further aggregates would make the loop too large to be compiled.
-    counted = opened.groupBy("row", "line_no", "doc_id", "k1", "k2", "n", "long_fp").agg(*counts)
+    counted = opened.groupBy(*line).agg(*counts)
     fp = F.coalesce("long_fp", majority([F.col(f"count{at}") for at in range(FIELD)], F.col("n"), FIELD))
     return counted.select("doc_id", "line_no", "k1", "k2", fp.alias("fp"))
 
@@ -139,11 +156,8 @@ def _alike(left: Column, right: Column, similarity: float) -> Column:
 
     def within(middles: Column) -> Column:
         a, b = middles["a"], middles["b"]
-        # The function's limit is a constant: the distance is looked for in the narrowest band that holds what is allowed.
-        alike = F
-        for limit in BANDS:
-            alike = alike.when(allowed <= limit, let(F.levenshtein(a, b, limit), lambda n: (n >= 0) & (n <= allowed)))
-        alike = alike.otherwise(F.levenshtein(a, b) <= allowed)
+        # The distance is looked for in a band no wider than what is allowed; -1 stands for more.
+        alike = F.call_function("levenshtein", a, b, allowed) >= 0
         # No more edits than characters, nor than word by word: where these suffice, no table is filled.
         few = F.greatest(F.length(a), F.length(b)) <= allowed
         return F.when(few | (_word_edits(F.split(a, " "), F.split(b, " ")) <= allowed), True).otherwise(alike)
@@ -224,20 +238,21 @@ def duplicate_lines(
     """(doc_id, line_no, kept_doc_id, kept_line_no) of every line that repeats an earlier one, exactly or nearly."""
     spark = docs.sparkSession
     marked = _marked(docs, id_col, text_col)
-    places = pin(with_simhash(marked))
+    places = pin(with_simhash(marked), dictionary=False)
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     distinct = pin(
         places.groupBy("k1", "k2")
         .agg(first, F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n"))
-        .withColumn("line", F.monotonically_increasing_id())
+        .withColumn("line", F.monotonically_increasing_id()),
+        dictionary=False,
     )
     keys, masks = _buckets(F.col("fp"), radius, blocks)
     dealt = distinct.select("line", "fp", F.explode(keys).alias("key"))
     leaders = dealt.groupBy("key").agg(
         F.min("line").alias("leader"), F.min_by("fp", "line").alias("leader_fp"), F.count(F.lit(1)).alias("n")
     )
-    leaders = pin(leaders.where("n > 1").drop("n"))
-    members = pin(dealt.join(leaders.hint("merge"), "key"))
+    leaders = pin(leaders.where("n > 1").drop("n"), dictionary=False)
+    members = pin(dealt.join(leaders.hint("merge"), "key"), dictionary=False)
     drop_scratch(spark, leaders)
     within = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
@@ -245,9 +260,9 @@ def duplicate_lines(
         """Pairs within the radius, in buckets that still hold several groups, whose groups differ."""
         rooted = rooted.withColumnRenamed("node", "line")
         known = members.select("key", "line", "fp").join(rooted, "line", "left").withColumn("root", F.coalesce("root", "line"))
-        known = pin(known)
+        known = pin(known, dictionary=False)
         several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        left = pin(known.join(pin(several.select("key")), "key"))
+        left = pin(known.join(pin(several.select("key"), dictionary=False), "key"), dictionary=False)
         right = left.select("key", F.col("line").alias("line2"), F.col("fp").alias("fp2"), F.col("root").alias("root2"))
         differ = F.col("fp").bitwiseXOR(F.col("fp2"))
         # A pair may meet in several buckets and counts in the first: no distinct is needed.

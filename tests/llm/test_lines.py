@@ -104,6 +104,43 @@ def test_lines_are_cut_once(spark, docs):
     ]
 
 
+def test_words_are_counted_in_runs(spark, docs):
+    texts = [" ".join(f"v{x}" for x in range(n)) for n in (1, 6, 7, 8, 14, 15)] + ["", "--"]
+    counted = lines.with_simhash(lines._marked(docs(*enumerate(texts)), "doc_id", "text"))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    # No row per word: a line is opened at every seventh word.
+    assert "explode(sequence(0" in plan and "explode(CASE" not in plan
+    found = {r["doc_id"]: r["fp"] % 2**64 for r in counted.collect()}
+    assert found == {i: fingerprint(t.split(" ")) for i, t in enumerate(texts[:6])}
+
+
+def test_normalised_leaves_single_blanks(apply):
+    marks = [" ", "  ", ", ", " -", "-", "\t", "\u00a0", " \U0001f600", "\U0001f600", "\U0001f600 ", "\u0307", " \t ", "_"]
+    rng = random.Random(2)
+    texts = ["", " ", "-", "A b", " \u0130x", "\U0001d400 \u00e4\u0662"] + ["".join(rng.choice(["Ab", "\u00e9", "7"]) + rng.choice(marks) for _ in range(8)) for _ in range(100)]
+    told = apply(lines.normalised, *texts)
+    assert told == apply(lambda line: F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")), *texts)
+    # Blanks that stand alone are no match.
+    assert apply(lambda c: F.regexp_count(c, F.lit(lines.SEPARATOR)), "a b c, d  e-f") == [3]
+
+
+def test_edits_in_the_narrowest_band(spark):
+    rng = random.Random(6)
+    pairs = []
+    for n in (9, 10, 60, 99, 100, 150):
+        a = "".join(rng.choices("abcde", k=n))
+        for many in range(n // 5 - 2, n // 5 + 3):
+            b = list(a)
+            for at in rng.sample(range(n), max(many, 0)):
+                b[at] = "z"
+            pairs.append((a, "".join(b)))
+    table = spark.createDataFrame(pairs, "a string, b string").withColumn("alike", lines._alike(F.col("a"), F.col("b"), 0.8))
+    found = table.collect()
+    assert all(r["alike"] == (edits(r["a"], r["b"]) <= int(len(r["a"]) * 0.2 + 1e-9)) for r in found)
+    assert {r["alike"] for r in found} == {True, False}
+    assert "levenshtein(" in (plan := table._jdf.queryExecution().optimizedPlan().toString()) and ", Some(16)" not in plan
+
+
 def test_word_edits_are_a_bound(spark):
     rng = random.Random(5)
     words = ["a", "be", "sea", "deer", "eagle", "falcon"]
