@@ -15,6 +15,8 @@ from lexmill.functions.signatures import (
     remove_annotation,
 )
 from lexmill.functions.spans import cpp_spans, java_spans, python_spans
+from lexmill.operators import functions_table, tokens
+from lexmill.plans import queries  # noqa: F401  registers the language of words
 
 
 def spans(rows):
@@ -127,6 +129,22 @@ def test_preprocessor_cleaning(apply):
     assert apply(clean_preprocessor, *cases) == list(cases.values())
 
 
+def test_bindings_pass_the_value_alone(apply):
+    def joined(items, sep="-"):
+        return F.array_join(items, sep)
+
+    assert apply(lambda c: let(words(c), joined), "a b  c", "", None) == ["a-b-c", "", None]
+
+
+def test_functions_of_a_plugged_language(spark):
+    rows = [(1, "A b. c d. open"), (1, "x."), (2, ""), (3, None), (4, "no end")]
+    read = tokens.text_tokens_table(spark.createDataFrame(rows, "id int, text string"), "text", "words")
+    found = functions_table.function_table(read, "id", lang="words").orderBy("id", "text").collect()
+    assert [(f.id, f.start_pos, f.end_pos, f.kind, f.text, f.name) for f in found] == [
+        (1, 0, 1, "standalone", "A b.", "A"), (1, 2, 3, "standalone", "c d.", "c"), (1, 0, 0, "standalone", "x.", "x."),
+    ]
+
+
 def test_heredoc_and_annotation(apply):
     assert apply(drop_heredoc_marks, "a < DOCUMENT_1> b") == ["a b"]
     assert apply(remove_annotation, "@ Override ( x ) int f", "int @ Override ( x ) f") == [
