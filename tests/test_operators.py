@@ -1,9 +1,13 @@
+from datetime import datetime
+from decimal import Decimal
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import columns, splitting, tokens, training, vocabulary
 from lexmill.operators.languages import Language, language, register
-from lexmill.operators.ranking import pin, with_rank
+from lexmill.operators.ranking import drop_pinned, pin, with_rank
 
 
 @pytest.fixture
@@ -96,6 +100,66 @@ def test_encode_with_shared_ids(spark):
         assert ids.first()["token_ids"] == [2, 3, 3, 3, 4, 4, 1]
 
 
+@pytest.mark.parametrize("cells", [1, 7, 1000])
+def test_encode_in_blocks(spark, monkeypatch, cells):
+    """Rows come back whole, whatever block they are in and wherever their terms are found."""
+    monkeypatch.setattr(vocabulary, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(vocabulary, "_BATCH_BYTES", 1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    long = ["comment " * 9 + c for c in "xy"]
+    terms = [("tokens", t, 1, 2 + i) for i, t in enumerate(["a", "b", *long, "c", "\xe9"])]
+    terms += [("tags", t, 1, 2 + i) for i, t in enumerate("pqr")] + [("tokens", None, 1, 40)]
+    vocab = spark.createDataFrame(terms, "namespace string, term string, n long, term_id int")
+    at = datetime(2020, 1, 2, 3, 4, 5)
+    rows = [
+        (1, ["a", long[1], "zz", None, "\xe9"], ["p", "q", "p", "r", None], at, Decimal("1.50"), {"k": [1]}),
+        (1, ["a", long[1], "zz", None, "\xe9"], ["p", "q", "p", "r", None], at, Decimal("1.50"), {"k": [1]}),
+        (2, [], ["r"], None, None, None),
+        (3, None, None, at, None, {}),
+        (None, ["zz", long[0], "c", "c"], [], None, Decimal("0.25"), {"k": None}),
+    ] * 3
+    df = spark.createDataFrame(
+        rows, "id int, tokens array<string>, tags array<string>, `at.time` timestamp, d decimal(5,2), m map<string, array<int>>"
+    )
+    ids = {(space, term): i for space, term, _, i in terms if term}
+
+    def numbers(space, sequence):
+        return None if sequence is None else [ids.get((space, t), 1) for t in sequence]
+
+    wanted = sorted(repr((*r, numbers("tokens", r[1]), numbers("tags", r[2]))) for r in rows)
+    for head in (1, 2, 4):
+        found = vocabulary.encode(df.coalesce(2), vocab, head_terms=head)
+        assert found.columns == [*df.columns, "token_ids", "tag_ids"]
+        assert sorted(repr(tuple(r)) for r in found.collect()) == wanted
+        chosen = vocabulary.encode(df, vocab, head_terms=head, keep=["at.time", "id"])
+        assert chosen.columns == ["at.time", "id", "token_ids", "tag_ids"] and chosen.count() == len(rows)
+    over = vocabulary.encode(df, vocab, {"tokens": ("tokens", "tokens")}, head_terms=2)
+    assert over.columns == df.columns and over.where("id = 2").first()["tokens"] == []
+    assert vocabulary.encode(df.limit(0), vocab, head_terms=2).collect() == []
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == size
+
+
+def test_encode_takes_the_lowest_of_repeated_terms(spark):
+    terms = [("tokens", t, 1, i) for t, i in (("a", 2), ("b", 9), ("b", 4), ("b", 7), ("a", 3))]
+    vocab = spark.createDataFrame(terms, "namespace string, term string, n long, term_id int")
+    df = spark.createDataFrame([(["a", "b", "zz"],)], "tokens array<string>")
+    for head in (1, 2, 100):
+        ids = vocabulary.encode(df, vocab, {"tokens": ("tokens", "token_ids")}, head_terms=head)
+        assert ids.first()["token_ids"] == [2, 4, 1]
+
+
+def test_encode_asks_for_a_term_once_a_block(spark):
+    """Neither the terms nor the columns that are not kept are moved with the rows."""
+    vocab = spark.createDataFrame([("tokens", f"t{i}", 1, 2 + i) for i in range(9)], "namespace string, term string, n long, term_id int")
+    rows = spark.range(500, numPartitions=1).select("id", F.array(*(F.lit(f"t{i}") for i in range(9))).alias("tokens"))
+    found = vocabulary.encode(rows, vocab, {"tokens": ("tokens", "token_ids")}, head_terms=1, keep=["id"])
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert "tokens#" not in plan.toString()
+    asked = spark.read.parquet(*(f for f in found.inputFiles() if "keys" in spark.read.parquet(f).columns))
+    assert [sorted(r["keys"]) for r in asked.select("keys").collect()] == [[f"0 t{i}" for i in range(1, 9)]]
+    assert {(len(r.token_ids), r.token_ids[8]) for r in found.collect()} == {(9, 10)}
+
+
 def test_null_keys_share_a_split(spark):
     df = spark.createDataFrame([(None,)] * 5 + [(str(i),) for i in range(40)], "id string")
     for split in (splitting.hash_split(df, "id", "s"), splitting.exact_split(df, "id", "s")):
@@ -138,6 +202,19 @@ def test_pin_keeps_rows(spark):
     assert pinned.exceptAll(pinned).count() == 0 and pinned.count() == 100
 
 
+def test_drop_pinned(spark, tmp_path):
+    pinned, other = pin(spark.range(10)), pin(spark.range(3))
+    folder = Path(pinned.inputFiles()[0].removeprefix("file:").replace("//", "")).parent
+    drop_pinned(pinned, other, pinned.where("id > 3"))
+    assert pinned.count() == 10
+    drop_pinned(pinned, other)
+    assert not folder.exists() and other.count() == 3
+    spark.range(5).write.parquet(f"{tmp_path}/own")
+    with pytest.raises(ValueError):
+        drop_pinned(spark.read.parquet(f"{tmp_path}/own"))
+    assert spark.read.parquet(f"{tmp_path}/own").count() == 5
+
+
 def test_vocabulary_order_and_ids(lexed):
     vocab = vocabulary.build_vocabulary(lexed).collect()
     tokens_ = [(r.term, r.n, r.term_id) for r in sorted(vocab, key=lambda r: r.term_id) if r.namespace == "tokens"]
